@@ -27,5 +27,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.select("doc_id", "text"), model).select("doc_id", F.round("expected_severity", 6).alias("expected_severity"), F.round("p_toxic", 6).alias("p_toxic"), F.col("rejected").alias("toxic"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_media": op5_media, "op10_toxicity": op10_toxicity}
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair_ids import read_shards, write_shards
+
+    return read_shards(write_shards(_read(spark, sf_dir, "documents")))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op5_media": op5_media, "op8_token_ids": op8_token_ids, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}

@@ -20,6 +20,13 @@ _CACHE_UNITS = 800_000
 _coders: dict[tuple[str, str], "UnitCoder"] = {}
 
 
+def whole_texts(texts: pa.Array) -> pa.Array:
+    """Texts without nulls, for the string kernels; these go wrong on a cast slice, so a slice is copied first."""
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
 def coder(path: str, kind: str) -> "UnitCoder":
     """The worker's coder for a tokenizer file; kind: ``bytes`` (spaces kept) or ``words`` (white space and case dropped)."""
     if (path, kind) not in _coders:
@@ -82,13 +89,11 @@ class UnitCoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as uint16, their number for each text); a null text has none."""
-        texts = texts.cast(pa.large_string())
+        texts = whole_texts(texts)
         if self.kind == "words":
-            texts = pc.fill_null(texts, "")
             units = pc.ascii_split_whitespace(pc.ascii_lower(texts))
             whole: list[int] = []
         else:
-            texts = pc.fill_null(texts, "")
             # white space before a space, or a leading space: the library decides on the whole text
             odd = pc.match_substring_regex(texts, r"^ |[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0b\x1c-\x1f] | $")
             whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
