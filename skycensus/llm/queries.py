@@ -39,5 +39,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op5_media": op5_media, "op8_token_ids": op8_token_ids, "op10_toxicity": op10_toxicity}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op3_simhash": op3_simhash, "op5_media": op5_media, "op8_token_ids": op8_token_ids, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
