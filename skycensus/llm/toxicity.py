@@ -1,7 +1,7 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 Severity grades 0 (clean) to 3 share one weight vector across ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k).
-Labels only say toxic or not, so the grades 1 to 3 of a toxic training text are the thirds of its share of marker words.
+Labels only say toxic or not, so the grades 1 to 3 of the toxic training texts are the thirds by what they hold of marker words.
 Features are marker words and marker word beginnings (4 to 6 letters): those that toxic labelled texts hold far more often
 than clean ones.  A feature's value is log2(1 + its count).
 
@@ -22,8 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts of either class that the fit may take; markers kept; toxic texts that must hold a marker; least log-odds.
-MOST_OF_A_CLASS, MOST_MARKERS, LEAST_SUPPORT, LEAST_LOG_ODDS = 10_000, 4096, 3, 2.0
+from .store import written
+from .tokenize import whole_texts
+
+#: Labelled texts of either class that the fit may take; markers kept; toxic texts that must hold a marker, as a number and as
+#: a share of the toxic ones; least log-odds.
+MOST_OF_A_CLASS, MOST_MARKERS, LEAST_SUPPORT, LEAST_SHARE, LEAST_LOG_ODDS = 10_000, 4096, 3, 0.02, 2.0
 GRADES = 3
 BEGINNINGS = (4, 5, 6)
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -37,7 +41,7 @@ def features_of(word: str) -> list[str]:
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(row of each word, code of each word, the distinct words)."""
-    units = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    units = pc.ascii_split_whitespace(pc.ascii_lower(whole_texts(texts)))
     offsets = np.asarray(units.offsets, dtype=np.int64)
     coded = units.flatten().dictionary_encode()
     lengths = np.diff(offsets)
@@ -77,14 +81,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_ordinal(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grade: np.ndarray, n_feats: int, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grade: np.ndarray, n_feats: int, weight: np.ndarray, steps: int = 1500, ridge: float = 5e-6) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by full-batch adaptive gradient steps on the cumulative-link likelihood.
 
-    Thresholds are a first one and positive gaps, so they stay ordered.  Toxic and clean texts weigh the same in sum.
+    Thresholds are a first one and positive gaps, so they stay ordered.  ``weight`` undoes the sampling of the classes.
     """
     n = len(grade)
-    toxic = grade > 0
-    weight = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
+    weight = weight / weight.sum()
     theta = np.zeros(n_feats + GRADES)
     theta[n_feats:] = [2.0, 0.0, 0.0]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -103,7 +106,7 @@ def fit_ordinal(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grade:
         grad = np.zeros_like(theta)
         if len(rows):
             grad[:n_feats] = np.bincount(feats, d_eta[rows] * values, minlength=n_feats)
-        grad[:n_feats] += ridge * w / max(1, n_feats)
+        grad[:n_feats] += ridge * w
         tail = np.cumsum(d_t[::-1])[::-1]
         grad[n_feats] = tail[0]
         grad[n_feats + 1 :] = tail[1:] * gaps
@@ -115,37 +118,42 @@ def fit_ordinal(rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grade:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_A_CLASS, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> DataFrame:
-    """(doc_id, toxic, text) of at most ``most`` labelled documents of either class, the first by a hash of their id."""
+    """(doc_id, toxic, text) of at most ``most`` labelled documents of either class, the first by a hash of their id.
+
+    The chosen ids are at most ``2 * most`` rows, so they are broadcast and no text is shuffled.
+    """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isNotNull()).groupBy(id_col).agg((F.max(toxic_col) > 0).alias("_toxic"))
     order = F.xxhash64(F.col(id_col)), F.col(id_col)
     chosen = marked.where("_toxic").orderBy(*order).limit(most).unionByName(marked.where("NOT _toxic").orderBy(*order).limit(most))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen.withColumnRenamed(id_col, "doc_id"), "doc_id").select("doc_id", F.col("_toxic").alias("toxic"), "text")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "doc_id")), "doc_id").select("doc_id", F.col("_toxic").alias("toxic"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_A_CLASS, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> OrdinalModel:
     """Markers are counted and the sparse rows are made by Spark jobs over the sample; the driver gets bounded tables only."""
-    sample = training_sample(docs, labels, most, id_col, text_col, toxic_col)
+    sample = written(training_sample(docs, labels, most, id_col, text_col, toxic_col), "toxic-sample")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, list[int]] = {}
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             rows, codes, names = _words(b.column(2))
             pairs = np.unique(rows * len(names) + codes) if names else np.zeros(0, np.int64)
             of = [features_of(w) for w in names]
-            seen: dict[str, list[int]] = {}
             held: dict[int, set[str]] = {}
             for p in pairs.tolist():
                 held.setdefault(p // len(names), set()).update(of[p % len(names)])
             for r, fs in held.items():
                 for f in fs:
                     seen.setdefault(f, [0, 0])[0 if toxic[r] else 1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["feature", "n_toxic", "n_clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["feature", "n_toxic", "n_clean"])
 
-    sizes = {bool(r.toxic): r["count"] for r in sample.groupBy("toxic").count().collect()}
+    # copies of a text would make its words look like markers
+    once = sample.dropDuplicates(["toxic", "text"])
+    sizes = {bool(r.toxic): r["count"] for r in once.groupBy("toxic").count().collect()}
     a, c = sizes.get(True, 0), sizes.get(False, 0)
     odds = F.log((F.col("n_toxic") + 0.5) / (a + 1)) - F.log((F.col("n_clean") + 0.5) / (c + 1))
-    counted = sample.mapInArrow(presence, "feature string, n_toxic long, n_clean long").groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-    top = counted.where(F.col("n_toxic") >= LEAST_SUPPORT).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("n_toxic") + 0.5) + 1 / (F.col("n_clean") + 0.5))).orderBy(F.desc("z"), "feature").limit(MOST_MARKERS)
+    counted = once.select(*sample.columns).mapInArrow(presence, "feature string, n_toxic long, n_clean long").groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
+    top = counted.where(F.col("n_toxic") >= max(LEAST_SUPPORT, LEAST_SHARE * a)).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("n_toxic") + 0.5) + 1 / (F.col("n_clean") + 0.5))).orderBy(F.desc("z"), "feature").limit(MOST_MARKERS)
     markers = sorted(r.feature for r in top.select("feature").collect())
     known = {f: i for i, f in enumerate(markers)}
 
@@ -158,15 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_A_CLASS, id_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = sample.mapInArrow(sparse, f"doc_id {kind}, toxic boolean, feats array<long>, counts array<long>, n_words long").orderBy("doc_id", "n_words").collect()
-    share = np.array([sum(r["counts"]) / max(1, r.n_words) for r in got])
+    held = np.array([np.log2(1 + np.array(r["counts"], np.float64)).sum() for r in got])
     toxic = np.array([r.toxic for r in got], bool)
     grade = np.zeros(len(got), np.int64)
     if toxic.any():
-        grade[toxic] = 1 + np.searchsorted(np.quantile(share[toxic], [1 / 3, 2 / 3]), share[toxic], side="right")
+        grade[toxic] = 1 + np.searchsorted(np.quantile(held[toxic], [1 / 3, 2 / 3]), held[toxic], side="left")
     rows = np.repeat(np.arange(len(got)), [len(r.feats) for r in got]) if got else np.zeros(0, np.int64)
     feats = np.array([f for r in got for f in r.feats], np.int64)
     values = np.log2(1 + np.array([x for r in got for x in r["counts"]], np.float64))
-    weights, thresholds = fit_ordinal(rows, feats, values, grade, len(markers)) if toxic.any() else (np.zeros(len(markers)), np.array([50.0, 51.0, 52.0]))
+    of_all = {bool(r.toxic): r["count"] for r in labels.where(F.col(id_col).isNotNull()).groupBy((F.col(toxic_col) > 0).alias("toxic")).count().where("toxic IS NOT NULL").collect()}
+    weight = np.where(toxic, of_all.get(True, 0) / max(1, toxic.sum()), of_all.get(False, 0) / max(1, (~toxic).sum()))
+    weights, thresholds = fit_ordinal(rows, feats, values, grade, len(markers), weight) if toxic.any() else (np.zeros(len(markers)), np.array([50.0, 51.0, 52.0]))
     return OrdinalModel(tuple(markers), weights, thresholds)
 
 
