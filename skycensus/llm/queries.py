@@ -69,5 +69,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_topk": op4_topk, "op5_media": op5_media, "op8_token_ids": op8_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_topk": op4_topk, "op5_media": op5_media, "op7_lm_score": op7_lm_score, "op8_token_ids": op8_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op9_mixing": OP9_SQL}
