@@ -11,7 +11,7 @@ The number of blocks is bounded by ``most_blocks`` and the number of sources, wh
 as many blocks as its share.  All randomness is MD5 of ids and the seed, so reruns agree.
 
 Contracts: a null text has size 0; sources sort by code point, null last, and weigh 1, 2, 3, repeating; rows with equal ids are
-drawn each; documents of size 0 go with their block; an empty table gives an empty mix; other columns are ignored.
+drawn each, and equal rows alike; documents of size 0 go with their block; an empty table gives an empty mix; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: str = SEED, id_col: str = "doc_
     state = blocks.select("rank", "block", "last", "room").join(to, ["rank", "block"], "left")
     rows = placed.join(state, ["rank", "block"])
     # documents of a cut block, in the order of their hash, up to the room in it
-    cut = rows.where("last = 'cut'").withColumn("cut_end", F.sum("size").over(Window.partitionBy("rank", "block").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    cut = rows.where("last = 'cut'").withColumn("cut_end", F.sum("size").over(Window.partitionBy("rank", "block").orderBy("place", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)))
     cut = cut.withColumn("extra", (F.col("cut_end") - F.col("size") / 2 <= F.col("room")).cast("long")).drop("cut_end")
     rows = rows.where("last <> 'cut'").withColumn("extra", (F.col("last") == "whole").cast("long")).unionByName(cut)
     n = (F.col("full") + F.col("extra")).cast("int")
@@ -143,6 +143,17 @@ def shuffled(mixed: DataFrame) -> DataFrame:
     return copies.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(order, "doc_id", "copy"))).select("shard", "position", "doc_id", "copy")
 
 
+def mixed_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: int) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; rows that it does not take go.
+
+    Rows that share an id and a source share the decision of one of them.
+    """
+    mixed = mix(docs, shards, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max(F.size("shards")).alias("_times")).where("_times > 0")
+    taken = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 #: The same sizes, targets and draws for DuckDB.
 ORACLE = r"""
 WITH d AS (
@@ -165,7 +176,7 @@ p AS (SELECT d.doc_id, d.size, d.source, g.rank, g.source_size, g.target, g.full
 b0 AS (SELECT source, rank, rest, block, sum(size)::BIGINT AS words FROM p GROUP BY ALL),
 b1 AS (SELECT *, (sum(words) OVER (PARTITION BY rank ORDER BY ('0x' || substr(md5('7:block:' || CASE WHEN source IS NULL THEN 'n' ELSE 's:' || source END || ':' || CAST(block AS VARCHAR)), 1, 12))::BIGINT, block
         ROWS UNBOUNDED PRECEDING))::BIGINT AS end_ FROM b0),
-r AS (SELECT p.*, b1.end_, b1.words, (sum(p.size) OVER (PARTITION BY p.rank, p.block ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS cut_end
+r AS (SELECT p.*, b1.end_, b1.words, (sum(p.size) OVER (PARTITION BY p.rank, p.block ORDER BY place, doc_id, size RANGE UNBOUNDED PRECEDING))::BIGINT AS cut_end
       FROM p JOIN b1 ON p.rank = b1.rank AND p.block = b1.block)
 SELECT doc_id, size, source_size, target,
   CAST(size * (full_ + CASE WHEN end_ <= rest THEN 1 WHEN end_ - words < rest AND cut_end - size / 2e0 <= rest - (end_ - words) THEN 1 ELSE 0 END) AS BIGINT) AS taken

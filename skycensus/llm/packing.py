@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokenize import coder, tokenizer_path, with_end
+from .tokenize import coder, row_ranges, text_sizes, tokenizer_path, with_end
 
 WINDOW = 2048
 
@@ -109,8 +109,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer_path(tokenizer), "words")
         for b in batches:
-            for i in range(0, len(b), 512):
-                s = b.slice(i, 512)
+            for i, n in row_ranges(text_sizes(b.column(2))):
+                s = b.slice(i, n)
                 ids, offsets = with_end(*code.encode(s.column(2)), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 counts = np.diff(offsets)

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .tokenize import coder, tokenizer_path, with_end
+from .tokenize import coder, row_ranges, text_sizes, tokenizer_path, with_end
 
 MAGIC = b"RPG1"
 #: Ids in one shard at about; rounds; pairs replaced in a round at most; least count of a pair.
-SHARD_IDS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 1 << 20, 4, 3500, 12
+SHARD_IDS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 1 << 20, 3, 4000, 16
 _BITS = 18
 
 
@@ -188,8 +188,8 @@ def write_shards(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
 
         for b in batches:
             part = b.column(2)[0].as_py() if len(b) else part
-            for i in range(0, len(b), 256):
-                s = b.slice(i, 256)
+            for i, n in row_ranges(text_sizes(b.column(1))):
+                s = b.slice(i, n)
                 ids, offsets = with_end(*code.encode(s.column(1)), end_id)
                 held.append((s.column(0), ids, np.diff(offsets)))
                 n_held += len(ids)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .store import written
+from .tokenize import row_ranges, text_sizes
+from .toxicity import _words
 
 BITS = 64
 
@@ -119,6 +121,12 @@ def bucket_keys(blocks: int, budget: int) -> list[int]:
     return [sum(mask[i] for i in some) for some in combinations(range(blocks), blocks - budget)]
 
 
+def sampled_keys(tables: int, bits: int, seed: int = 5) -> list[int]:
+    """A mask of ``bits`` random bits for each table."""
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(i) for i in rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -184,3 +192,123 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, blocks: int
     named = linked.join(roots, "root").select("fp", "component_id").unionByName(groups.join(labels, groups.fp == labels.node, "left_anti").select("fp", F.col("least").alias("component_id")))
     named = written(named, "simhash-components")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near-duplicate documents by shingle similarity -----------------------------------------------------------------------
+
+
+def word_set_fingerprints(texts: DataFrame) -> DataFrame:
+    """(node, fp) of (node, text): the SimHash of each text's different words, so that an edited word moves few bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for i, n in row_ranges(text_sizes(b.column(1)), 4 << 20):
+                s = b.slice(i, n)
+                rows, codes, names = _words(s.column(1))
+                hashes = np.array([xxhash.xxh64_intdigest(w) for w in names], np.uint64)
+                pairs = np.unique(rows * max(1, len(names)) + codes)
+                row, code = pairs // max(1, len(names)), pairs % max(1, len(names))
+                real = np.array([bool(w) for w in names], bool)[code] if names else np.zeros(0, bool)
+                row, code = row[real], code[real]
+                fps = np.zeros(n, np.uint64)
+                cut = np.searchsorted(row, np.arange(n + 1))
+                for r in np.flatnonzero(np.diff(cut)).tolist():
+                    fps[r] = majority(hashes[code[cut[r] : cut[r + 1]]])
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(fps.view(np.int64))], ["node", "fp"])
+
+    return texts.mapInArrow(run, "node long, fp long")
+
+
+def candidate_pairs(nodes: DataFrame, budget: int, masks: list[int]) -> DataFrame:
+    """(a, b): each node with its nearest fingerprint and with the smallest node of its component, in every bucket."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one fingerprint, one row: nodes that share it hang on the smallest of them
+    groups = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    same = nodes.join(groups, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)))
+    spread = groups.select("head", "fp", F.explode(keys).alias("bucket")).repartition(n, "bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
+        if not got:
+            return
+        node, fp, bucket = (np.concatenate(x) for x in zip(*got, strict=True))
+        fp = fp.view(np.uint64)
+        order = np.lexsort((fp, bucket))
+        node, fp, bucket = node[order], fp[order], bucket[order]
+        lo = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        hi = np.concatenate([lo[1:], [len(fp)]])
+        many = hi - lo > 1
+        best = np.full(len(fp), BITS + 1, np.int64)
+        nearest = np.full(len(fp), -1, np.int64)
+        first = np.arange(len(fp))
+        for i, j in trie_pairs(fp, lo[many], hi[many], budget):
+            off = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
+            np.minimum.at(first, np.maximum(i, j), np.minimum(i, j))
+            for x, y in ((i, j), (j, i)):
+                by = np.lexsort((node[y], off, x))
+                x, y, d = x[by], y[by], off[by]
+                head = np.concatenate([[True], x[1:] != x[:-1]])
+                x, y, d = x[head], y[head], d[head]
+                closer = d < best[x]
+                best[x[closer]], nearest[x[closer]] = d[closer], y[closer]
+        ok = nearest >= 0
+        a = np.concatenate([node[ok], node])
+        b = np.concatenate([node[nearest[ok]], node[first]])
+        apart = a != b
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return same.unionByName(spread.mapInArrow(run, "a long, b long")).distinct()
+
+
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the sorted 32-bit hashes of each text's different ``size``-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            body = []
+            for x in b.column(1):
+                words = (x.as_py() or "").encode().lower().split()
+                grams = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+                body.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams))).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.binary())], ["node", "shingles"])
+
+    return texts.mapInArrow(run, "node long, shingles binary")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 12, tables: int = 20, key_bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; all columns stay as they are.
+
+    Equal texts form a group.  Different texts are compared if SimHashes of their words come within ``budget`` bits and agree on all
+    bits of one of ``tables`` samples; they are linked if the Jaccard similarity of their ``size``-word shingles reaches
+    ``similarity``.  Null and blank texts are equal texts.  Of rows with equal ids in a group one stays; a null id is the last choice.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    keyed = rows.select("_row", F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
+    groups = written(keyed.groupBy("_k").agg(F.min("_row").alias("node"), F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("kept"), F.min("_id").alias("least"), F.count("*").alias("n")), "texts")
+    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    prints = word_set_fingerprints(texts).join(groups.select("node"), "node", "left_semi")
+    pairs = written(candidate_pairs(written(prints, "word-simhash"), budget, sampled_keys(tables, key_bits)), "candidates")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(shingle_sets(texts.join(asked, "node", "left_semi"), size), "shingles", "none")
+    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            of = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of)], ["src", "dst"])
+
+    labels = written(connected(sides.mapInArrow(verify, "src long, dst long")), "near-labels")
+    named = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = named.groupBy("root").agg(F.min_by("kept", F.struct(F.col("least").isNull(), "least", "kept")).alias("_row"))
+    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)

@@ -306,36 +306,68 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return texts, spans.groupBy("k").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, **how: int) -> DataFrame:
-    """(k, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of the different texts; k is the text's MD5."""
+def _cover(runs: list[dict[str, int]] | None, n: int, copies: int, length: int) -> list[tuple[int, int]]:
+    """The maximal stretches of a text of ``n`` bytes that repeated windows cover."""
+    if copies > 1 and n >= length:
+        return [(0, n)]
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((r["lo"], r["hi"] + length - 1) for r in runs or []):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _kept(raw: bytes, cover: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(hi for _, hi in cover)]
+    starts = [*(lo for lo, _ in cover), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(ends, starts, strict=True))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """(k, n_bytes, n_removed, n_spans, kept_sha256) of the different texts; k is the text's MD5."""
     texts, spans = repeated_spans(docs, length, id_col, text_col, **how)
-    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for k, copies, raw, runs in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                n = len(raw)
-                if copies > 1 and n >= length:
-                    cover = [(0, n)]
-                else:
-                    cover = []
-                    for lo, hi in sorted((r["lo"], r["hi"] + length - 1) for r in runs or []):
-                        if cover and lo <= cover[-1][1]:
-                            cover[-1] = (cover[-1][0], max(cover[-1][1], hi))
-                        else:
-                            cover.append((lo, hi))
-                kept, at = [], 0
-                for lo, hi in cover:
-                    kept.append(raw[at:lo])
-                    at = hi
-                kept = b"".join([*kept, raw[at:]])
-                rows.append((k, n, n - len(kept), len(cover), hashlib.sha256(kept).hexdigest(), kept))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                cover = _cover(runs, len(raw), copies, length)
+                kept = _kept(raw, cover)
+                rows.append((k, len(raw), len(raw) - len(kept), len(cover), hashlib.sha256(kept).hexdigest()))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-    schema = "k string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(spans, "k", "left").select("k", "copies", "raw", "spans").mapInArrow(run, schema)
+    return texts.join(spans, "k", "left").select("k", "copies", "raw", "spans").mapInArrow(run, "k string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the texts; a character that is cut in two goes as a whole.
+
+    Every row stays, with a null text as null; the other columns are as they were.
+    """
+    texts, spans = repeated_spans(docs, length, id_col, text_col, **how)
+    rest = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(*(F.col(c).alias(f"o{i}") for i, c in enumerate(rest)), F.col(text_col).isNull().alias("was_null"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("k"))
+    found = texts.join(spans, "k", "left").join(keyed, "k").select("copies", "raw", "spans", "was_null", *(f"o{i}" for i in range(len(rest))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for copies, raw, runs, null in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                cover = _cover(runs, len(raw), copies, length)
+                out.append(None if null else raw.decode() if not cover else _kept(raw, cover).decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[4:]], ["text", *b.schema.names[4:]])
+
+    from pyspark.sql.types import StructType
+
+    kinds = StructType().add("text", "string")
+    for i, c in enumerate(rest):
+        kinds.add(f"o{i}", docs.schema[c].dataType)
+    done = found.mapInArrow(run, kinds)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"o{rest.index(c)}").alias(c) for c in docs.columns))
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 #: Ends a unit safely when it follows a letter or digit (an apostrophe may open a contraction, so it is not here).
 _TAIL = ".,;:!?%&$*#|)"
 #: Units kept by one worker.
-_CACHE_UNITS = 800_000
+_CACHE_UNITS = 1_200_000
 
 _coders: dict[tuple[str, str], "UnitCoder"] = {}
 
@@ -44,6 +44,10 @@ class UnitCoder:
         self.kind = kind
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        #: Ids that begin (bytes: with a space) or end (words) a unit.
+        self.edge = np.zeros(self.lib.get_vocab_size(), bool)
+        for token, i in self.lib.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if kind == "bytes" else token.endswith("</w>")
         self._reset()
 
     def _reset(self) -> None:
@@ -53,39 +57,70 @@ class UnitCoder:
         self.start = np.zeros(1 << 18, np.int64)
         self.length = np.zeros(1 << 18, np.int32)
 
-    def _append(self, units: list[str], ids: list[np.ndarray]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, m = len(self.index), int(lengths.sum())
+    def _append(self, units: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = len(self.index), len(flat)
         while self.used + m > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(units) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-        if m:
-            self.flat[self.used : self.used + m] = np.concatenate(ids)
+        self.flat[self.used : self.used + m] = flat
         self.length[n : n + len(units)] = lengths
         self.start[n : n + len(units)] = self.used + np.cumsum(lengths) - lengths
         self.used += m
         self.index.update(zip(units, range(n, n + len(units)), strict=True))
 
-    def _library(self, units: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for i in range(0, len(units), 20_000):
-            out += [np.array(e.ids, np.uint16) for e in self.lib.encode_batch_fast(units[i : i + 20_000], add_special_tokens=False)]
-        return out
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the rows' units one after another, their ends)."""
+        lengths = self.length[rows].astype(np.int64)
+        ends = np.cumsum(lengths)
+        shift = self.start[rows] - (ends - lengths)
+        return self.flat[np.repeat(shift, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of units that are one pre-token run each, encoded in one text; None if their borders do not show."""
+        ids = np.array(self.lib.encode_batch_fast(["".join(units) if self.kind == "bytes" else " ".join(units)], add_special_tokens=False)[0].ids, np.uint16)
+        border = np.flatnonzero(self.edge[ids])
+        if len(border) != len(units):
+            return None
+        return ids, np.diff(border, append=len(ids)) if self.kind == "bytes" else np.diff(border, prepend=-1)
+
+    def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units one after another, their numbers)."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(0, len(units), 5000):
+            some = units[i : i + 5000]
+            plain = all(u[:1] == " " and u[1:].isalnum() for u in some) if self.kind == "bytes" else all(map(str.isalpha, some))
+            got = self._joined(some) if plain else None
+            if got is None:
+                lists = [e.ids for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]
+                got = np.array([x for ids in lists for x in ids], np.uint16), np.fromiter(map(len, lists), np.int64, len(lists))
+            parts.append(got)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
 
     def _learn(self, units: list[str]) -> None:
         """Encode unseen units; trailing punctuation is encoded apart, so that a word costs one call in all its forms."""
-        cut = {}
+        index, whole, heads, tails = self.index, [], [], []
+        plain, other = {}, {}
         for u in units:
             base = u.rstrip(_TAIL)
             if base and len(base) < len(u) and base[-1].isalnum() and len(base[-1].lower()) == 1:
-                cut[u] = (base, u[len(base) :])
-        parts = [x for x in dict.fromkeys([u for u in units if u not in cut] + [p for two in cut.values() for p in two]) if x not in self.index]
-        self._append(parts, self._library(parts))
-        whole = [u for u in cut if u not in self.index]
-        take = lambda u: self.flat[self.start[i := self.index[u]] : self.start[i] + self.length[i]]
-        self._append(whole, [np.concatenate([take(a), take(b)]) for a, b in map(cut.get, whole)])
+                whole.append(u)
+                heads.append(base)
+                tails.append(u[len(base) :])
+            else:
+                base = u
+            if base not in index:
+                (plain if (base[1:].isalnum() and base[0] == " " if self.kind == "bytes" else base.isalpha()) else other)[base] = None
+        other.update(dict.fromkeys(t for t in tails if t not in index))
+        for some in (plain, other):
+            names = [x for x in some if x not in index]
+            self._append(names, *self._library(names))
+        whole_at = [i for i, u in enumerate(whole) if u not in index]
+        if whole_at:
+            rows = np.array([[index[heads[i]], index[tails[i]]] for i in whole_at], np.int64)
+            ids, ends = self._gather(rows.ravel())
+            self._append([whole[i] for i in whole_at], ids, np.diff(ends[1::2], prepend=0))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as uint16, their number for each text); a null text has none."""
@@ -103,7 +138,7 @@ class UnitCoder:
         coded = units.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(self.index) + 2 * len(names) > _CACHE_UNITS:
+        if len(self.index) > _CACHE_UNITS:
             self._reset()
         if self.kind == "bytes":
             # a unit has the space before it, but for the first of its text
@@ -120,13 +155,12 @@ class UnitCoder:
             self._learn(missing)
             found = [self.index[x] for x in names]
         rows = np.array(found, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-        lengths = self.length[rows].astype(np.int64)
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.start[rows] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        ids, ends = self._gather(rows)
         counts = np.concatenate([[0], ends])[offsets]
         counts = np.diff(counts)
         if whole:
-            mine = self._library([texts[i].as_py() for i in whole])
+            flat, n_own = self._library([texts[i].as_py() for i in whole])
+            mine = np.split(flat, np.cumsum(n_own)[:-1])
             pieces, at = [], 0
             bounds = np.concatenate([[0], np.cumsum(counts)])
             for i, x in zip(whole, mine, strict=True):
@@ -137,6 +171,23 @@ class UnitCoder:
         return ids, counts
 
 
+def row_ranges(sizes: np.ndarray, most: int = 8 << 20) -> list[tuple[int, int]]:
+    """(first row, number of rows) of runs of about ``most`` bytes each, one row at least."""
+    out, at = [], 0
+    ends = np.cumsum(sizes)
+    while at < len(sizes):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        upto = max(at + 1, upto)
+        out.append((at, upto - at))
+        at = upto
+    return out
+
+
+def text_sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text; 0 for a null."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the id ``end`` after each text, and the offsets of the texts."""
     offsets = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int64)
