@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def with_value(image: Column, value: Column, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn(pixel, value)`` of each pixel; the value is worked out once an image, not once a pixel as it would be in a lambda."""
+    return F.zip_with(image, F.array_repeat(value, F.size(image)), fn)
+
+
 def finite(image: Column) -> Column:
     """The pixels that are numbers."""
     return F.filter(image, lambda v: v.isNotNull() & ~F.isnan(v))
@@ -30,13 +37,13 @@ def mean(image: Column) -> Column:
 
 def std(image: Column) -> Column:
     """Population standard deviation."""
-    m = mean(image)
-    return F.sqrt(F.try_divide(F.aggregate(finite(image), F.lit(0.0), lambda a, v: a + (v.cast("double") - m) * (v.cast("double") - m)), F.size(finite(image))))
+    squares = with_value(finite(image), mean(image), lambda v, m: (v.cast("double") - m) * (v.cast("double") - m))
+    return F.sqrt(F.try_divide(F.aggregate(squares, F.lit(0.0), lambda a, v: a + v), F.size(finite(image))))
 
 
 def scaled(image: Column, factor: Column | float) -> Column:
     k = factor if isinstance(factor, Column) else F.lit(float(factor))
-    return F.transform(image, lambda v: v.cast("double") * k)
+    return with_value(image, k, lambda v, f: v.cast("double") * f)
 
 
 def asinh_scaled(image: Column, k: float, beta: float) -> Column:
@@ -49,8 +56,13 @@ def asinh_unscaled(image: Column, k: float, beta: float) -> Column:
 
 def min_max(image: Column) -> Column:
     """Negatives go to 0, then the image's range before that to 0..1; a constant image stays."""
-    low, high = F.array_min(image).cast("double"), F.array_max(image).cast("double")
-    return F.transform(image, lambda v: F.when(high == low, v.cast("double")).otherwise((F.greatest(v.cast("double"), F.lit(0.0)) - low) / F.when(high == low, F.lit(1.0)).otherwise(high - low)))
+    ends = F.struct(F.array_min(image).cast("double").alias("low"), F.array_max(image).cast("double").alias("high"))
+
+    def moved(v: Column, e: Column) -> Column:
+        span = e["high"] - e["low"]
+        return F.when(span == 0, v.cast("double")).otherwise((F.greatest(v.cast("double"), F.lit(0.0)) - e["low"]) / F.when(span == 0, F.lit(1.0)).otherwise(span))
+
+    return with_value(image, ends, moved)
 
 
 def positive_sum(image: Column, scale: Column | float = 1.0) -> Column:
@@ -73,8 +85,7 @@ def block_means(image: Column, side: int, to: int) -> Column:
 
 
 def peak_normalised(image: Column) -> Column:
-    top = F.array_max(image).cast("double")
-    return F.transform(image, lambda v: F.try_divide(v.cast("double"), top))
+    return with_value(image, F.array_max(image).cast("double"), lambda v, top: F.try_divide(v.cast("double"), top))
 
 
 def turned(image: Column, side: int, quarter_turns: Column, flip: Column) -> Column:

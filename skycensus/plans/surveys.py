@@ -56,10 +56,10 @@ FOREIGN = PAIRS + """, fo AS (SELECT *, CASE WHEN isl_rms > 0 THEN peak/isl_rms
 fg AS (SELECT source_id, count(*) AS n, count(*) FILTER (snr >= 5) AS nd, max(peak) AS bf, max(struct_pack(peak := peak, snr := snr, parent := parent)) AS b FROM fo GROUP BY source_id)"""
 
 
-@query("j02_foreign_components", f"WITH {FOREIGN} SELECT s.source_id, coalesce(n, 0) AS n_foreign_components, coalesce(nd, 0) AS n_foreign_detected, round(coalesce(bf, 0e0), 6) AS brightest_foreign_flux, round(coalesce(b.snr, 0e0), 4) AS brightest_foreign_snr, coalesce(b.parent, '') AS brightest_foreign_parent, coalesce(nd, 0) > 0 AS foreign_contaminant FROM sky_sources s LEFT JOIN fg ON fg.source_id = s.source_id")
+@query("j02_foreign_components", f"WITH {FOREIGN} SELECT s.source_id, coalesce(n, 0) AS n_foreign_components, coalesce(nd, 0) AS n_foreign_detected, coalesce(bf, 0e0) AS brightest_foreign_flux, coalesce(b.snr, 0e0) AS brightest_foreign_snr, coalesce(b.parent, '') AS brightest_foreign_parent, coalesce(nd, 0) > 0 AS foreign_contaminant FROM sky_sources s LEFT JOIN fg ON fg.source_id = s.source_id")
 def j02(spark: SparkSession, d: str) -> DataFrame:
     f = skyjoin.foreign_flags(A.sources(spark, d), A.components(spark, d))
-    return f.select("source_id", "n_foreign_components", "n_foreign_detected", r6(F.col("brightest_foreign_flux"), "brightest_foreign_flux"), r6(F.col("brightest_foreign_snr"), "brightest_foreign_snr", 4), "brightest_foreign_parent", "foreign_contaminant")
+    return f.select("source_id", "n_foreign_components", "n_foreign_detected", "brightest_foreign_flux", "brightest_foreign_snr", "brightest_foreign_parent", "foreign_contaminant")
 
 
 CROPPED = """ow AS (SELECT s.source_id, (c.ra - s.ra + 180 - 360*floor((c.ra - s.ra + 180)/360) - 180)*cos(radians(s.dec))*3600 AS x0, (c.dec - s.dec)*3600 AS y0,
