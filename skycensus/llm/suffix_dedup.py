@@ -11,8 +11,8 @@ Every byte covered by a ``length``-byte string that also starts anywhere else (i
    shards' BWTs are then merged by refining their interleave: one stable pass over the merged BWT's symbols turns the order by t - 1
    symbols into the order by t symbols, without sorting suffixes again.  A block border that first appears in pass t has a common
    prefix of t - 1 symbols; after ``length / STRIDE`` passes the blocks are the repeated intervals.
-4. *Hot anchors.*  Groups of more than ``MOST_REGIONS`` different regions are not brought together: their windows are counted by
-   128-bit hash instead, which needs no group at all and gives the same marks.
+4. *Hot anchors.*  Groups of more than ``MOST_REGIONS`` regions are not brought together: their windows are counted by hash over key
+   ranges instead, packed in blocks, which needs no group at all and gives the same marks.
 
 Contracts: a null text is empty; texts shorter than ``length`` have no marks of their own; matches never cross texts; rows with
 equal ids are rows of their own, and their equal texts repeat each other; other columns are ignored; an empty table gives an empty one.
@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keyranges import key_ranges, keys_seen_twice, squeeze
 from .store import written
+from .tokenize import row_ranges, text_sizes
 
-LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 32, 50, 4, 512, 400_000
+LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 32, 100, 4, 512, 400_000
 _SEGMENT = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -220,7 +222,7 @@ def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _contents(texts: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
     """A row for each suspect region with its bytes and their hash."""
-    listed = suspects.groupBy("k").agg(F.collect_list(F.struct("first", "windows", "place", "anchor")).alias("regions"))
+    listed = suspects.groupBy("k").agg(F.collect_list(F.struct("first", "windows", "place", "anchor", "n")).alias("regions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -233,9 +235,9 @@ def _contents(texts: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
                 body = [raw[r["first"] : r["first"] + r["windows"] + length - 1] for r in got]
                 digest = [xxhash.xxh3_128_digest(c, r["place"]) for c, r in zip(body, got, strict=True)]
                 n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * n), pa.array([copies] * n, pa.int64()), *(pa.array([r[c] for r in got], pa.int64()) for c in ("first", "windows", "anchor")), pa.array(digest, pa.binary()), pa.array(body, pa.binary())], ["k", "copies", "first", "windows", "anchor", "c", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([k] * n), pa.array([copies] * n, pa.int64()), *(pa.array([r[c] for r in got], pa.int64()) for c in ("first", "windows", "anchor", "n")), pa.array(digest, pa.binary()), pa.array(body, pa.binary())], ["k", "copies", "first", "windows", "anchor", "n", "c", "content"])
 
-    return texts.join(listed, "k").select("k", "copies", "raw", "regions").mapInArrow(run, "k string, copies long, first long, windows long, anchor long, c binary, content binary")
+    return texts.join(listed, "k").select("k", "copies", "raw", "regions").mapInArrow(run, "k string, copies long, first long, windows long, anchor long, n long, c binary, content binary")
 
 
 def _merged(groups: DataFrame, length: int, stride: int, shards: int) -> DataFrame:
@@ -244,45 +246,97 @@ def _merged(groups: DataFrame, length: int, stride: int, shards: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack: list[tuple[bytes, bytes, int]] = []
+        group: list[tuple[bytes, bytes, int]] = []
+        sure: list[tuple[bytes, list[dict[str, int]]]] = []
         size, anchor = 0, None
 
+        def end_group() -> None:
+            nonlocal group, size
+            if len(group) > 1:
+                pack.extend(group)
+                size += sum(len(g[1]) for g in group)
+            elif group and group[0][2] > 1:  # one content in several places
+                sure.append((group[0][0], [{"lo": 0, "hi": len(group[0][1]) - length + 1}]))
+            group = []
+
         def done() -> pa.RecordBatch:
-            marks = repeated_windows([p[1] for p in pack], length, stride, shards)
-            rows = [(p[0], _runs(np.ones(len(m), bool) if p[2] > 1 else m)) for p, m in zip(pack, marks, strict=True)]
+            marks = repeated_windows([p[1] for p in pack], length, stride, shards) if pack else []
+            rows = sure + [(p[0], _runs(np.ones(len(m), bool) if p[2] > 1 else m)) for p, m in zip(pack, marks, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], _RUN_TYPE)], ["c", "runs"])
 
         for b in batches:
             for a, c, content, copies in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if size >= PACK and a != anchor:
-                    yield done()
-                    pack, size = [], 0
-                pack.append((c, content, copies))
-                size, anchor = size + len(content), a
-        if pack:
+                if a != anchor:
+                    end_group()
+                    anchor = a
+                    if size >= PACK:
+                        yield done()
+                        pack, sure, size = [], [], 0
+                group.append((c, content, copies))
+        end_group()
+        if pack or sure:
             yield done()
 
     return groups.repartition(n, "anchor").sortWithinPartitions("anchor", "c").select("anchor", "c", "content", "copies").mapInArrow(run, f"c binary, runs {_RUNS}")
 
 
 def _counted(groups: DataFrame, length: int) -> DataFrame:
-    """(c, runs) by counting the windows of hot anchors' regions, which need not meet."""
+    """(c, runs) by counting the windows of hot anchors' regions over ranges of their hashes; the regions need not meet.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Regions are packed into blocks.  A block sends its distinct hashes and their numbers to the ranges; a range adds up all blocks and
+    sends each block a flag for each of its own hashes.
+    """
+    spark = groups.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
         for b in batches:
-            for c, content, copies in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                x = np.frombuffer(content, np.uint8)
-                one, two = substring_hashes(x, length, 0), substring_hashes(x, length, 1)
-                n = len(one)
-                yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.binary()), pa.array(np.arange(n)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(n, copies, np.int64))], ["c", "at", "w1", "w2", "copies"])
-
-    windows = groups.select("c", "content", "copies").mapInArrow(run, "c binary, at long, w1 long, w2 long, copies long")
-    again = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("n")).where("n > 1").select("w1", "w2")
-    hit = windows.join(again, ["w1", "w2"], "left_semi")
-    flat = hit.groupBy("c").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    # the windows of a region in order: a run begins where the one before is missing
-    begins = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
-    ends = F.filter("at", lambda x: ~F.array_contains("at", x + 1))
-    return flat.select("c", F.transform(F.arrays_zip(begins.alias("lo"), ends.alias("hi")), lambda r: F.struct(r["lo"].alias("lo"), (r["hi"] + 1).alias("hi"))).alias("runs"))
+            for i, m in row_ranges(text_sizes(b.column(1)), 1 << 19):
+                s = b.slice(i, m).take(pa.array(np.arange(m)))
+                one = pa.array([0, m], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *(pa.ListArray.from_arrays(one, s.column(x)) for x in range(3))], ["block", "c", "content", "copies"])
+                seq += 1
+
+    def windows(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each window, its region, its copies)."""
+        hashes, of, copies = [], [], []
+        for r, (content, k) in enumerate(zip(b.column(2)[i].as_py(), b.column(3)[i].as_py(), strict=True)):
+            x = np.frombuffer(content, np.uint8)
+            h = _mixed(substring_hashes(x, length, 0) + np.uint64(0x632BE59BD9B4E019) * substring_hashes(x, length, 1))
+            hashes.append(h)
+            of.append(np.full(len(h), r))
+            copies.append(np.full(len(h), min(k, 2)))
+        return np.concatenate(hashes), np.concatenate(of), np.concatenate(copies)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                h, _, copies = windows(b, i)
+                keys, inverse = np.unique(h, return_inverse=True)
+                twice = np.bincount(inverse, copies, minlength=len(keys)) > 1
+                at = key_ranges(keys, n)
+                rows = [(r, squeeze(np.diff(keys[x:y], prepend=np.uint64(0))), np.packbits(twice[x:y]).tobytes()) for r, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["range", "block", "keys", "twice"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                h, of, _ = windows(b, i)
+                keys = np.unique(h)
+                got = b.column(b.schema.names.index("parts"))[i].as_py()
+                many = np.concatenate([np.unpackbits(np.frombuffer(p["flags"], np.uint8), count=p["n"]) for p in got]).astype(bool)
+                hit = many[np.searchsorted(keys, h)]
+                cut = np.searchsorted(of, np.arange(len(b.column(1)[i]) + 1))
+                runs = [_runs(hit[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(1)[i].values, pa.array(runs, _RUN_TYPE)], ["c", "runs"])
+
+    packed = written(groups.select("c", "content", "copies").mapInArrow(blocks, "block long, c array<binary>, content array<binary>, copies array<long>"), "hot-regions")
+    flags = packed.mapInArrow(send, "range int, block long, keys binary, twice binary").repartition(n, "range").mapInArrow(keys_seen_twice, "block long, range int, n int, flags binary")
+    parts = written(flags, "hot-flags", "none").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "flags"))).alias("parts"))
+    return packed.join(parts, "block").mapInArrow(mark, f"c binary, runs {_RUNS}")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, gram: int = GRAM, most_regions: int = MOST_REGIONS, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -291,17 +345,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError("the length is a multiple of the stride, and a gram is no longer than a stride")
     texts = _distinct_texts(docs, id_col, text_col)
     anchors = written(_anchored(texts, length, gram), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
-    suspects = anchors.join(twice, "anchor", "left_semi")
+    twice = anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1")
+    suspects = anchors.join(twice, "anchor")
     held = written(_contents(texts, suspects, length), "regions")
-    once = held.groupBy("anchor", "c").agg(F.sum("copies").alias("copies"), F.first("content").alias("content"), F.first("windows").alias("windows"))
-    once = written(once, "contents")
-    sizes = once.groupBy("anchor").agg(F.count("*").alias("n"))
-    alone = once.join(sizes.where("n = 1"), "anchor").where("copies > 1")
-    whole = alone.select("c", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("windows").alias("hi"))).alias("runs"))
-    merged = _merged(once.join(sizes.where(F.col("n").between(2, most_regions)), "anchor"), length, stride, shards)
-    counted = _counted(once.join(sizes.where(F.col("n") > most_regions), "anchor"), length)
-    marks = written(whole.unionByName(merged).unionByName(counted).where(F.size("runs") > 0), "marks")
+    once = written(held.groupBy("anchor", "n", "c").agg(F.sum("copies").alias("copies"), F.first("content").alias("content")), "contents")
+    merged = _merged(once.where(F.col("n") <= most_regions), length, stride, shards)
+    counted = _counted(once.where(F.col("n") > most_regions), length)
+    marks = written(merged.unionByName(counted).where(F.size("runs") > 0), "marks")
     spans = held.select("k", "first", "c").join(marks, "c").select("k", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("first")).alias("lo"), (r["hi"] + F.col("first")).alias("hi"))).alias("runs"))
     return texts, spans.groupBy("k").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
