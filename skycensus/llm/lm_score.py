@@ -1,6 +1,6 @@
 """Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
 
-Texts are tokenized once into chunks of some 24 MB; a chunk is one row with its distinct words (64-bit hashes) and a code for each
+Texts are tokenized once into chunks of some 10 MB; a chunk is one row with its distinct words (64-bit hashes) and a code for each
 token, in a table bucketed by chunk.  Each chunk sends its distinct words and bigrams, with their training counts, to the key
 ranges they belong to; a range adds up the counts of all chunks and returns the totals in the order of each chunk's own keys.
 Hot words are thus aggregated before the shuffle, and no task holds more than a range or a chunk.  Totals are joined to their
@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keyranges import key_ranges, squeeze, stretch
 from .store import written
 from .toxicity import _words
 
 #: Text bytes in a chunk at about; buckets of a context's frequency; steps of a factor of two in the estimates' histogram.
-CHUNK_BYTES, BUCKETS, STEPS = 24 << 20, 24, 8
+CHUNK_BYTES, BUCKETS, STEPS = 10 << 20, 24, 8
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -37,20 +38,6 @@ def is_held_out(doc_id: object) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Little-endian bytes by planes, compressed: most planes are nearly constant."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
-
-
-def _stretch(data: bytes, dtype: type) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
-
-
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of an ordered pair of hashes."""
     x = (a * np.uint64(0xFF51AFD7ED558CCD)) ^ (b + np.uint64(0x9E3779B97F4A7C15) + (a >> np.uint64(29)))
@@ -121,7 +108,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             held = np.fromiter(map(is_held_out, names.to_pylist()), bool, len(names))
             c = Chunk.of_texts(body, held)
             flags = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.array(held))
-            out = [pa.array([part << 32 | seq], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), flags, *(pa.array([_squeeze(x)], pa.binary()) for x in (c.doc_counts.astype(np.uint32), np.diff(c.words, prepend=np.uint64(0)), c.codes))]
+            out = [pa.array([part << 32 | seq], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), flags, *(pa.array([squeeze(x)], pa.binary()) for x in (c.doc_counts.astype(np.uint32), np.diff(c.words, prepend=np.uint64(0)), c.codes))]
             ids, texts, size, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays(out, ["chunk", "doc_ids", "held", "doc_counts", "words", "codes"])
 
@@ -147,13 +134,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _chunk(b: pa.RecordBatch, i: int) -> Chunk:
     col = {n: b.column(j)[i] for j, n in enumerate(b.schema.names)}
     held = np.array(col["held"].as_py(), bool)
-    return Chunk(_stretch(col["doc_counts"].as_py(), np.uint32).astype(np.int64), held, np.cumsum(_stretch(col["words"].as_py(), np.uint64)), _stretch(col["codes"].as_py(), np.uint32))
-
-
-def _ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of ``n`` even ranges of 64-bit keys begins in sorted keys, and the end."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    return Chunk(stretch(col["doc_counts"].as_py(), np.uint32).astype(np.int64), held, np.cumsum(stretch(col["words"].as_py(), np.uint64)), stretch(col["codes"].as_py(), np.uint32))
 
 
 def total_counts(chunks: DataFrame, n_ranges: int) -> DataFrame:
@@ -170,8 +151,8 @@ def total_counts(chunks: DataFrame, n_ranges: int) -> DataFrame:
                 bigrams, of, _, _ = c.pairs()
                 rows: list[tuple[int, int, bytes, bytes]] = []
                 for kind, keys, counts in ((0, c.words, np.bincount(c.codes[train], minlength=len(c.words))), (1, bigrams, np.bincount(of[train], minlength=len(bigrams)))):
-                    at = _ranges(keys, n_ranges)
-                    rows += [(r, kind, _squeeze(np.diff(keys[x:y], prepend=np.uint64(0))), _squeeze(counts[x:y].astype(np.uint32))) for r, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
+                    at = key_ranges(keys, n_ranges)
+                    rows += [(r, kind, squeeze(np.diff(keys[x:y], prepend=np.uint64(0))), squeeze(counts[x:y].astype(np.uint32))) for r, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
                 chunk = pa.array(np.full(len(rows), b.column(0)[i].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), chunk, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["range", "chunk", "kind", "keys", "counts"])
 
@@ -181,12 +162,12 @@ def total_counts(chunks: DataFrame, n_ranges: int) -> DataFrame:
             for r, chunk, kind, keys, counts in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 held.setdefault((r, kind), []).append((chunk, keys, counts))
         for (r, kind), rows in held.items():
-            keys = [np.cumsum(_stretch(x[1], np.uint64)) for x in rows]
+            keys = [np.cumsum(stretch(x[1], np.uint64)) for x in rows]
             sizes = [len(k) for k in keys]
             one, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([_stretch(x[2], np.uint32) for x in rows]), minlength=len(one)).astype(np.int64)
+            total = np.bincount(inverse, np.concatenate([stretch(x[2], np.uint32) for x in rows]), minlength=len(one)).astype(np.int64)
             parts = np.split(total[inverse].astype(np.uint32), np.cumsum(sizes)[:-1])
-            out = [(x[0], kind, _squeeze(p)) for x, p in zip(rows, parts, strict=True)]
+            out = [(x[0], kind, squeeze(p)) for x, p in zip(rows, parts, strict=True)]
             if kind == 0:
                 out.append((-1, 2, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array(np.full(len(out), r, np.int32)), pa.array([x[2] for x in out], pa.binary())], ["chunk", "kind", "range", "totals"])
@@ -247,7 +228,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def counts(b: pa.RecordBatch, i: int) -> tuple[Chunk, tuple[np.ndarray, ...]]:
         c = _chunk(b, i)
         got = b.column(b.schema.names.index("parts"))[i].as_py()
-        words, bigrams = (np.concatenate([_stretch(p["totals"], np.uint32) for p in got if p["kind"] == k]).astype(np.int64) for k in (0, 1))
+        words, bigrams = (np.concatenate([stretch(p["totals"], np.uint32) for p in got if p["kind"] == k]).astype(np.int64) for k in (0, 1))
         return c, _estimates(c, words, bigrams)
 
     def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
