@@ -75,7 +75,7 @@ def _split(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.nd
     return a
 
 
-def trie_pairs(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j within ``budget`` bits, inside each interval [lo, hi) of ``value`` (sorted in each interval).
 
     A node of a trie is an interval and a level.  A node pair (p, q) has p = q or p before q; its children are paired in turn.
@@ -221,8 +221,38 @@ def word_set_fingerprints(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, fp long")
 
 
-def candidate_pairs(nodes: DataFrame, budget: int, masks: list[int]) -> DataFrame:
-    """(a, b): each node with its nearest fingerprint and with the smallest node of its component, in every bucket."""
+#: Fingerprints in a bucket up to which all its pairs within the budget are looked at.
+DENSE = 256
+
+
+def star_links(fps: np.ndarray, budget: int, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of a dense bucket, at most two for each fingerprint: to a medoid within the budget, and to the next one in order.
+
+    A medoid is the fingerprint nearest to the bits' majority: of a family of near copies, the one in the middle.  What lies further
+    away than the budget is gathered around medoids of its own; once that stops paying, only the order's neighbours are linked.
+    """
+    order = np.argsort(fps, kind="stable")
+    step = np.bitwise_count(fps[order[1:]] ^ fps[order[:-1]]) <= budget
+    a, b = [order[:-1][step]], [order[1:][step]]
+    rest = np.arange(len(fps))
+    while len(rest) > 1:
+        center = np.uint64(majority(fps[rest]))
+        medoid = rest[np.argmin(np.bitwise_count(fps[rest] ^ center))]
+        near = np.bitwise_count(fps[rest] ^ fps[medoid]) <= budget
+        mine = rest[near & (rest != medoid)]
+        a.append(np.full(len(mine), medoid))
+        b.append(mine)
+        if near.sum() < max(2, len(rest) // 50) and len(rest) > dense:
+            break
+        rest = rest[~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidate_pairs(nodes: DataFrame, budget: int, masks: list[int], dense: int = DENSE) -> DataFrame:
+    """(a, b): each node with its nearest fingerprint and with the smallest node of its neighbours, in every bucket.
+
+    A bucket with more than ``dense`` fingerprints gives stars instead of pairs, so that a large family costs a multiple of its size.
+    """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one fingerprint, one row: nodes that share it hang on the smallest of them
     groups = nodes.groupBy("fp").agg(F.min("node").alias("head"))
@@ -240,7 +270,7 @@ def candidate_pairs(nodes: DataFrame, budget: int, masks: list[int]) -> DataFram
         node, fp, bucket = node[order], fp[order], bucket[order]
         lo = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         hi = np.concatenate([lo[1:], [len(fp)]])
-        many = hi - lo > 1
+        many = (hi - lo > 1) & (hi - lo <= dense)
         best = np.full(len(fp), BITS + 1, np.int64)
         nearest = np.full(len(fp), -1, np.int64)
         first = np.arange(len(fp))
@@ -255,8 +285,11 @@ def candidate_pairs(nodes: DataFrame, budget: int, masks: list[int]) -> DataFram
                 closer = d < best[x]
                 best[x[closer]], nearest[x[closer]] = d[closer], y[closer]
         ok = nearest >= 0
-        a = np.concatenate([node[ok], node])
-        b = np.concatenate([node[nearest[ok]], node[first]])
+        pairs = [(node[ok], node[nearest[ok]]), (node, node[first])]
+        for x, y in zip(lo[hi - lo > dense].tolist(), hi[hi - lo > dense].tolist(), strict=True):
+            i, j = star_links(fp[x:y], budget, dense)
+            pairs.append((node[x + i], node[x + j]))
+        a, b = (np.concatenate(side) for side in zip(*pairs, strict=True))
         apart = a != b
         a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
