@@ -3,7 +3,7 @@
 A document's ids are cut into full windows and one remainder.  Only the histogram of remainder lengths (one count for each
 length below the window, whatever the number of documents) reaches the driver.  There a bitset subset-sum search finds, for the
 longest remaining length, the multiset of remaining lengths that fills a window closest to its capacity, and repeats it as
-often as the counts allow.  Once no multiset fills a window exactly, what remains is laid end to end and cut at the windows'
+often as the counts allow.  Lengths beside which no multiset fills a window exactly are laid end to end and cut at the windows'
 borders, since cutting is free; the ids after the last border go to windows of powers of two, which need no padding.
 Pieces get their place by their rank among the pieces of equal length, so no task ever holds a length's pieces together.
 
@@ -68,10 +68,14 @@ def plan(histogram: dict[int, int], capacity: int = WINDOW) -> tuple[list[tuple[
     counts = {x: n for x, n in histogram.items() if n > 0}
     used = dict.fromkeys(counts, 0)
     rows, sequence = [], 0
+    rest: dict[int, int] = {}
     while counts:
         chosen = fill(counts, capacity)
         if sum(x * n for x, n in chosen.items()) < capacity:
-            break
+            # nothing fills the window beside the longest length: it waits for the tail
+            longest = max(counts)
+            rest[longest] = counts.pop(longest)
+            continue
         times = min(counts[x] // n for x, n in chosen.items())
         offset = 0
         for x, n in sorted(chosen.items(), reverse=True):
@@ -83,9 +87,9 @@ def plan(histogram: dict[int, int], capacity: int = WINDOW) -> tuple[list[tuple[
                 del counts[x]
         sequence += times
     tail, position = {}, 0
-    for x in sorted(counts, reverse=True):
-        tail[x] = (used[x], used[x] + counts[x], position)
-        position += x * counts[x]
+    for x in sorted(rest, reverse=True):
+        tail[x] = (used[x], used[x] + rest[x], position)
+        position += x * rest[x]
     return rows, tail, sequence, position
 
 
