@@ -75,23 +75,29 @@ def _split(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.nd
     return a
 
 
-def trie_pairs(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, most: int = 1 << 16, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs i < j within ``budget`` bits, inside each interval [lo, hi) of ``value`` (sorted in each interval).
 
+    With ``label``, only pairs of different labels: two nodes that hold one label and no other are not traversed.
+
     A node of a trie is an interval and a level.  A node pair (p, q) has p = q or p before q; its children are paired in turn.
     Pairs wait in chunks of one level on a stack, so that a chunk never grows beyond about ``most`` node pairs.
     """
     stack = [(BITS - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    if label is not None and len(label):
+        ends = np.concatenate([np.flatnonzero(label[1:] != label[:-1]) + 1, [len(label)]])
+        same_to = np.repeat(ends, np.diff(ends, prepend=0))
     while stack:
         bit, a, b, c, d, diff = stack.pop()
+        if label is not None and len(a):
+            mixed = (same_to[a] < b) | (same_to[c] < d) | (label[a] != label[c])
+            a, b, c, d, diff = (x[mixed] for x in (a, b, c, d, diff))
         if len(a) > most:
             half = len(a) // 2
             stack += [(bit, *(x[:half] for x in (a, b, c, d, diff))), (bit, *(x[half:] for x in (a, b, c, d, diff)))]
             continue
         # a pair of leaves is settled at once
         leaf = (b - a == 1) & (d - c == 1)
-        if bit < 0:
-            leaf[:] = True
         if leaf.any():
             i, j = a[leaf], c[leaf]
             near = np.bitwise_count(value[i] ^ value[j]) <= budget
@@ -101,12 +107,13 @@ def trie_pairs(value: np.ndarray, lo: np.ndarray, hi: np.ndarray, budget: int, m
             a, b, c, d, diff = (x[~leaf] for x in (a, b, c, d, diff))
         if not len(a):
             continue
-        m, n = _split(value, a, b, bit), _split(value, c, d, bit)
-        own = a == c
+        # below the last bit all values of a node are equal, and its entries are halved
+        m, n = (_split(value, a, b, bit), _split(value, c, d, bit)) if bit >= 0 else ((a + b) >> 1, (c + d) >> 1)
+        own, cross = a == c, int(bit >= 0)
         parts = []
-        for u, v, x, y, more in ((a, m, c, n, 0), (m, b, n, d, 0), (a, m, n, d, 1), (m, b, c, n, 1)):
+        for u, v, x, y, more, mirror in ((a, m, c, n, 0, False), (m, b, n, d, 0, False), (a, m, n, d, cross, False), (m, b, c, n, cross, True)):
             ok = (u < v) & (x < y) & (diff + more <= budget)
-            if more and x is c:
+            if mirror:
                 ok &= ~own  # the mirror image of the third kind
             parts.append((u[ok], v[ok], x[ok], y[ok], (diff + more)[ok].astype(np.int8)))
         kids = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -197,8 +204,23 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, blocks: int
 # --- near-duplicate documents by shingle similarity -----------------------------------------------------------------------
 
 
-def word_set_fingerprints(texts: DataFrame) -> DataFrame:
-    """(node, fp) of (node, text): the SimHash of each text's different words, so that an edited word moves few bits."""
+#: Bits of a text's parity sketch; partners that a member of a bucket gets in the second round, and their growth from round to round.
+SKETCH, PARTNERS, GROWTH = 256, 8, 8
+_MEMBER = "bucket long, node long, fp long, n int, sketch binary"
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The sorted 32-bit hashes of the text's different ``size``-word shingles."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    grams = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams)))
+
+
+def word_set_fingerprints(texts: DataFrame, size: int) -> DataFrame:
+    """(node, fp, n, sketch) of (node, text): the SimHash of each text's different words, so that an edited word moves few bits; the
+    number of its shingle hashes; and for each value of their low byte, whether an odd number of them has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -216,117 +238,150 @@ def word_set_fingerprints(texts: DataFrame) -> DataFrame:
                 cut = np.searchsorted(row, np.arange(n + 1))
                 for r in np.flatnonzero(np.diff(cut)).tolist():
                     fps[r] = majority(hashes[code[cut[r] : cut[r + 1]]])
-                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(fps.view(np.int64))], ["node", "fp"])
-
-    return texts.mapInArrow(run, "node long, fp long")
-
+                counts, sketches = [], []
+                for x in s.column(1):
+                    h = shingle_hashes(x.as_py(), size)
+                    counts.append(len(h))
+                    sketches.append(np.packbits(np.bincount(h & np.uint32(SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
+                yield pa.RecordBatch.from_arrays([s.column(0), pa.array(fps.view(np.int64)), pa.array(counts, pa.int32()), pa.array(sketches, pa.binary())], ["node", "fp", "n", "sketch"])
 
-#: Fingerprints in a bucket up to which all its pairs within the budget are looked at.
-DENSE = 256
+    return texts.mapInArrow(run, "node long, fp long, n int, sketch binary")
 
 
-def star_links(fps: np.ndarray, budget: int, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) of a dense bucket, at most two for each fingerprint: to a medoid within the budget, and to the next one in order.
+def may_link(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the pairs (i, j) can reach ``similarity``; false only for pairs that cannot.
 
-    A medoid is the fingerprint nearest to the bits' majority: of a family of near copies, the one in the middle.  What lies further
-    away than the budget is gathered around medoids of its own; once that stops paying, only the order's neighbours are linked.
+    Two sets differ in at least as many elements as their parity sketches in bits, which bounds what they can have in common.
     """
-    order = np.argsort(fps, kind="stable")
-    step = np.bitwise_count(fps[order[1:]] ^ fps[order[:-1]]) <= budget
-    a, b = [order[:-1][step]], [order[1:][step]]
-    rest = np.arange(len(fps))
-    while len(rest) > 1:
-        center = np.uint64(majority(fps[rest]))
-        medoid = rest[np.argmin(np.bitwise_count(fps[rest] ^ center))]
-        near = np.bitwise_count(fps[rest] ^ fps[medoid]) <= budget
-        mine = rest[near & (rest != medoid)]
-        a.append(np.full(len(mine), medoid))
-        b.append(mine)
-        if near.sum() < max(2, len(rest) // 50) and len(rest) > dense:
-            break
-        rest = rest[~near]
-    return np.concatenate(a), np.concatenate(b)
-
-
-def candidate_pairs(nodes: DataFrame, budget: int, masks: list[int], dense: int = DENSE) -> DataFrame:
-    """(a, b): each node with its nearest fingerprint and with the smallest node of its neighbours, in every bucket.
-
-    A bucket with more than ``dense`` fingerprints gives stars instead of pairs, so that a large family costs a multiple of its size.
+    both = (n[i] + n[j] - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)) // 2
+    return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (both >= similarity * (n[i] + n[j] - both))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+    """The task's rows by (bucket, fp): all columns, where the buckets of two rows or more begin, and where they end."""
+    cols: list[list[np.ndarray]] = []
+    for b in batches:
+        cols.append([np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, SKETCH // 64) if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns])
+    if not sum(len(c[0]) for c in cols):
+        return None
+    got = [np.concatenate(x) for x in zip(*cols, strict=True)]
+    got[2], got[3] = got[2].view(np.uint64), got[3].astype(np.int64)
+    order = np.lexsort((got[1], got[2], got[0]))
+    got = [x[order] for x in got]
+    lo = np.flatnonzero(np.concatenate([[True], got[0][1:] != got[0][:-1]]))
+    hi = np.concatenate([lo[1:], [len(order)]])
+    return got, lo[hi - lo > 1], hi[hi - lo > 1]
+
+
+def opening_links(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): each member of the buckets [lo, hi) with the next one in order, and with the bucket's medoid.
+
+    The medoid is the fingerprint nearest to the bits' majority: of a family of near copies, the one in the middle.
     """
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one fingerprint, one row: nodes that share it hang on the smallest of them
-    groups = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    same = nodes.join(groups, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    a, b = [], []
+    for s in range(0, len(lo), 1 << 12):
+        x, y = lo[s : s + (1 << 12)], hi[s : s + (1 << 12)]
+        sizes = y - x
+        first = np.cumsum(sizes) - sizes
+        row = np.repeat(x - first, sizes) + np.arange(int(sizes.sum()))
+        ones = np.add.reduceat(np.unpackbits(fps[row].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
+        center = np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        bucket = np.repeat(np.arange(len(x)), sizes)
+        medoid = row[np.lexsort((row, np.bitwise_count(fps[row] ^ center[bucket]), bucket))[first]]
+        a += [np.delete(row, first + sizes - 1), medoid[bucket]]
+        b += [np.delete(row, first), row]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def bucket_members(prints: DataFrame, budget: int, masks: list[int], similarity: float) -> DataFrame:
+    """(bucket, node, fp, n, sketch, mates) of all buckets with two members or more; ``mates`` are the opening round's partners."""
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)))
-    spread = groups.select("head", "fp", F.explode(keys).alias("bucket")).repartition(n, "bucket")
+    spread = prints.withColumn("bucket", F.explode(keys)).select("bucket", "node", "fp", "n", "sketch").repartition(n, "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
-        if not got:
+        got = _gathered(batches)
+        if got is None:
             return
-        node, fp, bucket = (np.concatenate(x) for x in zip(*got, strict=True))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((fp, bucket))
-        node, fp, bucket = node[order], fp[order], bucket[order]
-        lo = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        hi = np.concatenate([lo[1:], [len(fp)]])
-        many = (hi - lo > 1) & (hi - lo <= dense)
-        best = np.full(len(fp), BITS + 1, np.int64)
-        nearest = np.full(len(fp), -1, np.int64)
-        first = np.arange(len(fp))
-        for i, j in trie_pairs(fp, lo[many], hi[many], budget):
-            off = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
-            np.minimum.at(first, np.maximum(i, j), np.minimum(i, j))
-            for x, y in ((i, j), (j, i)):
-                by = np.lexsort((node[y], off, x))
-                x, y, d = x[by], y[by], off[by]
-                head = np.concatenate([[True], x[1:] != x[:-1]])
-                x, y, d = x[head], y[head], d[head]
-                closer = d < best[x]
-                best[x[closer]], nearest[x[closer]] = d[closer], y[closer]
-        ok = nearest >= 0
-        pairs = [(node[ok], node[nearest[ok]]), (node, node[first])]
-        for x, y in zip(lo[hi - lo > dense].tolist(), hi[hi - lo > dense].tolist(), strict=True):
-            i, j = star_links(fp[x:y], budget, dense)
-            pairs.append((node[x + i], node[x + j]))
-        a, b = (np.concatenate(side) for side in zip(*pairs, strict=True))
-        apart = a != b
-        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return same.unionByName(spread.mapInArrow(run, "a long, b long")).distinct()
+        (bucket, node, fp, size, sketch), lo, hi = got
+        i, j = opening_links(fp, lo, hi)
+        ok = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= budget)
+        i, j = i[ok], j[ok]
+        ok = may_link(size, sketch, i, j, similarity)
+        i, j = i[ok], j[ok]
+        order = np.argsort(j, kind="stable")
+        i, j = i[order], j[order]
+        cut = np.searchsorted(j, np.arange(len(fp) + 1))
+        mates = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(node[i]))
+        rows = pa.array(np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(int((hi - lo).sum())))
+        cols = [pa.array(bucket), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary()), mates]
+        whole = pa.RecordBatch.from_arrays(cols, ["bucket", "node", "fp", "n", "sketch", "mates"])
+        for s in range(0, len(rows), 10_000):
+            yield whole.take(rows[s : s + 10_000])
+
+    return spread.mapInArrow(run, f"{_MEMBER}, mates array<long>")
+
+
+def cross_pairs(members: DataFrame, budget: int, similarity: float, most: int) -> DataFrame:
+    """(a, b, bucket) of (bucket, node, fp, n, sketch, root): pairs of different roots that are within the budget and may link.
+
+    Each member of a bucket gets its ``most`` nearest ones.  Where that is not all, a row without a and b names the bucket.
+    """
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _gathered(batches)
+        if got is None:
+            return
+        (bucket, node, fp, size, sketch, root), lo, hi = got
+        held, waiting = [np.zeros(0, np.int64)] * 2, 0
+        more = np.zeros(len(fp), bool)
+
+        def nearest(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+            off = np.bitwise_count(fp[i] ^ fp[j])
+            x, y, pair = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(np.arange(len(i)), 2)
+            by = np.lexsort((node[y], np.tile(off, 2), x))
+            x, pair = x[by], pair[by]
+            start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            rank = np.arange(len(x)) - np.repeat(start, np.diff(start, append=len(x)))
+            keep = np.zeros(len(i), bool)
+            keep[pair[rank < most]] = True
+            more[i[~keep]] = True
+            return [i[keep], j[keep]]
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in trie_pairs(fp, lo, hi, budget, label=root):
+            ok = (root[i] != root[j]) & may_link(size, sketch, i, j, similarity)
+            parts.append((i[ok], j[ok]))
+            waiting += int(ok.sum())
+            if waiting > 1 << 20:
+                held = nearest(*(np.concatenate([h, *p]) for h, p in zip(held, zip(*parts, strict=True), strict=True)))
+                parts, waiting = [], 0
+        if parts:
+            held = nearest(*(np.concatenate([h, *p]) for h, p in zip(held, zip(*parts, strict=True), strict=True)))
+        i, j = held
+        for s in range(0, len(i), 100_000):
+            x, y = node[i[s : s + 100_000]], node[j[s : s + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "bucket"])
+        full = np.unique(bucket[more])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(full)], ["a", "b", "bucket"])
+
+    return members.select("bucket", "node", "fp", "n", "sketch", "root").repartition(n, "bucket").mapInArrow(run, "a long, b long, bucket long")
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the sorted 32-bit hashes of each text's different ``size``-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            body = []
-            for x in b.column(1):
-                words = (x.as_py() or "").encode().lower().split()
-                grams = {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-                body.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams))).tobytes())
+            body = [shingle_hashes(x.as_py(), size).tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(body, pa.binary())], ["node", "shingles"])
 
     return texts.mapInArrow(run, "node long, shingles binary")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 12, tables: int = 20, key_bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; all columns stay as they are.
-
-    Equal texts form a group.  Different texts are compared if SimHashes of their words come within ``budget`` bits and agree on all
-    bits of one of ``tables`` samples; they are linked if the Jaccard similarity of their ``size``-word shingles reaches
-    ``similarity``.  Null and blank texts are equal texts.  Of rows with equal ids in a group one stays; a null id is the last choice.
-    """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    keyed = rows.select("_row", F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
-    groups = written(keyed.groupBy("_k").agg(F.min("_row").alias("node"), F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("kept"), F.min("_id").alias("least"), F.count("*").alias("n")), "texts")
-    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = word_set_fingerprints(texts).join(groups.select("node"), "node", "left_semi")
-    pairs = written(candidate_pairs(written(prints, "word-simhash"), budget, sampled_keys(tables, key_bits)), "candidates")
+def compared(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b, ok) of all pairs: whether their shingles are alike by ``similarity``."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = written(shingle_sets(texts.join(asked, "node", "left_semi"), size), "shingles", "none")
     sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
@@ -334,14 +389,59 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
                 ok.append(both >= similarity * (len(x) + len(y) - both))
-            of = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of)], ["src", "dst"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    return written(sides.mapInArrow(verify, "a long, b long, ok boolean"), "compared")
+
+
+def near_labels(prints: DataFrame, texts: DataFrame, size: int, similarity: float, budget: int, masks: list[int]) -> DataFrame:
+    """(node, root) of linked texts: components of all pairs of a bucket that are within the budget and alike.
+
+    An opening round compares each member with two others, which gathers most of a family whatever its size.  Each later round
+    compares members with their nearest ones of other components, more of them from round to round, until no bucket holds a pair of two
+    components that has not been compared.
+    """
+    members = written(bucket_members(prints, budget, masks, similarity), "members")
+    mates = members.select("node", F.explode("mates").alias("mate"))
+    pairs = written(mates.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct(), "candidates")
+    done = compared(pairs, texts, size, similarity)
+    edges = lambda t: t.where("ok").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = written(connected(edges(done)), "near-labels")
+    members, most = members.drop("mates"), PARTNERS
+    while True:
+        rooted = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = written(cross_pairs(rooted, budget, similarity, most), "cross")
+        pairs = written(found.where("a IS NOT NULL").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "candidates")
+        if not pairs.isEmpty():
+            new = compared(pairs, texts, size, similarity)
+            if not new.where("ok").isEmpty():
+                known = labels.select(F.col("node").alias("src"), F.col("root").alias("dst"))
+                labels = written(connected(known.unionByName(edges(new))), "near-labels")
+            done = done.unionByName(new)
+        full = found.where("a IS NULL").select("bucket").distinct()
+        if full.isEmpty():
+            return labels
+        members, most = members.join(full, "bucket", "left_semi"), most * GROWTH
 
-    labels = written(connected(sides.mapInArrow(verify, "src long, dst long")), "near-labels")
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 12, tables: int = 20, key_bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id; all columns stay as they are.
+
+    Equal texts form a group.  Different texts are compared if SimHashes of their words come within ``budget`` bits and agree on all
+    bits of one of ``tables`` samples; they are linked if the Jaccard similarity of their ``size``-word shingles reaches
+    ``similarity``.  No pair of two groups is left out, however many partners a text has (see ``near_labels``).  Null and blank texts are equal texts.  Of rows with equal ids in a group one stays; a null id is the last choice.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    keyed = rows.select("_row", F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
+    groups = written(keyed.groupBy("_k").agg(F.min("_row").alias("node"), F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("kept"), F.min("_id").alias("least"), F.count("*").alias("n")), "texts")
+    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ones = texts.join(groups.select("node"), "node", "left_semi")
+    prints = word_set_fingerprints(ones, size)
+    labels = near_labels(prints, texts, size, similarity, budget, sampled_keys(tables, key_bits))
     named = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = named.groupBy("root").agg(F.min_by("kept", F.struct(F.col("least").isNull(), "least", "kept")).alias("_row"))
     return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)

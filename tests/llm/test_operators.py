@@ -431,3 +431,44 @@ def test_severity_grows_with_markers():
     model = toxicity.OrdinalModel(("bad",), np.array([3.0]), np.array([2.0, 4.0, 6.0]))
     p = model.grades(pa.array(["fine words", "a bad word", "bad, bad; bad bad", None]))
     assert p.sum(1)[0] == p.sum(1)[3] < p.sum(1)[1] < p.sum(1)[2]
+
+
+# --- near duplicates: no cap on partners ------------------------------------------------------------------------------
+
+
+def test_near_copies_in_thousands_match_all_pairs(spark):
+    rng = np.random.default_rng(29)
+    base = rng.choice(WORDS, 110)
+    texts = []
+    for _ in range(2000):
+        w = base.copy()
+        at = rng.integers(0, len(w), rng.integers(1, 9))
+        w[at] = rng.choice(WORDS, len(at))
+        texts.append(" ".join(w))
+    texts += [" ".join(rng.permutation(base)) for _ in range(20)]  # one SimHash, no shingles in common
+    texts += [t + " " + t.split()[0] for t in texts[-20:]]
+    texts = list(dict.fromkeys(texts))
+    words = [t.encode().lower().split() for t in texts]
+    import xxhash
+
+    fps = np.array([simhash.majority(np.array([xxhash.xxh64_intdigest(x) for x in set(w)], np.uint64)) for w in words], np.uint64)
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    masks = np.array(simhash.sampled_keys(20, 20), np.uint64)
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        apart = fps[:i] ^ fps[i]
+        near = (np.bitwise_count(apart) <= 12) & ((apart[:, None] & masks) == 0).any(axis=1)
+        for j in np.flatnonzero(near).tolist():
+            a, b = top(i), top(j)
+            if a != b and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                root[max(a, b)] = min(a, b)
+    want = sorted(i for i in range(len(texts)) if top(i) == i)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == want
