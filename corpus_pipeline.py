@@ -16,6 +16,8 @@ from skycensus.llm.toxicity import fit, score
 
 #: No SQL can express the fitted model or the tokenizer.
 ORACLE_SQL = None
+#: A passage of over 50 words.
+PASSAGE_WORDS = 51
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of 400-byte strings that occur twice; ``n_chars`` follows the text."""
-    kept = without_repeats(docs)
+    """Documents without 400-byte strings and passages of over 50 words that occur twice; ``n_chars`` follows the text."""
+    kept = without_repeats(docs, words=PASSAGE_WORDS)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -21,6 +21,7 @@ equal ids are rows of their own, and their equal texts repeat each other; other
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ from .store import written
 from .tokenize import row_ranges, text_sizes
 
 LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 32, 100, 4, 512, 400_000
+#: Bytes that stand for a word where windows are counted in words.
+WORD_BYTES = 5
 _SEGMENT = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -198,7 +201,7 @@ def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, copies, raw) of the different texts, bucketed by k, so that joins on it move no text."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     name = f"skycensus_texts_{uuid.uuid4().hex}"
     one = docs.select(raw.alias("raw")).withColumn("k", F.md5("raw")).groupBy("k").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
     one.write.bucketBy(n, "k").option("compression", "zstd").saveAsTable(name)
@@ -393,23 +396,83 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     return texts.join(spans, "k", "left").select("k", "copies", "raw", "spans").mapInArrow(run, "k string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def _word_codes(raw: bytes) -> bytes:
+    """``WORD_BYTES`` bytes of a hash for each word; words end at ASCII white space."""
+    import xxhash
+
+    words = raw.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+
+
+def repeated_words(texts: DataFrame, words: int) -> DataFrame:
+    """(k, w_copies, w_spans) of (k, raw): the operator over word hashes, so that a window is ``words`` words of whatever length.
+
+    ``w_copies`` counts the texts with the same words; places in ``w_spans`` are bytes of ``_word_codes``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_word_codes(x.as_buffer().to_pybytes()) for x in b.column(1)], pa.binary())], ["k", "codes"])
+
+    coded = texts.select("k", "raw").mapInArrow(run, "k string, codes binary")
+    # a window is three strides, so that all of its bytes are compared
+    length = words * WORD_BYTES
+    stride = next(length // n for n in (3, 4, 5, 2, 1) if length % n == 0)
+    same, spans = repeated_spans(coded, length, "k", "codes", stride)
+    names = coded.select("k", F.md5("codes").alias("w"))
+    return names.join(same.select(F.col("k").alias("w"), F.col("copies").alias("w_copies")), "w").join(spans.select(F.col("k").alias("w"), F.col("spans").alias("w_spans")), "w", "left").select("k", "w_copies", "w_spans")
+
+
+def _word_cover(raw: bytes, runs: list[dict[str, int]] | None, copies: int, words: int) -> list[tuple[int, int]]:
+    """The stretches of bytes of ``raw``, from a word's begin to a word's end, that repeated windows of ``words`` words cover."""
+    if copies < 2 and not runs:
+        return []
+    places = [m.span() for m in re.finditer(rb"\S+", raw)]
+    if copies > 1:
+        return [(0, len(raw))] if len(places) >= words else []
+    out = []
+    for r in runs or []:
+        first, last = -(-r["lo"] // WORD_BYTES), (r["hi"] - 1) // WORD_BYTES
+        if first <= last:
+            out.append((places[first][0], places[last + words - 1][1]))
+    return out
+
+
+def _union(cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(cover):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, **how: int) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts; a character that is cut in two goes as a whole.
 
+    With ``words``, passages of that many words that occur twice are cut out as well, whatever their bytes and the white space between them.
     Every row stays, with a null text as null; the other columns are as they were.
     """
     texts, spans = repeated_spans(docs, length, id_col, text_col, **how)
+    found = texts.join(spans, "k", "left")
+    if words:
+        found = found.join(written(repeated_words(texts, words), "word-spans"), "k")
+    else:
+        found = found.withColumns({"w_copies": F.lit(1).cast("long"), "w_spans": F.lit(None).cast(_RUNS)})
     rest = [c for c in docs.columns if c != text_col]
     keyed = docs.select(*(F.col(c).alias(f"o{i}") for i, c in enumerate(rest)), F.col(text_col).isNull().alias("was_null"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("k"))
-    found = texts.join(spans, "k", "left").join(keyed, "k").select("copies", "raw", "spans", "was_null", *(f"o{i}" for i in range(len(rest))))
+    found = found.join(keyed, "k").select("copies", "raw", "spans", "w_copies", "w_spans", "was_null", *(f"o{i}" for i in range(len(rest))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for copies, raw, runs, null in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for copies, raw, runs, w_copies, w_runs, null in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 cover = _cover(runs, len(raw), copies, length)
+                if words:
+                    cover = _union(cover + _word_cover(raw, w_runs, max(copies, w_copies), words))
                 out.append(None if null else raw.decode() if not cover else _kept(raw, cover).decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[4:]], ["text", *b.schema.names[4:]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[6:]], ["text", *b.schema.names[6:]])
 
     from pyspark.sql.types import StructType
 
