@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keyranges import key_ranges, squeeze, stretch
+from .keyranges import grouped, key_pieces, squeeze, stretch
 from .store import written
 from .toxicity import _words
 
 #: Text bytes in a chunk at about; buckets of a context's frequency; steps of a factor of two in the estimates' histogram.
 CHUNK_BYTES, BUCKETS, STEPS = 10 << 20, 24, 8
+#: A range of keys takes about as much memory as so many chunks.
+CHUNKS_A_RANGE = 2
 _END, _START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -151,17 +153,13 @@ def total_counts(chunks: DataFrame, n_ranges: int) -> DataFrame:
                 bigrams, of, _, _ = c.pairs()
                 rows: list[tuple[int, int, bytes, bytes]] = []
                 for kind, keys, counts in ((0, c.words, np.bincount(c.codes[train], minlength=len(c.words))), (1, bigrams, np.bincount(of[train], minlength=len(bigrams)))):
-                    at = key_ranges(keys, n_ranges)
-                    rows += [(r, kind, squeeze(np.diff(keys[x:y], prepend=np.uint64(0))), squeeze(counts[x:y].astype(np.uint32))) for r, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
+                    rows += [(r, kind, squeeze(np.diff(keys[x], prepend=np.uint64(0))), squeeze(counts[x].astype(np.uint32))) for r, x in key_pieces(keys, n_ranges)]
                 chunk = pa.array(np.full(len(rows), b.column(0)[i].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), chunk, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["range", "chunk", "kind", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), chunk, pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["range", "kind", "chunk", "keys", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple[int, bytes, bytes]]] = {}
-        for b in batches:
-            for r, chunk, kind, keys, counts in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                held.setdefault((r, kind), []).append((chunk, keys, counts))
-        for (r, kind), rows in held.items():
+        for (r, kind), group in grouped(batches, 2):
+            rows = [x[2:] for x in group]
             keys = [np.cumsum(stretch(x[1], np.uint64)) for x in rows]
             sizes = [len(k) for k in keys]
             one, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -172,8 +170,8 @@ def total_counts(chunks: DataFrame, n_ranges: int) -> DataFrame:
                 out.append((-1, 2, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array(np.full(len(out), r, np.int32)), pa.array([x[2] for x in out], pa.binary())], ["chunk", "kind", "range", "totals"])
 
-    sent = chunks.mapInArrow(send, "range int, chunk long, kind int, keys binary, counts binary")
-    return sent.repartition(n_ranges, "range").mapInArrow(add, "chunk long, kind int, range int, totals binary")
+    sent = chunks.mapInArrow(send, "range int, kind int, chunk long, keys binary, counts binary")
+    return sent.repartition(n_ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(add, "chunk long, kind int, range int, totals binary")
 
 
 def _estimates(c: Chunk, words: np.ndarray, bigrams: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -217,7 +215,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     chunks = chunk_table(docs, id_col, text_col, chunk_bytes)
-    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.count())
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // CHUNKS_A_RANGE))
     totals = written(total_counts(chunks, n_ranges), "lm-totals", "none")
     stats = [np.frombuffer(bytes(r.totals), np.int64) for r in totals.where("kind = 2").select("totals").collect()]  # two numbers a range
     n, v = (int(sum(s[i] for s in stats)) for i in (0, 1))

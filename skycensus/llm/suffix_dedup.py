@@ -1,18 +1,19 @@
 """Repeated substrings of a corpus by merging shard Burrows-Wheeler transforms.
 
-Every byte covered by a ``length``-byte string that also starts anywhere else (in any text, the same one included) is marked.
+Every symbol covered by a string of ``length`` symbols that also starts anywhere else (in any text, the same one included) is marked.
+A symbol is a byte, or with ``words`` a word.
 
 1. *Texts once.*  Texts group by their MD5; a text with copies is repeated as a whole, and the rest of the work sees it once.
-2. *Candidates.*  Each window of ``length`` bytes belongs to its leftmost smallest ``GRAM``-byte gram by hash (its anchor).  Equal
+2. *Candidates.*  Each window of ``length`` symbols belongs to its leftmost smallest ``gram`` by hash (its anchor).  Equal
    windows have equal anchors at equal places, so only windows whose anchor's gram occurs twice can repeat: nothing is lost.
-   A run of windows with one anchor is a region; regions of equal content are one row.
+   A run of windows with one anchor is a region; of regions with equal content one is looked at.
 3. *Shards and merge.*  Regions meet by anchor.  A task deals the regions of its groups to shards.  A shard's strings are read with a
-   stride of ``STRIDE`` bytes (one symbol for each stride), its suffixes are sorted and its BWT is written down.  The
-   shards' BWTs are then merged by refining their interleave: one stable pass over the merged BWT's symbols turns the order by t - 1
-   symbols into the order by t symbols, without sorting suffixes again.  A block border that first appears in pass t has a common
-   prefix of t - 1 symbols; after ``length / STRIDE`` passes the blocks are the repeated intervals.
-4. *Hot anchors.*  Groups of more than ``MOST_REGIONS`` regions are not brought together: their windows are counted by hash over key
-   ranges instead, packed in blocks, which needs no group at all and gives the same marks.
+   stride (one letter for each stride), its suffixes are sorted and its BWT is written down.  The
+   shards' BWTs are then merged by refining their interleave: one stable pass over the merged BWT's letters turns the order by t - 1
+   letters into the order by t letters, without sorting suffixes again.  A block border that first appears in pass t has a common
+   prefix of t - 1 letters; after ``length / stride`` passes the blocks are the repeated intervals.
+4. *Hot anchors.*  Groups of more than ``MOST_REGIONS`` different regions are not brought together in a task: their windows are counted
+   by hash over key ranges instead, packed in blocks, which needs no group at all and gives the same marks.
 
 Contracts: a null text is empty; texts shorter than ``length`` have no marks of their own; matches never cross texts; rows with
 equal ids are rows of their own, and their equal texts repeat each other; other columns are ignored; an empty table gives an empty one.
@@ -21,22 +22,23 @@ equal ids are rows of their own, and their equal texts repeat each other; other
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .keyranges import key_ranges, keys_seen_twice, squeeze
+from .keyranges import FLAGS, SENT, gathered_flags, keys_seen_twice, sent_keys
 from .store import written
 from .tokenize import row_ranges, text_sizes
 
-LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 32, 100, 4, 512, 400_000
-#: Bytes that stand for a word where windows are counted in words.
-WORD_BYTES = 5
+LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 64, 100, 4, 4096, 400_000
+#: The same for windows of words: a passage of over 50 words, anchored by eight of them.
+PASSAGE_WORDS, WORD_GRAM, WORD_STRIDE = 51, 8, 17
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _SEGMENT = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -59,14 +61,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def substring_hashes(x: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each ``size``-byte substring."""
+    """A 64-bit hash of each substring of ``size`` symbols: bytes, or 64-bit hashes of words."""
     if len(x) < size:
         return np.zeros(0, np.uint64)
     up, down, value = _powers(which, len(x))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[x] * up[: len(x)], dtype=np.uint64)])
+    letters = value[x] if x.dtype == np.uint8 else x * np.uint64(_BASES[which]) | np.uint64(1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * up[: len(x)], dtype=np.uint64)])
     return _mixed((sums[size:] - sums[:-size]) * down[: len(x) - size + 1])
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, offsets of the texts in words, the words' first bytes, the bytes after them).
+
+    ``offsets`` are those of the texts in ``data``; words end at ASCII white space.
+    """
+    inside = ~_SPACE[data]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    begin[edges] = inside[edges]
+    end[edges - 1] = inside[edges - 1]
+    first, after = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    up, down, value = _powers(0, len(data))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[: len(data)], dtype=np.uint64)])
+    return _mixed((sums[after] - sums[first]) * down[first]), np.searchsorted(first, offsets), first, after
+
+
+def _symbols(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(data, offsets)[:2] if words else (data, offsets)
+
+
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     n = len(v)
     full = np.full(-(-n // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -78,7 +104,7 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def regions(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, number of windows, anchor's place from the first window, gram hash) of the texts data[offsets[i]:offsets[i + 1]]."""
+    """(text, first window, number of windows, anchor's place from the first window, gram hash) of the texts data[offsets[i]:offsets[i + 1]] of symbols."""
     sizes = np.diff(offsets)
     text_of = np.repeat(np.arange(len(sizes)), sizes)
     found: list[tuple[np.ndarray, ...]] = []
@@ -113,12 +139,11 @@ def shard_bwt(symbols: np.ndarray, following: np.ndarray, preceding: np.ndarray,
     ``symbols[p] > 0`` is the symbol at p, 0 the end of a string; ``following`` and ``preceding`` lead to the next and previous
     position of the string (an end follows itself; a first position is preceded by -1).  Ranks double until ``depth`` symbols are sorted.
     """
-    _, rank = np.unique(symbols, return_inverse=True)
-    jump, known = following, 1
-    while known < depth:
-        _, rank = np.unique(rank * (len(rank) + 1) + rank[jump], return_inverse=True)
+    rank, jump, known = symbols, following, 1
+    while 2 * known < depth:
+        _, rank = np.unique(rank * (int(rank.max()) + 1) + rank[jump], return_inverse=True)
         jump, known = jump[jump], 2 * known
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank * (int(rank.max()) + 1) + rank[jump], kind="stable") if known < depth else np.argsort(rank, kind="stable")
     before = preceding[order]
     return order, np.where(before < 0, 0, symbols[before])
 
@@ -147,42 +172,50 @@ def merge_bwts(bwts: list[np.ndarray], passes: int) -> tuple[np.ndarray, np.ndar
     return z, prefix
 
 
-def repeated_windows(contents: list[bytes], length: int = LENGTH, stride: int = STRIDE, shards: int = SHARDS) -> list[np.ndarray]:
-    """For each content, which of its windows also start in another content (or elsewhere in it): a boolean for each window."""
+def repeated_windows(contents: list[np.ndarray], length: int = LENGTH, stride: int = STRIDE, shards: int = SHARDS) -> list[np.ndarray]:
+    """For each content (an array of symbols), which of its windows also start in another content (or elsewhere in it): a boolean for each window.
+
+    A string of a shard is a chain of every ``stride``-th place of a content; only chains on which a window starts are read.
+    """
     sizes = np.array([len(c) for c in contents], np.int64)
-    data = np.frombuffer(b"".join(contents), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    hashes = substring_hashes(data, stride)
-    n_pos = sizes - stride + 1
-    owner = np.repeat(np.arange(len(sizes)), n_pos)
-    inside = np.arange(int(n_pos.sum())) - np.repeat(np.cumsum(n_pos) - n_pos, n_pos)
+    windows = sizes - length + 1
+    hashes = substring_hashes(np.concatenate(contents), stride)
+    offsets = np.cumsum(sizes) - sizes
+    n_chains = np.minimum(windows, stride)
+    of = np.repeat(np.arange(len(sizes)), n_chains)
+    residue = np.arange(int(n_chains.sum())) - np.repeat(np.cumsum(n_chains) - n_chains, n_chains)
+    links = (sizes[of] - stride - residue) // stride + 1
+    owner, chain_residue = np.repeat(of, links), np.repeat(residue, links)
+    step = np.arange(int(links.sum())) - np.repeat(np.cumsum(links) - links, links)
+    inside = chain_residue + stride * step
+    head, tail = step == 0, step == np.repeat(links, links) - 1
     _, symbol = np.unique(hashes[offsets[owner] + inside], return_inverse=True)
     symbol = symbol + 1
     shards = min(shards, len(contents))
-    ranked: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    ranked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for k in range(shards):
         mine = np.flatnonzero(owner % shards == k)
-        who, at = owner[mine], inside[mine]
         n = len(mine)
-        last = at + stride >= n_pos[who]
-        ends = np.flatnonzero(last)  # each gets the end of its string
-        following = np.concatenate([np.arange(n) + stride, n + np.arange(len(ends))])
+        ends = np.flatnonzero(tail[mine])  # each gets the end of its string
+        following = np.concatenate([np.arange(n) + 1, n + np.arange(len(ends))])
         following[ends] = n + np.arange(len(ends))
-        preceding = np.concatenate([np.where(at >= stride, np.arange(n) - stride, -1), ends])
+        preceding = np.concatenate([np.where(head[mine], -1, np.arange(n) - 1), ends])
         order, bwt = shard_bwt(np.concatenate([symbol[mine], np.zeros(len(ends), np.int64)]), following, preceding, length // stride)
-        ranked.append((order, bwt, mine, np.array([n])))
+        ranked.append((order, bwt, mine))
     z, prefix = merge_bwts([r[1] for r in ranked], length // stride)
     alike = prefix >= length // stride
     alike[0] = False
     repeated = alike.copy()
     repeated[:-1] |= alike[1:]
-    marks = np.zeros(len(owner), bool)
-    for k, (order, _, mine, n) in enumerate(ranked):
+    ends = np.cumsum(windows)
+    marks = np.zeros(int(ends[-1]), bool)
+    for k, (order, _, mine) in enumerate(ranked):
         flags = repeated[z == k]
-        real = order < n[0]
-        marks[mine[order[real]]] = flags[real]
-    bounds = np.cumsum(n_pos) - n_pos
-    return [marks[b : b + s - length + 1] for b, s in zip(bounds.tolist(), sizes.tolist(), strict=True)]
+        real = order < len(mine)
+        at, flags = mine[order[real]], flags[real]
+        starts = inside[at] < windows[owner[at]]
+        marks[(ends - windows)[owner[at[starts]]] + inside[at[starts]]] = flags[starts]
+    return np.split(marks, ends[:-1])
 
 
 def _runs(flags: np.ndarray) -> list[dict[str, int]]:
@@ -197,93 +230,119 @@ _RUN_TYPE = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 # --- Spark jobs -------------------------------------------------------------------------------------------------------
 
 
-def _distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, copies, raw) of the different texts, bucketed by k, so that joins on it move no text."""
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(k, copies, raw) of the different texts, bucketed by k (their MD5), so that joins on it move no text."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     name = f"skycensus_texts_{uuid.uuid4().hex}"
-    one = docs.select(raw.alias("raw")).withColumn("k", F.md5("raw")).groupBy("k").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    one = docs.select(raw.alias("raw")).withColumn("k", _key("raw")).groupBy("k").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
     one.write.bucketBy(n, "k").option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
-def _anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def _key(raw: str) -> Column:
+    return F.unhex(F.md5(raw))
+
+
+def _text_slices(b: pa.RecordBatch, words: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, symbols of their texts, offsets of the texts) of about a megabyte each; the texts are the column ``raw``."""
+    at = b.schema.names.index("raw")
+    for i, n in row_ranges(text_sizes(b.column(at)), _SEGMENT):
+        s = b.slice(i, n).take(pa.array(np.arange(n)))
+        raw = s.column(at).cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64, n + 1, raw.offset * 8)
+        data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
+        yield s, *_symbols(data[offsets[0] : offsets[-1]], offsets - offsets[0], words)
+
+
+def _anchored(texts: DataFrame, length: int, gram: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 512):
-                s = b.slice(i, 512).take(pa.array(np.arange(min(512, len(b) - i))))
-                raw = s.column(2).cast(pa.large_binary())
-                offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-                data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] is not None else np.zeros(0, np.uint8)
-                text, first, count, place, key = regions(data[offsets[0] : offsets[-1]], offsets - offsets[0], length, gram)
+            for s, symbols, offsets in _text_slices(b, words):
+                text, first, count, place, key = regions(symbols, offsets, length, gram)
                 of = pa.array(text)
-                yield pa.RecordBatch.from_arrays([s.column(0).take(of), s.column(1).take(of), pa.array(first), pa.array(count), pa.array(place), pa.array(key.view(np.int64))], ["k", "copies", "first", "windows", "place", "anchor"])
+                yield pa.RecordBatch.from_arrays([s.column(0).take(of), s.column(1).take(of), *(pa.array(x.astype(np.int32)) for x in (first, count, place)), pa.array(key.view(np.int64))], ["k", "copies", "first", "windows", "place", "anchor"])
 
-    return texts.select("k", "copies", "raw").mapInArrow(run, "k string, copies long, first long, windows long, place long, anchor long")
+    return texts.select("k", "copies", "raw").mapInArrow(run, "k binary, copies long, first int, windows int, place int, anchor long")
 
 
-def _contents(texts: DataFrame, suspects: DataFrame, length: int) -> DataFrame:
-    """A row for each suspect region with its bytes and their hash."""
-    listed = suspects.groupBy("k").agg(F.collect_list(F.struct("first", "windows", "place", "anchor", "n")).alias("regions"))
+def _listed(b: pa.RecordBatch, offsets: np.ndarray, names: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of a batch's lists ``regions``: (row of each entry, the named fields); field ``first`` counts from the batch's first symbol."""
+    lists = b.column(b.schema.names.index("regions"))
+    row = np.repeat(np.arange(len(b)), np.diff(lists.offsets.to_numpy()))
+    entries = lists.flatten()
+    fields = {x: entries.field(x).to_numpy(zero_copy_only=False) if entries.type.field(x).type != pa.binary() else entries.field(x) for x in names}
+    fields["at"] = offsets[row] + fields["first"]
+    return row, fields
+
+
+def _digests(texts: DataFrame, suspects: DataFrame, length: int, words: bool) -> DataFrame:
+    """(k, copies, first, windows, anchor, c) of each suspect region: c is the hash of its content and its anchor's place."""
+    listed = suspects.groupBy("k").agg(F.collect_list(F.struct("first", "windows", "place", "anchor")).alias("regions"))
+    names = ["first", "windows", "place", "anchor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            for i in range(len(b)):
-                raw = b.column(2)[i].as_py()
-                k, copies = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                got = b.column(3)[i].as_py()
-                body = [raw[r["first"] : r["first"] + r["windows"] + length - 1] for r in got]
-                digest = [xxhash.xxh3_128_digest(c, r["place"]) for c, r in zip(body, got, strict=True)]
-                n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * n), pa.array([copies] * n, pa.int64()), *(pa.array([r[c] for r in got], pa.int64()) for c in ("first", "windows", "anchor", "n")), pa.array(digest, pa.binary()), pa.array(body, pa.binary())], ["k", "copies", "first", "windows", "anchor", "n", "c", "content"])
+            for s, symbols, offsets in _text_slices(b, words):
+                row, r = _listed(s, offsets, names)
+                body, wide = memoryview(np.ascontiguousarray(symbols)).cast("B"), symbols.itemsize
+                lo, hi = (r["at"] * wide).tolist(), ((r["at"] + r["windows"] + length - 1) * wide).tolist()
+                digest = [xxhash.xxh3_128_digest(body[x:y], p) for x, y, p in zip(lo, hi, r["place"].tolist(), strict=True)]
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([s.column(0).take(of), s.column(1).take(of), pa.array(r["first"]), pa.array(r["windows"]), pa.array(r["anchor"]), pa.array(digest, pa.binary())], ["k", "copies", "first", "windows", "anchor", "c"])
 
-    return texts.join(listed, "k").select("k", "copies", "raw", "regions").mapInArrow(run, "k string, copies long, first long, windows long, anchor long, n long, c binary, content binary")
+    return texts.join(listed, "k").select("k", "copies", "raw", "regions").mapInArrow(run, "k binary, copies long, first int, windows int, anchor long, c binary")
 
 
-def _merged(groups: DataFrame, length: int, stride: int, shards: int) -> DataFrame:
+def _contents(texts: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
+    """(anchor, many, c, copies, content) of the wanted regions (k, first, windows and these), each content once."""
+    names = ["first", "windows", "anchor", "many", "copies", "c"]
+    listed = wanted.groupBy("k").agg(F.collect_list(F.struct(*names)).alias("regions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s, symbols, offsets in _text_slices(b, words):
+                _, r = _listed(s, offsets, names)
+                body, wide = memoryview(np.ascontiguousarray(symbols)).cast("B"), symbols.itemsize
+                lo, hi = (r["at"] * wide).tolist(), ((r["at"] + r["windows"] + length - 1) * wide).tolist()
+                for i in range(0, len(lo), 4000):
+                    some = slice(i, i + 4000)
+                    content = pa.array([bytes(body[x:y]) for x, y in zip(lo[some], hi[some], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(r["anchor"][some]), pa.array(r["many"][some]), r["c"][some], pa.array(r["copies"][some]), content], ["anchor", "many", "c", "copies", "content"])
+
+    return texts.select("k", "raw").join(listed, "k").select("k", "raw", "regions").mapInArrow(run, "anchor long, many long, c binary, copies long, content binary")
+
+
+def _merged(groups: DataFrame, length: int, stride: int, shards: int, kind: type) -> DataFrame:
     """(c, runs): repeated windows of the regions of whole anchor groups."""
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack: list[tuple[bytes, bytes, int]] = []
-        group: list[tuple[bytes, bytes, int]] = []
-        sure: list[tuple[bytes, list[dict[str, int]]]] = []
+        pack: list[tuple[bytes, np.ndarray, int]] = []
         size, anchor = 0, None
 
-        def end_group() -> None:
-            nonlocal group, size
-            if len(group) > 1:
-                pack.extend(group)
-                size += sum(len(g[1]) for g in group)
-            elif group and group[0][2] > 1:  # one content in several places
-                sure.append((group[0][0], [{"lo": 0, "hi": len(group[0][1]) - length + 1}]))
-            group = []
-
         def done() -> pa.RecordBatch:
-            marks = repeated_windows([p[1] for p in pack], length, stride, shards) if pack else []
-            rows = sure + [(p[0], _runs(np.ones(len(m), bool) if p[2] > 1 else m)) for p, m in zip(pack, marks, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], _RUN_TYPE)], ["c", "runs"])
+            marks = repeated_windows([p[1] for p in pack], length, stride, shards)
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pack], pa.binary()), pa.array([_runs(np.ones(len(m), bool) if p[2] > 1 else m) for p, m in zip(pack, marks, strict=True)], _RUN_TYPE)], ["c", "runs"])
 
         for b in batches:
             for a, c, content, copies in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if a != anchor:
-                    end_group()
-                    anchor = a
-                    if size >= PACK:
-                        yield done()
-                        pack, sure, size = [], [], 0
-                group.append((c, content, copies))
-        end_group()
-        if pack or sure:
+                if a != anchor and size >= PACK:
+                    yield done()
+                    pack, size = [], 0
+                anchor = a
+                pack.append((c, np.frombuffer(content, kind), copies))
+                size += len(pack[-1][1])
+        if pack:
             yield done()
 
     return groups.repartition(n, "anchor").sortWithinPartitions("anchor", "c").select("anchor", "c", "content", "copies").mapInArrow(run, f"c binary, runs {_RUNS}")
 
 
-def _counted(groups: DataFrame, length: int) -> DataFrame:
+def _counted(groups: DataFrame, length: int, kind: type) -> DataFrame:
     """(c, runs) by counting the windows of hot anchors' regions over ranges of their hashes; the regions need not meet.
 
     Regions are packed into blocks.  A block sends its distinct hashes and their numbers to the ranges; a range adds up all blocks and
@@ -307,7 +366,7 @@ def _counted(groups: DataFrame, length: int) -> DataFrame:
         """(hash of each window, its region, its copies)."""
         hashes, of, copies = [], [], []
         for r, (content, k) in enumerate(zip(b.column(2)[i].as_py(), b.column(3)[i].as_py(), strict=True)):
-            x = np.frombuffer(content, np.uint8)
+            x = np.frombuffer(content, kind)
             h = _mixed(substring_hashes(x, length, 0) + np.uint64(0x632BE59BD9B4E019) * substring_hashes(x, length, 1))
             hashes.append(h)
             of.append(np.full(len(h), r))
@@ -320,43 +379,46 @@ def _counted(groups: DataFrame, length: int) -> DataFrame:
                 h, _, copies = windows(b, i)
                 keys, inverse = np.unique(h, return_inverse=True)
                 twice = np.bincount(inverse, copies, minlength=len(keys)) > 1
-                at = key_ranges(keys, n)
-                rows = [(r, squeeze(np.diff(keys[x:y], prepend=np.uint64(0))), np.packbits(twice[x:y]).tobytes()) for r, (x, y) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["range", "block", "keys", "twice"])
+                yield sent_keys(b.column(0)[i].as_py(), keys, twice, n)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
                 h, of, _ = windows(b, i)
                 keys = np.unique(h)
-                got = b.column(b.schema.names.index("parts"))[i].as_py()
-                many = np.concatenate([np.unpackbits(np.frombuffer(p["flags"], np.uint8), count=p["n"]) for p in got]).astype(bool)
+                many = gathered_flags(b.column(b.schema.names.index("parts"))[i].as_py())
                 hit = many[np.searchsorted(keys, h)]
                 cut = np.searchsorted(of, np.arange(len(b.column(1)[i]) + 1))
                 runs = [_runs(hit[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(1)[i].values, pa.array(runs, _RUN_TYPE)], ["c", "runs"])
 
     packed = written(groups.select("c", "content", "copies").mapInArrow(blocks, "block long, c array<binary>, content array<binary>, copies array<long>"), "hot-regions")
-    flags = packed.mapInArrow(send, "range int, block long, keys binary, twice binary").repartition(n, "range").mapInArrow(keys_seen_twice, "block long, range int, n int, flags binary")
+    flags = packed.mapInArrow(send, SENT).repartition(n, "range").sortWithinPartitions("range").mapInArrow(keys_seen_twice, FLAGS)
     parts = written(flags, "hot-flags", "none").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "flags"))).alias("parts"))
     return packed.join(parts, "block").mapInArrow(mark, f"c binary, runs {_RUNS}")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", stride: int = STRIDE, gram: int = GRAM, most_regions: int = MOST_REGIONS, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(texts (k, copies, raw), spans (k, spans)): for each different text the window runs [lo, hi) that repeat."""
-    if length % stride or gram > stride:
-        raise ValueError("the length is a multiple of the stride, and a gram is no longer than a stride")
-    texts = _distinct_texts(docs, id_col, text_col)
-    anchors = written(_anchored(texts, length, gram), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1")
-    suspects = anchors.join(twice, "anchor")
-    held = written(_contents(texts, suspects, length), "regions")
-    once = written(held.groupBy("anchor", "n", "c").agg(F.sum("copies").alias("copies"), F.first("content").alias("content")), "contents")
-    merged = _merged(once.where(F.col("n") <= most_regions), length, stride, shards)
-    counted = _counted(once.where(F.col("n") > most_regions), length)
-    marks = written(merged.unionByName(counted).where(F.size("runs") > 0), "marks")
+def repeated_spans(texts: DataFrame, length: int = LENGTH, words: bool = False, stride: int | None = None, gram: int | None = None, most_regions: int = MOST_REGIONS, shards: int = SHARDS) -> DataFrame:
+    """(k, spans) of ``distinct_texts``: for each text the window runs [lo, hi) that repeat, in bytes or in words."""
+    stride, gram = stride or (WORD_STRIDE if words else STRIDE), gram or (WORD_GRAM if words else GRAM)
+    if length % stride or gram > length:
+        raise ValueError("the length is a multiple of the stride, and a gram is no longer than the length")
+    kind = np.uint64 if words else np.uint8
+    anchors = written(_anchored(texts, length, gram, words), "anchors")
+    # each side of the joins below is a table, so that a hot key's rows can be split over tasks
+    twice = written(anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "twice")
+    held = written(_digests(texts, anchors.join(twice, "anchor"), length, words), "regions")
+    once = written(held.groupBy("anchor", "c").agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "first", "windows")).alias("one")), "contents")
+    groups = written(once.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"), "groups")
+    # the only content of its anchor is there twice itself
+    sure = once.join(groups, "anchor", "left_anti").select("c", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("one.windows").cast("long").alias("hi"))).alias("runs"))
+    found = _contents(texts, once.join(groups, "anchor").select("one.*", "anchor", "many", "copies", "c"), length, words)
+    content = written(found, "bodies")
+    merged = _merged(content.where(F.col("many") <= most_regions), length, stride, shards, kind)
+    counted = _counted(content.where(F.col("many") > most_regions), length, kind)
+    marks = written(sure.unionByName(merged).unionByName(counted).where(F.size("runs") > 0), "marks")
     spans = held.select("k", "first", "c").join(marks, "c").select("k", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("first")).alias("lo"), (r["hi"] + F.col("first")).alias("hi"))).alias("runs"))
-    return texts, spans.groupBy("k").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    return spans.groupBy("k").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
 def _cover(runs: list[dict[str, int]] | None, n: int, copies: int, length: int) -> list[tuple[int, int]]:
@@ -378,64 +440,16 @@ def _kept(raw: bytes, cover: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, starts, strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """(k, n_bytes, n_removed, n_spans, kept_sha256) of the different texts; k is the text's MD5."""
-    texts, spans = repeated_spans(docs, length, id_col, text_col, **how)
-    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for k, copies, raw, runs in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                cover = _cover(runs, len(raw), copies, length)
-                kept = _kept(raw, cover)
-                rows.append((k, len(raw), len(raw) - len(kept), len(cover), hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
-
-    return texts.join(spans, "k", "left").select("k", "copies", "raw", "spans").mapInArrow(run, "k string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def _word_codes(raw: bytes) -> bytes:
-    """``WORD_BYTES`` bytes of a hash for each word; words end at ASCII white space."""
-    import xxhash
-
-    words = raw.split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
-
-
-def repeated_words(texts: DataFrame, words: int) -> DataFrame:
-    """(k, w_copies, w_spans) of (k, raw): the operator over word hashes, so that a window is ``words`` words of whatever length.
-
-    ``w_copies`` counts the texts with the same words; places in ``w_spans`` are bytes of ``_word_codes``.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_word_codes(x.as_buffer().to_pybytes()) for x in b.column(1)], pa.binary())], ["k", "codes"])
-
-    coded = texts.select("k", "raw").mapInArrow(run, "k string, codes binary")
-    # a window is three strides, so that all of its bytes are compared
-    length = words * WORD_BYTES
-    stride = next(length // n for n in (3, 4, 5, 2, 1) if length % n == 0)
-    same, spans = repeated_spans(coded, length, "k", "codes", stride)
-    names = coded.select("k", F.md5("codes").alias("w"))
-    return names.join(same.select(F.col("k").alias("w"), F.col("copies").alias("w_copies")), "w").join(spans.select(F.col("k").alias("w"), F.col("spans").alias("w_spans")), "w", "left").select("k", "w_copies", "w_spans")
-
-
-def _word_cover(raw: bytes, runs: list[dict[str, int]] | None, copies: int, words: int) -> list[tuple[int, int]]:
-    """The stretches of bytes of ``raw``, from a word's begin to a word's end, that repeated windows of ``words`` words cover."""
+def word_cover(raw: bytes, runs: list[dict[str, int]] | None, copies: int, words: int) -> tuple[list[tuple[int, int]], int, int]:
+    """(stretches of bytes from a word's begin to a word's end that repeated windows of ``words`` words cover, their words, their number)."""
     if copies < 2 and not runs:
-        return []
-    places = [m.span() for m in re.finditer(rb"\S+", raw)]
+        return [], 0, 0
+    data = np.frombuffer(raw, np.uint8)
+    _, ends, first, after = word_hashes(data, np.array([0, len(data)]))
     if copies > 1:
-        return [(0, len(raw))] if len(places) >= words else []
-    out = []
-    for r in runs or []:
-        first, last = -(-r["lo"] // WORD_BYTES), (r["hi"] - 1) // WORD_BYTES
-        if first <= last:
-            out.append((places[first][0], places[last + words - 1][1]))
-    return out
+        runs = [{"lo": 0, "hi": len(first) - words + 1}] if len(first) >= words else []
+    cover = _union([(r["lo"], r["hi"] + words - 1) for r in runs or []])
+    return [(int(first[lo]), int(after[hi - 1])) for lo, hi in cover], sum(hi - lo for lo, hi in cover), len(cover)
 
 
 def _union(cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -448,33 +462,58 @@ def _union(cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, **how: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, words: int | None, text_col: str, how: dict[str, int]) -> DataFrame:
+    """(k, copies, raw, spans, w_spans) of the different texts: repeated window runs in bytes and, with ``words``, in words."""
+    texts = distinct_texts(docs, text_col)
+    found = texts.join(repeated_spans(texts, length, **how), "k", "left")
+    if words is None:
+        return found.withColumn("w_spans", F.lit(None).cast(_RUNS))
+    stride = WORD_STRIDE if words % WORD_STRIDE == 0 else next(words // n for n in (3, 4, 2, 5, 1) if words % n == 0)
+    in_words = repeated_spans(texts, words, True, stride, min(WORD_GRAM, words))
+    return found.join(in_words.withColumnRenamed("spans", "w_spans"), "k", "left")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = PASSAGE_WORDS, **how: int) -> DataFrame:
+    """(k, n_bytes, n_removed, n_spans, kept_sha256, passage_words, n_passages) of the different texts; k is the text's MD5.
+
+    The bytes removed are those of repeated strings of ``length`` bytes.  ``passage_words`` counts the words inside strings of ``words``
+    words that also start elsewhere (0 without ``words``), ``n_passages`` the maximal runs of them.
+    """
+    names = ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words", "n_passages"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for k, copies, raw, runs, w_runs in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                cover = _cover(runs, len(raw), copies, length)
+                kept = _kept(raw, cover)
+                _, n_words, n_passages = word_cover(raw, w_runs, copies if words else 1, words or 0)
+                rows.append((k, len(raw), len(raw) - len(kept), len(cover), hashlib.sha256(kept).hexdigest(), n_words, n_passages))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
+
+    return _with_spans(docs, length, words, text_col, how).select("k", "copies", "raw", "spans", "w_spans").mapInArrow(run, "k binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, n_passages long")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_col: str = "text", words: int | None = None, **how: int) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the texts; a character that is cut in two goes as a whole.
 
     With ``words``, passages of that many words that occur twice are cut out as well, whatever their bytes and the white space between them.
     Every row stays, with a null text as null; the other columns are as they were.
     """
-    texts, spans = repeated_spans(docs, length, id_col, text_col, **how)
-    found = texts.join(spans, "k", "left")
-    if words:
-        found = found.join(written(repeated_words(texts, words), "word-spans"), "k")
-    else:
-        found = found.withColumns({"w_copies": F.lit(1).cast("long"), "w_spans": F.lit(None).cast(_RUNS)})
     rest = [c for c in docs.columns if c != text_col]
-    keyed = docs.select(*(F.col(c).alias(f"o{i}") for i, c in enumerate(rest)), F.col(text_col).isNull().alias("was_null"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("k"))
-    found = found.join(keyed, "k").select("copies", "raw", "spans", "w_copies", "w_spans", "was_null", *(f"o{i}" for i in range(len(rest))))
+    keyed = docs.select(*(F.col(c).alias(f"o{i}") for i, c in enumerate(rest)), F.col(text_col).isNull().alias("was_null"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("own")).withColumn("k", _key("own")).drop("own")
+    found = _with_spans(docs, length, words, text_col, how).join(keyed, "k").select("copies", "raw", "spans", "w_spans", "was_null", *(f"o{i}" for i in range(len(rest))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for copies, raw, runs, w_copies, w_runs, null in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for copies, raw, runs, w_runs, null in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 cover = _cover(runs, len(raw), copies, length)
                 if words:
-                    cover = _union(cover + _word_cover(raw, w_runs, max(copies, w_copies), words))
+                    cover = _union(cover + word_cover(raw, w_runs, copies, words)[0])
                 out.append(None if null else raw.decode() if not cover else _kept(raw, cover).decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[6:]], ["text", *b.schema.names[6:]])
-
-    from pyspark.sql.types import StructType
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[5:]], ["text", *b.schema.names[5:]])
 
     kinds = StructType().add("text", "string")
     for i, c in enumerate(rest):
@@ -483,8 +522,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"o{rest.index(c)}").alias(c) for c in docs.columns))
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    done = written(remove_repeats(docs, length, id_col, text_col, **how), "kept")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("k"))
-    return keyed.join(done, "k").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int | None = PASSAGE_WORDS, **how: int) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words, n_passages) of every row."""
+    done = written(remove_repeats(docs, length, text_col, words, **how), "kept")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("own")).withColumn("k", _key("own")).drop("own")
+    return keyed.join(done, "k").drop("k")

@@ -81,7 +81,7 @@ def test_cut_texts_keep_rows_and_columns(docs):
 def test_merged_bwts_sort_all_suffixes():
     contents = [bytes(RNG.integers(97, 99, 500, dtype=np.uint8)) for _ in range(5)]
     contents += [contents[0][60:480] + b"z" * 30, contents[1][:410]]
-    got = suffix_dedup.repeated_windows(contents, 400, 50, 3)
+    got = suffix_dedup.repeated_windows([np.frombuffer(c, np.uint8) for c in contents], 400, 50, 3)
     count = collections.Counter(c[j : j + 400] for c in contents for j in range(len(c) - 399))
     for c, g in zip(contents, got, strict=True):
         assert g.tolist() == [count[c[j : j + 400]] > 1 for j in range(len(c) - 399)]
