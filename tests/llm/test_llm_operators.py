@@ -472,3 +472,38 @@ def test_near_copies_in_thousands_match_all_pairs(spark):
     want = sorted(i for i in range(len(texts)) if top(i) == i)
     kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+# --- 6, against brute force -------------------------------------------------------------------------------------------
+
+
+def test_near_passages_are_found(spark):
+    """Planted passages of 50 to 200 words, exact or edited: their texts share a class if the passages' shingles are alike by 0.8."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+    texts, asked = [], []
+    for k in range(120):
+        passage = fresh(int(rng.integers(50, 200)))
+        other = list(passage)
+        for at in rng.integers(0, len(passage), k % 4):
+            other[at] = "edited"
+        grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (passage, other)]
+        asked.append(len(grams[0] & grams[1]) >= 0.8 * len(grams[0] | grams[1]))
+        texts += [" ".join(fresh(60) + passage + fresh(30)), " ".join(fresh(10) + other + fresh(90))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = by_id(passages.near_duplicate_passages(docs))
+    found = [got[2 * k].class_id == got[2 * k + 1].class_id for k in range(120)]
+    assert sum(f for f, a in zip(found, asked, strict=True) if a) >= 0.95 * sum(asked)
+    assert all(got[2 * k].class_id == 2 * k and got[2 * k].class_texts == 1 + found[k] for k in range(120))
+
+
+def test_a_text_that_repeats_one_word_is_compared_in_bounded_memory():
+    x = np.full(20_000, 7, np.uint64)
+    assert [p[:4] for p in passages.passages_of(x, x, diagonals=(0, 0))] == [(0, 19_999, 0, 19_999)]
+
+
+def test_op1_counts_passages_of_words(spark):
+    passage = " ".join(f"p{i}" for i in range(51))
+    rows = [(0, passage + " a b"), (1, "c  " + passage.replace(" ", "\n", 4)), (2, " ".join(passage.split()[:50])), (3, None)]
+    got = by_id(suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(got[i].passage_words, got[i].n_passages) for i in range(4)] == [(51, 1), (51, 1), (0, 0), (0, 0)]
