@@ -1,9 +1,12 @@
 """Token ids of whole texts with a public tokenizer, through a cache of distinct units.
 
 Both tokenizers cut a text into pre-tokens before merging, and never merge across them.  A white-space run that follows a
-visible character always starts a new pre-token, and so does ASCII punctuation after a letter or digit.  Texts are therefore
+visible character always starts a new pre-token, and so does ASCII punctuation after an ASCII letter or digit.  Texts are therefore
 cut there, each distinct unit goes through the library once a worker, and a text's ids are its units' ids in order.  A text
 with white space that the cut cannot handle goes through the library whole.
+
+Units are never Python objects: they are places in the texts' bytes, told apart by two 64-bit hashes, and unseen ones are copied into
+one text for the library, which shows where each begins.
 """
 
 from __future__ import annotations
@@ -12,10 +15,35 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Ends a unit safely when it follows a letter or digit (an apostrophe may open a contraction, so it is not here).
-_TAIL = ".,;:!?%&$*#|)"
-#: Units kept by one worker.
-_CACHE_UNITS = 1_200_000
+#: Starts a unit safely when it follows an ASCII letter or digit (an apostrophe may open a contraction, a bar a special token).
+_TAIL = ".,;:!?%&$*#)"
+#: Units kept by one worker, and units in one call of the library.
+_CACHE_UNITS, _CALL_UNITS = 1_200_000, 5000
+_BYTE = np.arange(256)
+_SPACE = np.isin(_BYTE, [9, 10, 11, 12, 13, 32])
+_LETTER = ((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122)
+_ALNUM = _LETTER | ((_BYTE >= 48) & (_BYTE <= 57))
+_CUT = np.isin(_BYTE, list(_TAIL.encode()))
+_LEVEL = 12
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_VALUES = [np.random.default_rng(40 + i).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (0, 1)]
+_UP = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full((1 << _LEVEL) - 1, b, np.uint64), dtype=np.uint64)]) for b in _BASES]
+
+
+def unit_hashes(data: np.ndarray, first: np.ndarray, after: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit hash of each stretch [first, after) of the bytes; stretches are in order, apart and not empty."""
+    sizes = after - first
+    at = np.repeat(first, sizes)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    letters = _VALUES[which][data[at + place]] * _UP[which][place & ((1 << _LEVEL) - 1)]
+    if len(sizes) and int(sizes.max()) > 1 << _LEVEL:
+        base = np.uint64(pow(_BASES[which], 1 << _LEVEL, 1 << 64))
+        far = place >> _LEVEL
+        letters *= np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(int(far.max()), base, np.uint64), dtype=np.uint64)])[far]
+    h = np.add.reduceat(letters, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
 
 _coders: dict[tuple[str, str], "UnitCoder"] = {}
 
@@ -51,24 +79,25 @@ class UnitCoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys, self.checks, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n = self.used = 0
         self.flat = np.zeros(1 << 20, np.uint16)
-        self.used = 0
         self.start = np.zeros(1 << 18, np.int64)
         self.length = np.zeros(1 << 18, np.int32)
 
-    def _append(self, units: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = len(self.index), len(flat)
+    def _append(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The rows of new units."""
+        n, m = self.n, len(flat)
         while self.used + m > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(units) > len(self.start):
+        while n + len(lengths) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
         self.flat[self.used : self.used + m] = flat
-        self.length[n : n + len(units)] = lengths
-        self.start[n : n + len(units)] = self.used + np.cumsum(lengths) - lengths
-        self.used += m
-        self.index.update(zip(units, range(n, n + len(units)), strict=True))
+        self.length[n : n + len(lengths)] = lengths
+        self.start[n : n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.used, self.n = self.used + m, n + len(lengths)
+        return np.arange(n, self.n)
 
     def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the rows' units one after another, their ends)."""
@@ -77,89 +106,87 @@ class UnitCoder:
         shift = self.start[rows] - (ends - lengths)
         return self.flat[np.repeat(shift, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
 
-    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of units that are one pre-token run each, encoded in one text; None if their borders do not show."""
-        ids = np.array(self.lib.encode_batch_fast(["".join(units) if self.kind == "bytes" else " ".join(units)], add_special_tokens=False)[0].ids, np.uint16)
+    def _lists(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units one after another, their numbers)."""
+        parts = [np.zeros(0, np.uint16)]
+        for i in range(0, len(units), _CALL_UNITS):
+            parts += [np.array(e.ids, np.uint16) for e in self.lib.encode_batch_fast(units[i : i + _CALL_UNITS], add_special_tokens=False)]
+        return np.concatenate(parts), np.fromiter(map(len, parts[1:]), np.int64, len(units))
+
+    def _joined(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of ``n`` units that are one text; None if their borders do not show."""
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
         border = np.flatnonzero(self.edge[ids])
-        if len(border) != len(units):
+        if len(border) != n:
             return None
         return ids, np.diff(border, append=len(ids)) if self.kind == "bytes" else np.diff(border, prepend=-1)
 
-    def _library(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the units one after another, their numbers)."""
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(0, len(units), 5000):
-            some = units[i : i + 5000]
-            plain = all(u[:1] == " " and u[1:].isalnum() for u in some) if self.kind == "bytes" else all(map(str.isalpha, some))
-            got = self._joined(some) if plain else None
-            if got is None:
-                lists = [e.ids for e in self.lib.encode_batch_fast(some, add_special_tokens=False)]
-                got = np.array([x for ids in lists for x in ids], np.uint16), np.fromiter(map(len, lists), np.int64, len(lists))
-            parts.append(got)
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
-
-    def _learn(self, units: list[str]) -> None:
-        """Encode unseen units; trailing punctuation is encoded apart, so that a word costs one call in all its forms."""
-        index, whole, heads, tails = self.index, [], [], []
-        plain, other = {}, {}
-        for u in units:
-            base = u.rstrip(_TAIL)
-            if base and len(base) < len(u) and base[-1].isalnum() and len(base[-1].lower()) == 1:
-                whole.append(u)
-                heads.append(base)
-                tails.append(u[len(base) :])
-            else:
-                base = u
-            if base not in index:
-                (plain if (base[1:].isalnum() and base[0] == " " if self.kind == "bytes" else base.isalpha()) else other)[base] = None
-        other.update(dict.fromkeys(t for t in tails if t not in index))
-        for some in (plain, other):
-            names = [x for x in some if x not in index]
-            self._append(names, *self._library(names))
-        whole_at = [i for i, u in enumerate(whole) if u not in index]
-        if whole_at:
-            rows = np.array([[index[heads[i]], index[tails[i]]] for i in whole_at], np.int64)
-            ids, ends = self._gather(rows.ravel())
-            self._append([whole[i] for i in whole_at], ids, np.diff(ends[1::2], prepend=0))
+    def _learn(self, data: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Encode unseen units; their rows."""
+        sizes = after - first
+        in_bytes = self.kind == "bytes"
+        # a plain unit is one word; in one text with others it shows by its space (bytes) or its end (words)
+        ok = (_ALNUM if in_bytes else _LETTER).copy()
+        ok[0xC3] = True
+        good = ok[data]
+        good[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # Latin letters of two bytes
+        if in_bytes:
+            good |= data == 32
+        sums = np.concatenate([[0], np.cumsum(good)])
+        plain = (sums[after] - sums[first] == sizes) & ((data[first] == 32) & (sizes > 1) if in_bytes else True)
+        rows = np.empty(len(first), np.int64)
+        at = np.flatnonzero(plain)
+        for i in range(0, len(at), _CALL_UNITS):
+            some = at[i : i + _CALL_UNITS]
+            n = sizes[some] + (not in_bytes)
+            ends = np.cumsum(n)
+            place = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            body = data[np.minimum(np.repeat(first[some], n) + place, len(data) - 1)]
+            if not in_bytes:
+                body[ends - 1] = 32
+            got = self._joined(body.tobytes().decode(), len(some))
+            rows[some] = self._append(*(got or self._lists([data[x:y].tobytes().decode() for x, y in zip(first[some].tolist(), after[some].tolist(), strict=True)])))
+        rest = np.flatnonzero(~plain)
+        rows[rest] = self._append(*self._lists([data[x:y].tobytes().decode() for x, y in zip(first[rest].tolist(), after[rest].tolist(), strict=True)]))
+        return rows
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first bytes of the units, the bytes after them)."""
+        begin = np.zeros(len(data), bool)
+        begin[1:] = _CUT[data[1:]] & _ALNUM[data[:-1]]
+        if self.kind == "bytes":  # a unit has the space before it, but for the first of its text
+            begin |= data == 32
+            begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+            first = np.flatnonzero(begin)
+            return first, np.append(first[1:], len(data))
+        inside = ~_SPACE[data]
+        begin[0] = True
+        begin[1:] |= ~inside[:-1]
+        begin[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+        begin &= inside
+        first = np.flatnonzero(begin)
+        stop = ~inside
+        stop[first] = True
+        stops = np.append(np.flatnonzero(stop), len(data))
+        return first, stops[np.searchsorted(stops, first, side="right")]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another as uint16, their number for each text); a null text has none."""
         texts = whole_texts(texts)
+        whole: list[int] = []
         if self.kind == "words":
-            units = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-            whole: list[int] = []
+            texts = pc.ascii_lower(texts)
         else:
             # white space before a space, or a leading space: the library decides on the whole text
             odd = pc.match_substring_regex(texts, r"^ |[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0b\x1c-\x1f] | $")
             whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
-            units = pc.split_pattern(pc.if_else(odd, "", texts) if whole else texts, " ")
-        offsets = np.asarray(units.offsets, dtype=np.int64)
+        cut = pc.if_else(odd, "", texts) if whole else texts
+        offsets = np.frombuffer(cut.buffers()[1], np.int64, len(cut) + 1, cut.offset * 8)
+        data = np.frombuffer(cut.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if cut.buffers()[2] is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        coded = units.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(self.index) > _CACHE_UNITS:
-            self._reset()
-        if self.kind == "bytes":
-            # a unit has the space before it, but for the first of its text
-            first = np.zeros(len(codes), bool)
-            first[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
-            lead = np.unique(codes[first])
-            at = np.full(len(names), -1, np.int64)
-            at[lead] = np.arange(len(lead)) + len(names)
-            codes = np.where(first, at[codes], codes)
-            names = [" " + x for x in names] + [names[i] for i in lead]
-        get = self.index.get
-        found = [get(x, -1) for x in names]
-        if missing := [x for x, i in zip(names, found, strict=True) if i < 0]:
-            self._learn(missing)
-            found = [self.index[x] for x in names]
-        rows = np.array(found, np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-        ids, ends = self._gather(rows)
-        counts = np.concatenate([[0], ends])[offsets]
-        counts = np.diff(counts)
+        ids, counts = self._cut_ids(data, offsets) if len(data) else (np.zeros(0, np.uint16), np.zeros(len(texts), np.int64))
         if whole:
-            flat, n_own = self._library([texts[i].as_py() for i in whole])
+            flat, n_own = self._lists([texts[i].as_py() for i in whole])
             mine = np.split(flat, np.cumsum(n_own)[:-1])
             pieces, at = [], 0
             bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -170,8 +197,32 @@ class UnitCoder:
             ids = np.concatenate([*pieces, ids[at:]])
         return ids, counts
 
+    def _cut_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.n > _CACHE_UNITS:
+            self._reset()
+        first, after = self._units(data, offsets)
+        if not len(first):
+            return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
+        h, check = (unit_hashes(data, first, after, i) for i in (0, 1))
+        keys, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if (check != check[lead][inverse]).any() or (self.checks[at[known]] != check[lead[known]]).any():
+            # two units of one hash: nothing is looked up
+            return self._lists([data[x:y].tobytes().decode() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+        rows = np.empty(len(keys), np.int64)
+        rows[known] = self.rows[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            by = new[np.argsort(lead[new])]  # in the order of the texts
+            rows[by] = self._learn(data, first[lead[by]], after[lead[by]])
+            to = np.searchsorted(self.keys, keys[new])
+            self.keys, self.checks, self.rows = np.insert(self.keys, to, keys[new]), np.insert(self.checks, to, check[lead[new]]), np.insert(self.rows, to, rows[new])
+        ids, ends = self._gather(rows[inverse])
+        return ids, np.diff(np.concatenate([[0], ends])[np.searchsorted(first, offsets)])
+
 
-def row_ranges(sizes: np.ndarray, most: int = 8 << 20) -> list[tuple[int, int]]:
+def row_ranges(sizes: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
     """(first row, number of rows) of runs of about ``most`` bytes each, one row at least."""
     out, at = [], 0
     ends = np.cumsum(sizes)
