@@ -8,8 +8,9 @@ compresses each one.  A shard is a row of a table: the documents' ids beside one
     u32 symbol offset[documents + 1], u32 id count[documents]
     symbols
 
-Each round of Re-Pair counts all pairs of the shard in hashed bins, takes the heaviest bins' pairs as new nonterminals, and
-replaces them left to right without overlap; pairs never cross a document's end, so each document decodes alone.
+Re-Pair goes on until no pair repays its rule.  Each round counts all pairs, takes those that occur at least a ``SHARE``-th as often as
+the most frequent one as new nonterminals, and replaces them without overlap: where two of them overlap, the more frequent one goes
+first and the other waits for the next round.  Pairs never cross a document's end, so each document decodes alone.
 
 Contracts: a null text is empty and holds the end id only; rows with equal ids each keep their own entry; a null id sorts
 first; an empty table gives an empty table; other columns are ignored.
@@ -30,59 +31,78 @@ from .store import written
 from .tokenize import coder, row_ranges, text_sizes, tokenizer_path, with_end
 
 MAGIC = b"RPG1"
-#: Ids in one shard at about; rounds; pairs replaced in a round at most; least count of a pair.
-SHARD_IDS, ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 1 << 20, 3, 4000, 16
+#: Ids in one shard at about; the least count at which a pair repays its rule (12 bytes, two bytes saved each time); share of the
+#: most frequent pair's count that others of a round must reach.
+SHARD_IDS, LEAST_COUNT, SHARE = 1 << 20, 7, 64
 _BITS = 18
 
 
-def grammar(ids: np.ndarray, last: np.ndarray, first_nonterminal: int, rounds: int = ROUNDS, most: int = PAIRS_A_ROUND, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _frequent(seq: np.ndarray, end: np.ndarray, least: int, share: int, room: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(positions of the round's pairs, rank of each position's pair by frequency, number of pairs); overlaps count.
+
+    The pairs occur ``least`` times or more, and a ``share``-th as often as the fullest bin's.
+    """
+    bins = (seq[:-1] * np.uint32(2654435761) + seq[1:] * np.uint32(2246822519)) >> np.uint32(32 - _BITS)
+    bins[end[:-1]] = 1 << _BITS
+    counts = np.bincount(bins, minlength=(1 << _BITS) + 1)
+    counts[-1] = 0
+    least = max(least, int(counts.max()) // share)
+    at = np.flatnonzero((counts >= least)[bins])  # no pair is more frequent than its bin
+    pairs = np.sort((seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1])
+    start = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+    n = np.diff(start, append=len(pairs))
+    some = np.flatnonzero(n >= least)
+    some = some[np.argsort(-n[some], kind="stable")][:room]
+    x, y = (pairs[start[some]] >> np.uint64(32)).astype(np.uint32), pairs[start[some]].astype(np.uint32)
+    rule = np.full((1 << _BITS) + 1, -1, np.int32)
+    # of pairs that share a bin the most frequent one comes first, the others in later rounds
+    rule[((x * np.uint32(2654435761) + y * np.uint32(2246822519)) >> np.uint32(32 - _BITS))[::-1]] = np.arange(len(x))[::-1]
+    r = rule[bins[at]]
+    at, r = at[r >= 0], r[r >= 0]
+    same = (seq[at] == x[r]) & (seq[at + 1] == y[r])
+    return at[same], r[same], len(x)
+
+
+def grammar(ids: np.ndarray, last: np.ndarray, first_nonterminal: int, least: int = LEAST_COUNT, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last flags, left, right): ``last`` marks each document's last symbol."""
     seq, end = ids.astype(np.uint32), last.copy()
     left, right = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     nonterminal = first_nonterminal
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        bins = (a * np.uint32(2654435761) + b * np.uint32(2246822519)) >> np.uint32(32 - _BITS)
-        inner = ~end[:-1]
-        counts = np.bincount(bins[inner], minlength=1 << _BITS)
-        heavy = np.flatnonzero(counts >= least)
-        if not len(heavy):
-            break
-        if len(heavy) > most:
-            heavy = np.sort(heavy[np.argpartition(-counts[heavy], most)[:most]])
-        # one pair stands for a bin: that of a position in it
-        rule = np.full(1 << _BITS, -1, np.int32)
-        rule[heavy] = np.arange(len(heavy))
-        r = rule[bins]
-        some = np.flatnonzero((r >= 0) & inner)
-        r = r[some]
-        stands = np.empty(len(heavy), np.int64)
-        stands[r] = some
-        x, y = a[stands], b[stands]
-        same = (a[some] == x[r]) & (b[some] == y[r])
-        some, r = some[same], r[same]
+    # symbols of 16 bits stay so: a rule beyond them would double all others
+    room = (1 << 16) - first_nonterminal if first_nonterminal < 1 << 16 else 1 << 31
+    while len(seq) > 1 and room > 0:
+        at, r, n_pairs = _frequent(seq, end, least, share, room)
+        # a position beside a more frequent pair's waits
+        beside = np.flatnonzero(np.diff(at) == 1)
+        wait = np.zeros(len(at), bool)
+        wait[beside[r[beside] > r[beside + 1]]] = True
+        wait[beside[r[beside] < r[beside + 1]] + 1] = True
+        at, r = at[~wait], r[~wait]
         # of a run of overlapping matches every other one is taken
-        start = np.ones(len(some), bool)
-        start[1:] = np.diff(some) > 1
-        at = np.arange(len(some))
-        keep = (at - np.maximum.accumulate(np.where(start, at, 0))) % 2 == 0
-        some, r = some[keep], r[keep]
-        used = np.bincount(r, minlength=len(heavy)) >= 2
-        number = np.cumsum(used) - 1
+        start = np.ones(len(at), bool)
+        start[1:] = np.diff(at) > 1
+        place = np.arange(len(at))
+        keep = (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
+        at, r = at[keep], r[keep]
+        used = np.bincount(r, minlength=n_pairs) >= least
         good = used[r]
-        some, r = some[good], number[r[good]]
-        if not len(some):
-            break
-        left.append(x[used])
-        right.append(y[used])
-        seq[some] = nonterminal + r
-        end[some] = end[some + 1]
+        at, r = at[good], (np.cumsum(used) - 1)[r[good]]
+        if not len(at):
+            if share >= len(seq):
+                break
+            share = len(seq)  # nothing near the fullest bin: all pairs that repay their rule
+            continue
+        where = np.empty(int(used.sum()), np.int64)
+        where[r] = at
+        left.append(seq[where])
+        right.append(seq[where + 1])
+        seq[at] = nonterminal + r
+        end[at] = end[at + 1]
         stay = np.ones(len(seq), bool)
-        stay[some + 1] = False
+        stay[at + 1] = False
         seq, end = seq[stay], end[stay]
-        nonterminal += int(used.sum())
+        nonterminal += len(where)
+        room -= len(where)
     return seq, end, np.concatenate(left), np.concatenate(right)
 
 

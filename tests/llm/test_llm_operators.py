@@ -507,3 +507,19 @@ def test_op1_counts_passages_of_words(spark):
     rows = [(0, passage + " a b"), (1, "c  " + passage.replace(" ", "\n", 4)), (2, " ".join(passage.split()[:50])), (3, None)]
     got = by_id(suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [(got[i].passage_words, got[i].n_passages) for i in range(4)] == [(51, 1), (51, 1), (0, 0), (0, 0)]
+
+
+def test_grammar_goes_on_until_no_pair_repays_its_rule():
+    ids = RNG.zipf(1.3, 30_000).astype(np.int64)
+    ids = np.where(ids > 90, 7, ids).astype(np.uint16)
+    last = np.zeros(len(ids), bool)
+    last[[9_999, 29_999]] = True
+    seq, end, left, right = repair_ids.grammar(ids, last, 100)
+    assert len(seq) < len(ids) and end.sum() == 2 and len(left) == len(right)
+    pairs, at = collections.Counter(), 0
+    while at < len(seq) - 1:  # pairs that do not overlap, from the left
+        if not end[at]:
+            pairs[seq[at], seq[at + 1]] += 1
+            at += at + 2 < len(seq) and seq[at] == seq[at + 1] == seq[at + 2]
+        at += 1
+    assert max(pairs.values()) < 2 * repair_ids.LEAST_COUNT
