@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skycensus.llm.mixing import mixed_documents
 from skycensus.llm.packing import pack
 from skycensus.llm.simhash import drop_near_duplicates
-from skycensus.llm.store import written
+from skycensus.llm.store import release, written
 from skycensus.llm.suffix_dedup import without_repeats
 from skycensus.llm.toxicity import fit, score
 
@@ -47,12 +47,25 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxicity),
-    ("simhash near-dedup", near_duplicates),
-    ("suffix-array dedup", repeated_passages),
-    ("mixing", mixing),
-    ("packing", packing),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _released(stage: Stage) -> Stage:
+    """The stage, after what the stages before it have left in the shared folder is deleted: their results are written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _released(toxicity)),
+    ("simhash near-dedup", _released(near_duplicates)),
+    ("suffix-array dedup", _released(repeated_passages)),
+    ("mixing", _released(mixing)),
+    ("packing", _released(packing)),
 ]
 
 
@@ -60,5 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is a table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

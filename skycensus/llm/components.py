@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .store import written
 
 
-def connected(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, root): the smallest node of each node's component, for every node that has an edge to another.
 
     Alternating stars: each round links every node's larger neighbours to its smallest neighbour, then every node's
@@ -19,7 +19,7 @@ def connected(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds:
     one = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct()
     now = written(one, "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state.n == 0 or (state.n, state.h) == before:
             break

@@ -16,7 +16,6 @@ document all estimates are uniform; an empty table gives an empty table; other c
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keyranges import grouped, key_pieces, squeeze, stretch
-from .store import written
+from .store import bucketed, written
 from .toxicity import _words
 
 #: Text bytes in a chunk at about; buckets of a context's frequency; steps of a factor of two in the estimates' histogram.
@@ -125,12 +124,8 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield row()
 
-    spark = docs.sparkSession
-    name = f"skycensus_chunks_{uuid.uuid4().hex}"
     table = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"chunk long, doc_ids array<{kind}>, held array<boolean>, doc_counts binary, words binary, codes binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table.write.bucketBy(n, "chunk").option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(table, "chunks", "chunk", "none")
 
 
 def _chunk(b: pa.RecordBatch, i: int) -> Chunk:

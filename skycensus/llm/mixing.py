@@ -7,8 +7,8 @@ half of its draws to the left child, and how many of each source these are is on
 selection sampling with hashed uniforms.  A leaf is an output shard; it takes the next blocks of the source's permutation, so
 shards are disjoint, and orders its documents by a local hash.
 
-The number of blocks is bounded by ``most_blocks`` and the number of sources, whatever the number of documents, and a hot source has
-as many blocks as its share.  All randomness is MD5 of ids and the seed, so reruns agree.
+The number of blocks is bounded by ``most_blocks`` (a parameter: more blocks draw in finer steps and make the root of the tree larger)
+and the number of sources, whatever the number of documents, and a hot source has as many blocks as its share.  All randomness is MD5 of ids and the seed, so reruns agree.
 
 Contracts: a null text has size 0; sources sort by code point, null last, and weigh 1, 2, 3, repeating; rows with equal ids are
 drawn each, and equal rows alike; documents of size 0 go with their block; an empty table gives an empty mix; other columns are ignored.
@@ -127,13 +127,14 @@ def mix(docs: DataFrame, shards: int = 16, seed: str = SEED, id_col: str = "doc_
     to = drawn.join(numbers, ["rank", "number"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("copies"))
     state = blocks.select("rank", "block", "last", "room").join(to, ["rank", "block"], "left")
     rows = placed.join(state, ["rank", "block"])
-    # documents of a cut block, in the order of their hash, up to the room in it
+    # documents of a cut block, in the order of their hash, up to the room in it: beyond it the block's last draw leaves them out
     cut = rows.where("last = 'cut'").withColumn("cut_end", F.sum("size").over(Window.partitionBy("rank", "block").orderBy("place", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)))
-    cut = cut.withColumn("extra", (F.col("cut_end") - F.col("size") / 2 <= F.col("room")).cast("long")).drop("cut_end")
-    rows = rows.where("last <> 'cut'").withColumn("extra", (F.col("last") == "whole").cast("long")).unionByName(cut)
-    n = (F.col("full") + F.col("extra")).cast("int")
-    mine = F.when(n > 0, F.transform(F.slice("copies", F.lit(1), F.greatest(n, F.lit(1))), lambda c: c["shard"])).otherwise(F.array().cast("array<bigint>"))
-    return rows.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * n).alias("taken"), mine.alias("shards"), "place")
+    cut = cut.withColumn("less", (F.col("cut_end") - F.col("size") / 2 > F.col("room")).cast("int")).drop("cut_end")
+    rows = rows.where("last <> 'cut'").withColumn("less", F.lit(0)).unionByName(cut)
+    # what a document gives is what of its block's draws has come down the tree
+    reached = F.coalesce(F.col("copies"), F.array().cast("array<struct<epoch:int,shard:bigint>>"))
+    mine = F.transform(F.slice(reached, F.lit(1), F.greatest(F.size(reached) - F.col("less"), F.lit(0))), lambda c: c["shard"])
+    return rows.withColumn("shards", mine).select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", "place")
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
@@ -143,15 +144,23 @@ def shuffled(mixed: DataFrame) -> DataFrame:
     return copies.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(order, "doc_id", "copy"))).select("shard", "position", "doc_id", "copy")
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: int) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows that it does not take go.
+def mixed_documents(docs: DataFrame, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how: int) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, dealt to the output shards and in each one's local order; rows that it does
+    not take go.
 
-    Rows that share an id and a source share the decision of one of them.
+    A shard is a partition of the result (and a file, once written).  ``shards`` is a power of two; by default the first one
+    that reaches the number of shuffle partitions.  Rows that share an id and a source share the decision of one of them.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or 1 << max(0, partitions - 1).bit_length()
+    of = {c: f"o{i}" for i, c in enumerate(docs.columns)}  # no column of the input can clash with those used here
     mixed = mix(docs, shards, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max(F.size("shards")).alias("_times")).where("_times > 0")
-    taken = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    one = mixed.groupBy("doc_id", "source").agg(F.max(F.struct(F.size("shards").alias("n"), "shards", "place")).alias("best")).where("best.n > 0")
+    rows = docs.select(*(F.col(c).alias(o) for c, o in of.items()))
+    taken = rows.join(one, F.col(of[id_col]).eqNullSafe(F.col("doc_id")) & F.col(of[source_col]).cast("string").eqNullSafe(F.col("source")))
+    copies = taken.select(*of.values(), "best.place", F.posexplode("best.shards").alias("copy", "shard"))
+    dealt = copies.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", F.xxhash64("shard", "copy", "place"), of[id_col], "copy")
+    return dealt.select(*(F.col(o).alias(c) for c, o in of.items()))
 
 
 #: The same sizes, targets and draws for DuckDB.

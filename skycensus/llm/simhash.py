@@ -435,13 +435,15 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     bits of one of ``tables`` samples; they are linked if the Jaccard similarity of their ``size``-word shingles reaches
     ``similarity``.  No pair of two groups is left out, however many partners a text has (see ``near_labels``).  Null and blank texts are equal texts.  Of rows with equal ids in a group one stays; a null id is the last choice.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    keyed = rows.select("_row", F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
-    groups = written(keyed.groupBy("_k").agg(F.min("_row").alias("node"), F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("kept"), F.min("_id").alias("least"), F.count("*").alias("n")), "texts")
-    texts = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    of = {c: f"o{i}" for i, c in enumerate(docs.columns)}  # no column of the input can clash with those used here
+    rows = written(docs.select(*(F.col(c).alias(o) for c, o in of.items()), F.monotonically_increasing_id().alias("row")), "numbered")
+    name, body = of[id_col], F.coalesce(F.col(of[text_col]), F.lit(""))
+    keyed = rows.select("row", F.col(name).alias("id"), F.unhex(F.md5(body)).alias("k"))
+    groups = written(keyed.groupBy("k").agg(F.min("row").alias("node"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("kept"), F.min("id").alias("least"), F.count("*").alias("n")), "texts")
+    texts = rows.select(F.col("row").alias("node"), body.alias("text"))
     ones = texts.join(groups.select("node"), "node", "left_semi")
     prints = word_set_fingerprints(ones, size)
     labels = near_labels(prints, texts, size, similarity, budget, sampled_keys(tables, key_bits))
     named = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = named.groupBy("root").agg(F.min_by("kept", F.struct(F.col("least").isNull(), "least", "kept")).alias("_row"))
-    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
+    stays = named.groupBy("root").agg(F.min_by("kept", F.struct(F.col("least").isNull(), "least", "kept")).alias("row"))
+    return rows.join(stays.select("row"), "row", "left_semi").select(*(F.col(o).alias(c) for c, o in of.items()))

@@ -22,7 +22,6 @@ equal ids are rows of their own, and their equal texts repeat each other; other
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .keyranges import FLAGS, SENT, gathered_flags, keys_seen_twice, sent_keys
-from .store import written
+from .store import bucketed, written
 from .tokenize import row_ranges, text_sizes
 
 LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 64, 100, 4, 4096, 400_000
@@ -232,13 +231,9 @@ _RUN_TYPE = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(k, copies, raw) of the different texts, bucketed by k (their MD5), so that joins on it move no text."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    name = f"skycensus_texts_{uuid.uuid4().hex}"
     one = docs.select(raw.alias("raw")).withColumn("k", _key("raw")).groupBy("k").agg(F.count("*").alias("copies"), F.first("raw").alias("raw"))
-    one.write.bucketBy(n, "k").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(one, "texts", "k")
 
 
 def _key(raw: str) -> Column:

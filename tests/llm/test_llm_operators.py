@@ -523,3 +523,35 @@ def test_grammar_goes_on_until_no_pair_repays_its_rule():
             at += at + 2 < len(seq) and seq[at] == seq[at + 1] == seq[at + 2]
         at += 1
     assert max(pairs.values()) < 2 * repair_ids.LEAST_COUNT
+
+
+# --- stages as the pipeline uses them ---------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    extra = ["row", "id", "_id", "_row", "_source", "shard", "node", "root", "place", "copies", "raw", "spans", "rank", "block"]
+    return docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in extra))
+
+
+def test_near_dedup_keeps_columns_of_any_name(clashing):
+    before = {r.doc_id: r for r in clashing.collect()}
+    got = simhash.drop_near_duplicates(clashing)
+    assert got.columns == clashing.columns
+    rows = got.collect()
+    assert all(r == before[r.doc_id] for r in rows) and {r.doc_id for r in rows} == {0, 1, 2, 3, 4, 6, 8, 9, 10, 11, 14, 15}
+
+
+def test_mixed_documents_keep_columns_of_any_name_and_lie_in_shards(clashing):
+    before = {r.doc_id: r for r in clashing.collect()}
+    taken = {r.doc_id: len(r.shards) for r in mixing.mix(clashing, shards=4).collect()}
+    mixed = mixing.mixed_documents(clashing, shards=4)
+    assert mixed.columns == clashing.columns and mixed.rdd.getNumPartitions() == 4
+    rows = mixed.collect()
+    assert all(r == before[r.doc_id] for r in rows)
+    assert collections.Counter(r.doc_id for r in rows) == {i: n for i, n in taken.items() if n}
+
+
+def test_what_a_mix_takes_comes_down_the_tree(docs):
+    plan = mixing.mix(docs).select("doc_id", "taken")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") >= 4 and plan.count("Generate") >= 4 and "div 2" in plan
