@@ -206,6 +206,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, blocks: int
 
 #: Bits of a text's parity sketch; partners that a member of a bucket gets in the second round, and their growth from round to round.
 SKETCH, PARTNERS, GROWTH = 256, 8, 8
+#: Buckets up to this size are searched whole for members without any partner, which then leave; larger ones keep all members.
+SMALL = 64
 _MEMBER = "bucket long, node long, fp long, n int, sketch binary"
 
 
@@ -294,7 +296,10 @@ def opening_links(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.n
 
 
 def bucket_members(prints: DataFrame, budget: int, masks: list[int], similarity: float) -> DataFrame:
-    """(bucket, node, fp, n, sketch, mates) of all buckets with two members or more; ``mates`` are the opening round's partners."""
+    """(bucket, node, fp, n, sketch, mates) of the buckets' members; ``mates`` are the opening round's partners.
+
+    Members that nothing in their bucket comes near to are left out: chance brings them together, more and more with more texts.
+    """
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)))
     spread = prints.withColumn("bucket", F.explode(keys)).select("bucket", "node", "fp", "n", "sketch").repartition(n, "bucket")
@@ -313,7 +318,14 @@ def bucket_members(prints: DataFrame, budget: int, masks: list[int], similarity:
         i, j = i[order], j[order]
         cut = np.searchsorted(j, np.arange(len(fp) + 1))
         mates = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(node[i]))
-        rows = pa.array(np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(int((hi - lo).sum())))
+        stays = np.zeros(len(fp), bool)
+        small = hi - lo <= SMALL
+        for x, y in zip(lo[~small].tolist(), hi[~small].tolist(), strict=True):
+            stays[x:y] = True
+        for x, y in trie_pairs(fp, lo[small], hi[small], budget):
+            near = may_link(size, sketch, x, y, similarity)
+            stays[x[near]] = stays[y[near]] = True
+        rows = pa.array(np.flatnonzero(stays))
         cols = [pa.array(bucket), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary()), mates]
         whole = pa.RecordBatch.from_arrays(cols, ["bucket", "node", "fp", "n", "sketch", "mates"])
         for s in range(0, len(rows), 10_000):
@@ -428,7 +440,7 @@ def near_labels(prints: DataFrame, texts: DataFrame, size: int, similarity: floa
         members, most = members.join(full, "bucket", "left_semi"), most * GROWTH
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 12, tables: int = 20, key_bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 12, tables: int = 40, key_bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; all columns stay as they are.
 
     Equal texts form a group.  Different texts are compared if SimHashes of their words come within ``budget`` bits and agree on all
