@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sky import number
+from ..sources.storage import stored
 
 
 def clean(df: DataFrame, x: str, below: float | None = None) -> DataFrame:
@@ -36,6 +37,18 @@ def standardised(df: DataFrame, reference: DataFrame, cols: Sequence[str]) -> Da
     return out.drop(*(f"_{k}_{c}" for k in "ms" for c in cols))
 
 
+def ranked(df: DataFrame, order: Sequence[str], out: str, parts: int = 32) -> DataFrame:
+    """``df`` with each row's place (from 1) by the columns ``order``: ranges are ranked apart and start at what lies before them.
+
+    The ranges are numbered by their borders' order and stored once, so that a task that runs again cannot deal them anew.
+    """
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn(out, place).join(F.broadcast(before), "_part").withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def wasserstein(df: DataFrame, x: str, side: str, one: object, two: object, parts: int = 32) -> DataFrame:
     """One row ``w1``: the area between the cumulative curves of two groups of a column.
 

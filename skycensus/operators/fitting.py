@@ -131,3 +131,27 @@ def reduced_chi2(df: DataFrame, by: Sequence[str], y: Column, model: Column, err
     """(by..., n, chi2, reduced): squared deviations over the degrees of freedom."""
     term = F.pow((y - model) / error, 2)
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(term).alias("chi2")).withColumn("reduced", F.try_divide("chi2", F.col("n") - n_parameters))
+
+
+def evolving_log_density(x: np.ndarray, alpha: float, beta: float, log_c: float, log_star: float, density: float, luminosity: float) -> np.ndarray:
+    """log10 of a double power law in luminosity whose density and characteristic luminosity grow as powers of 1 + z; rows (log L, z)."""
+    grown = np.log10(1 + x[:, 1])
+    off = x[:, 0] - log_star - luminosity * grown
+    # log(10^a + 10^b) without overflow
+    return log_c + density * grown - np.logaddexp(alpha * off * math.log(10), beta * off * math.log(10)) / math.log(10)
+
+
+def joint_fit(bins: pd.DataFrame) -> pd.DataFrame:
+    """(n, popt, perr) of ``evolving_log_density`` over all bins (log_l, z, y, err); nulls where the fit does not settle.
+
+    The grid has a fixed number of bins, so they fit in one task whatever the number of sources.
+    """
+    good = bins[np.isfinite(bins[["log_l", "z", "y", "err"]]).all(axis=1)]
+    x, y, err = good[["log_l", "z"]].to_numpy(float), good.y.to_numpy(float), np.maximum(good.err.to_numpy(float), 1e-3)
+    got = None
+    if len(good):
+        start = [0.5, 1.5, float(y.max()), float(np.median(x[:, 0])), 0.0, 0.0]
+        got = levenberg_marquardt(evolving_log_density, x, y, err, start, [-2, -2, -40, 20, -10, -10], [4, 4, 5, 30, 10, 10], absolute=True)
+    if got is None:
+        return pd.DataFrame([[len(good), None, None]], columns=["n", "popt", "perr"])
+    return pd.DataFrame([[len(good), got[0].tolist(), np.sqrt(np.maximum(np.diag(got[1]), 0)).tolist()]], columns=["n", "popt", "perr"])

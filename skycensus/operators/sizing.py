@@ -28,21 +28,30 @@ def hull(points: np.ndarray) -> np.ndarray:
     if len(p) < 3:
         return p
 
-    def chain(rows: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for r in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (r[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (r[0] - out[-2][0]) <= 0:
+    def chain(rows: list[list[float]]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for x, y in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0:
                 out.pop()
-            out.append(r)
+            out.append([x, y])
         return out
 
-    ring = chain(p)[:-1] + chain(p[::-1])[:-1]
+    rows = p.tolist()  # Python's numbers: the chain looks at one point at a time
+    ring = chain(rows)[:-1] + chain(rows[::-1])[:-1]
     return np.array(ring) if len(ring) > 2 else p
 
 
 def furthest(points: np.ndarray) -> float:
     """Largest squared distance of two points."""
-    h = hull(points)
+    # a point of the hull is the furthest one in some direction: what lies well inside the ring of 16 such points is left out
+    turn = np.arange(16) * (math.pi / 8)
+    reach = points @ np.array([np.cos(turn), np.sin(turn)])
+    corner = points[reach.argmax(axis=0)]
+    after = np.roll(corner, -1, axis=0)
+    side = after - corner
+    inside = side[:, 0, None] * (points[:, 1] - corner[:, 1, None]) - side[:, 1, None] * (points[:, 0] - corner[:, 0, None])
+    wide = np.hypot(side[:, 0], side[:, 1])[:, None]
+    h = hull(points[~((inside > 1e-9 * wide) | (wide == 0)).all(axis=0)]) if len(points) > 64 else hull(points)
     d = h[:, None, :] - h[None, :, :]
     return float((d * d).sum(-1).max()) if len(h) > 1 else 0.0
 
@@ -73,5 +82,7 @@ def component_sizes(components: DataFrame, key: str = "parent", n_points: int =
                 rows.append((k, len(m), math.sqrt(furthest(outline(x, (m[:, 1] - dec0) * 3600, m[:, 2], m[:, 3], m[:, 4], n_points)))))
             yield pd.DataFrame(rows, columns=[key, "n", "size"])
 
-    lists = components.groupBy(key).agg(F.collect_list(F.struct("ra", "dec", "maj", "min", "pa")).alias("comps"))
+    # hulls cost far more than their bytes say: the number of partitions is set, so that it is not coalesced by size
+    n = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = components.repartition(n, key).groupBy(key).agg(F.collect_list(F.struct("ra", "dec", "maj", "min", "pa")).alias("comps"))
     return lists.mapInPandas(one, f"{key} string, n int, size double")

@@ -85,19 +85,19 @@ def s25(spark: SparkSession, d: str) -> DataFrame:
     return A.read(spark, d, "documents").select("doc_id", F.when((F.col("doc_id") * 7919) % 1000 < 900, "train").otherwise("val").alias("split"))
 
 
-@query("p01_sigmoid", "SELECT event_id, round(9e-1/(1+exp(-2e0*(value-1e1)))+5e-2, 6) AS y FROM events WHERE value < 300")
+@query("p01_sigmoid", "SELECT event_id, round(9e-1/(1+exp(-greatest(-7e2, least(7e2, 2e0*(value-1e1)))))+5e-2, 6) AS y FROM events")
 def p01(spark: SparkSession, d: str) -> DataFrame:
-    return A.read(spark, d, "events").where("value < 300").select("event_id", r6(curves.sigmoid(F.col("value"), 10.0, 2.0, 0.9, 0.05), "y"))
+    return A.read(spark, d, "events").select("event_id", r6(curves.sigmoid(F.col("value"), 10.0, 2.0, 0.9, 0.05), "y"))
 
 
-@query("p02_sigmoid01", "SELECT event_id, round(1/(1+exp(-5e-1*(value-4e1))), 6) AS y FROM events WHERE value < 1000")
+@query("p02_sigmoid01", "SELECT event_id, round(1/(1+exp(-greatest(-7e2, least(7e2, 5e-1*(value-4e1))))), 6) AS y FROM events")
 def p02(spark: SparkSession, d: str) -> DataFrame:
-    return A.read(spark, d, "events").where("value < 1000").select("event_id", r6(curves.sigmoid(F.col("value"), 40.0, 0.5), "y"))
+    return A.read(spark, d, "events").select("event_id", r6(curves.sigmoid(F.col("value"), 40.0, 0.5), "y"))
 
 
-@query("p03_richards", "SELECT event_id, round(pow(1/(1+exp(-1e-1*(value-4e1))), 1/17e-1), 6) AS y FROM events WHERE value < 3000")
+@query("p03_richards", "SELECT event_id, round(pow(1/(1+exp(-greatest(-7e2, least(7e2, 1e-1*(value-4e1))))), 1/17e-1), 6) AS y FROM events")
 def p03(spark: SparkSession, d: str) -> DataFrame:
-    return A.read(spark, d, "events").where("value < 3000").select("event_id", r6(curves.richards01(F.col("value"), 40.0, 0.1, 1.7), "y"))
+    return A.read(spark, d, "events").select("event_id", r6(curves.richards01(F.col("value"), 40.0, 0.1, 1.7), "y"))
 
 
 _T = "(1/(1+3275911e-7*abs(u)))"

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import images as I
+from ..functions import transforms
+from ..functions.transforms import Asinh
 from ..operators import imaging
 from ..operators.dist import uniform, uniform_sql
 from ..operators.evaluate import density_coverage, knn_radius, nearest, pair_distances
 from ..sources import adapters as A
+from ..sources import storage
 from .registry import query
 
 NAN_IMAGES = "nan_images AS (SELECT idx, CASE WHEN idx % 50 = 0 THEN list_transform(image, lambda v: CAST('NaN' AS FLOAT)) WHEN idx % 7 = 0 THEN list_transform(range(64), lambda k: CASE WHEN k = idx % 64 THEN CAST('NaN' AS FLOAT) ELSE image[k + 1] END) ELSE image END AS image FROM images)"
@@ -79,9 +82,9 @@ def s28(spark: SparkSession, d: str) -> DataFrame:
     return A.images(spark, d).select("idx", r6(F.array_max("image").cast("double"), "peak")).join(values, "idx")
 
 
-@query("s29_peak_metadata", "SELECT idx, CAST(floor(idx / 100) * 100 AS BIGINT) AS bin, round(asinh(list_max(image)::DOUBLE / 2e-1), 6) AS peak_t FROM images WHERE idx < 400")
+@query("s29_peak_metadata", "SELECT idx, CAST(floor(idx / 100) * 100 AS BIGINT) AS bin, round(asinh(list_max(image)::DOUBLE / 2e-1), 6) AS peak_t FROM images")
 def s29(spark: SparkSession, d: str) -> DataFrame:
-    return A.images(spark, d).where("idx < 400").select("idx", (F.floor(F.col("idx") / 100) * 100).alias("bin"), r6(F.asinh(F.array_max("image").cast("double") / 0.2), "peak_t"))
+    return A.images(spark, d).select("idx", (F.floor(F.col("idx") / 100) * 100).alias("bin"), r6(F.asinh(F.array_max("image").cast("double") / 0.2), "peak_t"))
 
 
 @query("p23_linear_scale", "SELECT idx, round(list_sum(list_transform(image, lambda v: CAST(v AS DOUBLE)*25e-1)), 4) AS s FROM images")
@@ -145,20 +148,20 @@ def i08(spark: SparkSession, d: str) -> DataFrame:
     return px.join(s, "idx").groupBy("idx").agg(r6(F.sqrt(F.count_if(F.col("v") > F.col("m") + F.col("sd"))), "size"))
 
 
-@query("i09_ellipse_cover", "WITH g AS (SELECT a.idx, y, x FROM (SELECT idx FROM images WHERE idx < 60) a, range(16) t(y), range(16) s(x)), e AS (SELECT idx, 4 + idx % 8 AS cx, 5 + idx % 6 AS cy, 3e0 + idx % 4 AS a, 2e0 AS b, radians((idx * 17 % 180)*1e0) AS t FROM images WHERE idx < 60) SELECT g.idx, count(*) AS n FROM g JOIN e ON e.idx = g.idx WHERE pow(((x-cx)*cos(t)+(y-cy)*sin(t))/a, 2) + pow((-(x-cx)*sin(t)+(y-cy)*cos(t))/b, 2) <= 1 GROUP BY g.idx")
+@query("i09_ellipse_cover", "WITH g AS (SELECT a.idx, y, x FROM images a, range(16) t(y), range(16) s(x)), e AS (SELECT idx, 4 + idx % 8 AS cx, 5 + idx % 6 AS cy, 3e0 + idx % 4 AS a, 2e0 AS b, radians((idx * 17 % 180)*1e0) AS t FROM images) SELECT g.idx, count(*) AS n FROM g JOIN e ON e.idx = g.idx WHERE pow(((x-cx)*cos(t)+(y-cy)*sin(t))/a, 2) + pow((-(x-cx)*sin(t)+(y-cy)*cos(t))/b, 2) <= 1 GROUP BY g.idx")
 def i09(spark: SparkSession, d: str) -> DataFrame:
-    e = A.images(spark, d).where("idx < 60").select("idx", (4 + F.col("idx") % 8).alias("cx"), (5 + F.col("idx") % 6).alias("cy"), (3.0 + F.col("idx") % 4).alias("a"), F.lit(2.0).alias("b"), F.radians((F.col("idx") * 17 % 180).cast("double")).alias("t"))
+    e = A.images(spark, d).select("idx", (4 + F.col("idx") % 8).alias("cx"), (5 + F.col("idx") % 6).alias("cy"), (3.0 + F.col("idx") % 4).alias("a"), F.lit(2.0).alias("b"), F.radians((F.col("idx") * 17 % 180).cast("double")).alias("t"))
     grid = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"))
     dx, dy, t = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("t")
     inside = F.pow((dx * F.cos(t) + dy * F.sin(t)) / F.col("a"), 2) + F.pow((-dx * F.sin(t) + dy * F.cos(t)) / F.col("b"), 2) <= 1
     return grid.where(inside).groupBy("idx").agg(F.count("*").alias("n"))
 
 
-@query("i10_islands", f"""WITH RECURSIVE {PX}, m AS (SELECT idx, y, x, y * 8 + x AS p FROM px WHERE idx < 200 AND v > 1e-1),
+@query("i10_islands", f"""WITH RECURSIVE {PX}, m AS (SELECT idx, y, x, y * 8 + x AS p FROM px WHERE v > 1e-1),
 r AS (SELECT idx, p, p AS l FROM m UNION SELECT b.idx, b.p, r.l FROM r JOIN m a ON a.idx = r.idx AND a.p = r.p JOIN m b ON b.idx = a.idx AND abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE r.l < b.p)
 SELECT idx, CAST(count(DISTINCT l) AS INTEGER) AS n FROM (SELECT idx, p, min(l) AS l FROM r GROUP BY idx, p) GROUP BY idx""")
 def i10(spark: SparkSession, d: str) -> DataFrame:
-    found = imaging.map_images(A.images(spark, d).where("idx < 200"), lambda m: (int(imaging.labels(m.astype("float32") > 0.1).max()),), {"n": "int"})
+    found = imaging.map_images(A.images(spark, d), lambda m: (int(imaging.labels(m.astype("float32") > 0.1).max()),), {"n": "int"})
     return found.where("n > 0").select("idx", "n")
 
 
@@ -248,9 +251,9 @@ def b12(spark: SparkSession, d: str) -> DataFrame:
     return px.crossJoin(F.broadcast(m)).agg(r6(1.4826 * F.median(F.abs(F.col("v") - F.col("m"))), "noise"))
 
 
-@query("b13_linear_fit", f"WITH {PX} SELECT round(5e-1 / stddev_pop(v), 6) AS k FROM px WHERE idx % 2 = 0")
+@query("b13_linear_fit", f"WITH {PX} SELECT round(5e-1 / stddev_pop(v), 6) AS k FROM px")
 def b13(spark: SparkSession, d: str) -> DataFrame:
-    return imaging.pixels(A.images(spark, d).where("idx % 2 = 0")).agg(r6(0.5 / F.stddev_pop("v"), "k"))
+    return imaging.pixels(A.images(spark, d)).agg(r6(0.5 / F.stddev_pop("v"), "k"))
 
 
 @query("b14_asinh_fit", f"WITH {PX}, m AS (SELECT median(v) AS m FROM px), n AS (SELECT 3 * 14826e-4 * median(abs(v - m)) AS beta FROM px, m) SELECT round(any_value(beta), 6) AS beta, round(5e-1 / stddev_pop(asinh(v / beta)), 6) AS k, round(avg(CASE WHEN abs(v) < beta THEN 1e0 ELSE 0e0 END), 6) AS linear_share FROM px, n")
@@ -260,10 +263,28 @@ def b14(spark: SparkSession, d: str) -> DataFrame:
     return px.crossJoin(F.broadcast(noise)).agg(r6(F.first("beta"), "beta"), r6(0.5 / F.stddev_pop(F.asinh(F.col("v") / F.col("beta"))), "k"), r6(F.avg((F.abs("v") < F.col("beta")).cast("double")), "linear_share"))
 
 
-@query("b15_round_trip", "SELECT true AS exact")
+@query("b15_round_trip", f"WITH {PX} SELECT count(*) AS n, max(abs(1e-1*sinh(5e-1*asinh(v/1e-1)/5e-1) - v)) < 1e-9 AS exact, round(sum(5e-1*asinh(v/1e-1)), 4) AS total FROM px")
 def b15(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("v")
-    return imaging.pixels(A.images(spark, d)).agg((F.max(F.abs(0.1 * F.sinh(0.5 * F.asinh(v / 0.1) / 0.5) - v)) < 1e-9).alias("exact"))
+    t = Asinh(0.5, 0.1)
+    return imaging.pixels(A.images(spark, d)).agg(F.count("*").alias("n"), (F.max(F.abs(t.inverse(t.forward(v)) - v)) < 1e-9).alias("exact"), F.round(F.sum(t.forward(v)), 4).alias("total"))
+
+
+@query("s20_stored_transform", f"WITH {PX}, k AS (SELECT 5e-1 / stddev_pop(asinh(v / 3e-1)) AS k FROM px) SELECT idx, round(sum(k * asinh(v / 3e-1)), 4) AS s FROM px, k GROUP BY idx")
+def s20(spark: SparkSession, d: str) -> DataFrame:
+    px = imaging.pixels(A.images(spark, d))
+    path = storage.shared_path(spark, "transform")
+    transforms.save_transform(spark, transforms.fitted(px, "v", "asinh", 0.5, 0.1), path)
+    t = transforms.load_transform(spark, path)
+    return px.groupBy("idx").agg(F.round(F.sum(t.forward(F.col("v"))), 4).alias("s"))
+
+
+@query("v04_transforms_by_name", f"WITH {PX} SELECT 'asinh' AS name, idx, round(sum(5e-1 * asinh(v / 1e-1)), 4) AS s FROM px GROUP BY idx UNION ALL SELECT 'linear', idx, round(sum(25e-1 * v), 4) FROM px GROUP BY idx")
+def v04(spark: SparkSession, d: str) -> DataFrame:
+    px = imaging.pixels(A.images(spark, d))
+    known = [transforms.transform_of(x) for x in ({"name": "asinh", "k": 0.5, "beta": 0.1}, {"name": "linear", "k": 2.5})]
+    sums = px.groupBy("idx").agg(*(F.round(F.sum(t.forward(F.col("v"))), 4).alias(t.name) for t in known))
+    return sums.unpivot("idx", [t.name for t in known], "name", "s")
 
 
 @query("m03_injection")

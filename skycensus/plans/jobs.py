@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from ..operators import dist, evaluate, fitting, imaging, rlf, skyjoin
 from ..operators.interp import interp_sql, interpolate
 from ..operators.select import classified, funnel
 from ..sources import adapters as A
-from ..sources import fits, storage
+from ..sources import fits, fits_blocks, storage
 from . import catalogue, imagery, surveys
 from .registry import query
 
@@ -26,6 +27,9 @@ def r6(c, name: str, n: int = 6):
     return F.round(c, n).alias(name)
 
 
+_FITS_ROW = StructType().add("key", LongType()).add("flux", DoubleType()).add("resolved", BooleanType()).add("name", StringType())
+
+
 @query("s01_fits_table", "SELECT l_orderkey AS key, l_extendedprice AS flux, l_returnflag = 'R' AS resolved, l_returnflag AS name FROM lineitem")
 def s01(spark: SparkSession, d: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,8 +39,30 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["content"])
 
     files = A.read(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag").mapInArrow(encode, "content binary")
-    schema = StructType().add("key", LongType()).add("flux", DoubleType()).add("resolved", BooleanType()).add("name", StringType())
-    return fits.read_tables(storage.stored(files, "fits"), schema)
+    return fits.read_tables(storage.stored(files, "fits"), _FITS_ROW)
+
+
+@query("s01_fits_blocks", "SELECT l_orderkey AS key, l_extendedprice AS flux, l_returnflag = 'R' AS resolved, l_returnflag AS name FROM lineitem WHERE l_orderkey % 4 = 0 UNION ALL SELECT l_orderkey, l_extendedprice, l_returnflag = 'R', l_returnflag FROM lineitem WHERE l_orderkey % 4 <> 0")
+def s01_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue files in the shared folder, each read in blocks of rows by tasks of its own."""
+    fits_blocks.register(spark)
+    root = storage.shared_path(spark, "catalogues")
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        k, flux, flag = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("l_orderkey", "l_extendedprice", "l_returnflag"))
+        path = f"{root}/part-{key[0].as_py()}.fits"
+        system, inner = fs.FileSystem.from_uri(path)
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(inner) as f:
+            f.write(fits.table_bytes({"key": ("K", k), "flux": ("D", flux), "resolved": ("L", flag == "R"), "name": ("4A", flag.astype("S4"))}))
+        return pa.table({"path": [path]})
+
+    rows = A.read(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag", (F.col("l_orderkey") % 4).alias("file"))
+    paths = [r.path for r in rows.groupBy("file").applyInArrow(write, "path string").collect()]  # four names
+    parts = [spark.read.format("fits_table").schema(_FITS_ROW).option("path", p).option("block_rows", 50_000).load() for p in paths]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query("s09_fits_header", "SELECT idx, CAST(grp AS BIGINT) AS grp, CAST(64 AS BIGINT) AS n, round(list_max(image)::DOUBLE, 5) AS peak FROM images")
@@ -187,6 +213,14 @@ def m15(spark: SparkSession, d: str) -> DataFrame:
     return _phi(spark, d).groupBy("iz").applyInPandas(one, "iz int, n int, popt array<double>")
 
 
+@query("m16_joint_fit")
+def m16(spark: SparkSession, d: str) -> DataFrame:
+    """Six parameters of an evolving double power law, fitted to all bins of the grid at once: (n, popt, perr)."""
+    z = F.array(*(F.lit((a + b) / 2) for a, b in zip(surveys.ZE, surveys.ZE[1:], strict=False)))
+    bins = _phi(spark, d).select(F.lit(0).alias("one"), "log_l", "y", "err", F.element_at(z, F.col("iz") + 1).alias("z"))
+    return bins.groupBy("one").applyInPandas(fitting.joint_fit, "n int, popt array<double>, perr array<double>")
+
+
 @query("m18_full_report")
 def m18(spark: SparkSession, d: str) -> DataFrame:
     im = A.images(spark, d)

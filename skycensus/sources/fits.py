@@ -1,4 +1,7 @@
-"""FITS tables and images: bytes to rows in tasks.  A file is one row of a binary scan, so a file's size is bounded by a row's (2 GB)."""
+"""FITS tables and images: bytes to rows in tasks.
+
+Here a file is one row of a binary scan, so its size is bounded by a row's (2 GB); ``fits_blocks`` reads tables of any size.
+"""
 
 from __future__ import annotations
 
@@ -89,6 +92,11 @@ def _table(data: bytes) -> tuple[dict[str, str], np.ndarray]:
     return forms, rows
 
 
+def decoded(v: np.ndarray, form: str) -> pa.Array:
+    """A column of a table's rows as Spark takes it."""
+    return pa.array(np.char.rstrip(np.char.decode(v, "ascii")).tolist() if form.endswith("A") else v == b"T" if form == "L" else v.astype(v.dtype.newbyteorder("=")))
+
+
 def read_tables(files: DataFrame, schema: StructType, content: str = "content") -> DataFrame:
     """Rows of the first table of each file; only the schema's columns are decoded."""
 
@@ -96,10 +104,6 @@ def read_tables(files: DataFrame, schema: StructType, content: str = "content")
         for b in batches:
             for data in b.column(0):
                 forms, rows = _table(data.as_py())
-                out = []
-                for field in schema.fields:
-                    v, form = rows[field.name], forms[field.name]
-                    out.append(pa.array(np.char.rstrip(np.char.decode(v, "ascii")).tolist() if form.endswith("A") else v == b"T" if form == "L" else v.astype(v.dtype.newbyteorder("="))))
-                yield pa.RecordBatch.from_arrays(out, [f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([decoded(rows[x.name], forms[x.name]) for x in schema.fields], [f.name for f in schema.fields])
 
     return files.select(content).mapInArrow(run, schema)

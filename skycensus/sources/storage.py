@@ -12,9 +12,11 @@ FIT_SCHEMA = "function STRING, x_space STRING, popt ARRAY<DOUBLE>, pcov ARRAY<AR
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A new path below ``spark.checkpoint.dir``; a temporary folder only in a local session where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skycensus-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/skycensus/{tag}-{uuid.uuid4().hex}"
