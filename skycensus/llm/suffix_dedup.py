@@ -12,8 +12,10 @@ A symbol is a byte, or with ``words`` a word.
    shards' BWTs are then merged by refining their interleave: one stable pass over the merged BWT's letters turns the order by t - 1
    letters into the order by t letters, without sorting suffixes again.  A block border that first appears in pass t has a common
    prefix of t - 1 letters; after ``length / stride`` passes the blocks are the repeated intervals.
-4. *Hot anchors.*  Groups of more than ``MOST_REGIONS`` different regions are not brought together in a task: their windows are counted
-   by hash over key ranges instead, packed in blocks, which needs no group at all and gives the same marks.
+4. *Hot anchors.*  A group of more than ``MOST_REGIONS`` different regions is split before it meets.  Every window reaches over at least
+   half of what it holds beside the anchor either to the left or to the right of it; the anchor and that half are a longer anchor, by
+   which its windows meet instead.  Groups that are still too large are split again.  Equal windows always stay together, and an anchor
+   as long as a window leaves one content, so every group comes to the merge in the end, with the same marks.
 
 Contracts: a null text is empty; texts shorter than ``length`` have no marks of their own; matches never cross texts; rows with
 equal ids are rows of their own, and their equal texts repeat each other; other columns are ignored; an empty table gives an empty one.
@@ -30,11 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .keyranges import FLAGS, SENT, gathered_flags, keys_seen_twice, sent_keys
 from .store import bucketed, written
 from .tokenize import row_ranges, text_sizes
 
-LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 64, 100, 4, 4096, 400_000
+LENGTH, GRAM, STRIDE, SHARDS, MOST_REGIONS, PACK = 400, 64, 100, 4, 512, 400_000
 #: The same for windows of words: a passage of over 50 words, anchored by eight of them.
 PASSAGE_WORDS, WORD_GRAM, WORD_STRIDE = 51, 8, 17
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -273,7 +274,7 @@ def _listed(b: pa.RecordBatch, offsets: np.ndarray, names: list[str]) -> tuple[n
 
 
 def _digests(texts: DataFrame, suspects: DataFrame, length: int, words: bool) -> DataFrame:
-    """(k, copies, first, windows, anchor, c) of each suspect region: c is the hash of its content and its anchor's place."""
+    """(k, copies, first, windows, place, anchor, c) of each suspect region: c is the hash of its content and its anchor's place."""
     listed = suspects.groupBy("k").agg(F.collect_list(F.struct("first", "windows", "place", "anchor")).alias("regions"))
     names = ["first", "windows", "place", "anchor"]
 
@@ -287,14 +288,14 @@ def _digests(texts: DataFrame, suspects: DataFrame, length: int, words: bool) ->
                 lo, hi = (r["at"] * wide).tolist(), ((r["at"] + r["windows"] + length - 1) * wide).tolist()
                 digest = [xxhash.xxh3_128_digest(body[x:y], p) for x, y, p in zip(lo, hi, r["place"].tolist(), strict=True)]
                 of = pa.array(row)
-                yield pa.RecordBatch.from_arrays([s.column(0).take(of), s.column(1).take(of), pa.array(r["first"]), pa.array(r["windows"]), pa.array(r["anchor"]), pa.array(digest, pa.binary())], ["k", "copies", "first", "windows", "anchor", "c"])
+                yield pa.RecordBatch.from_arrays([s.column(0).take(of), s.column(1).take(of), *(pa.array(r[x]) for x in names), pa.array(digest, pa.binary())], ["k", "copies", *names, "c"])
 
-    return texts.join(listed, "k").select("k", "copies", "raw", "regions").mapInArrow(run, "k binary, copies long, first int, windows int, anchor long, c binary")
+    return texts.join(listed, "k").select("k", "copies", "raw", "regions").mapInArrow(run, "k binary, copies long, first int, windows int, place int, anchor long, c binary")
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
-    """(anchor, many, c, copies, content) of the wanted regions (k, first, windows and these), each content once."""
-    names = ["first", "windows", "anchor", "many", "copies", "c"]
+    """(anchor, many, c, copies, lo, content) of the wanted regions (k, first, windows, place and these), each content once; its anchor begins at lo."""
+    names = ["first", "windows", "place", "anchor", "many", "copies", "c"]
     listed = wanted.groupBy("k").agg(F.collect_list(F.struct(*names)).alias("regions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +307,9 @@ def _contents(texts: DataFrame, wanted: DataFrame, length: int, words: bool) ->
                 for i in range(0, len(lo), 4000):
                     some = slice(i, i + 4000)
                     content = pa.array([bytes(body[x:y]) for x, y in zip(lo[some], hi[some], strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(r["anchor"][some]), pa.array(r["many"][some]), r["c"][some], pa.array(r["copies"][some]), content], ["anchor", "many", "c", "copies", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(r["anchor"][some]), pa.array(r["many"][some]), r["c"][some], pa.array(r["copies"][some]), pa.array(r["place"][some]), content], ["anchor", "many", "c", "copies", "lo", "content"])
 
-    return texts.select("k", "raw").join(listed, "k").select("k", "raw", "regions").mapInArrow(run, "anchor long, many long, c binary, copies long, content binary")
+    return texts.select("k", "raw").join(listed, "k").select("k", "raw", "regions").mapInArrow(run, "anchor long, many long, c binary, copies long, lo int, content binary")
 
 
 def _merged(groups: DataFrame, length: int, stride: int, shards: int, kind: type) -> DataFrame:
@@ -337,60 +338,70 @@ def _merged(groups: DataFrame, length: int, stride: int, shards: int, kind: type
     return groups.repartition(n, "anchor").sortWithinPartitions("anchor", "c").select("anchor", "c", "content", "copies").mapInArrow(run, f"c binary, runs {_RUNS}")
 
 
-def _counted(groups: DataFrame, length: int, kind: type) -> DataFrame:
-    """(c, runs) by counting the windows of hot anchors' regions over ranges of their hashes; the regions need not meet.
+def halved(content: bytes, lo: int, hi: int, length: int, wide: int) -> Iterator[tuple[int, bytes, int, int]]:
+    """(first window, content, lo, hi) of the one or two parts of a region whose anchor is [lo, hi): windows that hold half of what is
+    beside the anchor to the left of it, and the others, which hold as much to the right; the half belongs to the new anchor.
 
-    Regions are packed into blocks.  A block sends its distinct hashes and their numbers to the ranges; a range adds up all blocks and
-    sends each block a flag for each of its own hashes.
+    Places count in symbols of ``wide`` bytes.
     """
-    spark = groups.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    windows = len(content) // wide - length + 1
+    half = -(-(length - (hi - lo)) // 2)
+    cut = min(max(lo - half + 1, 0), windows)
+    for x, y, begin, end in ((0, cut, lo - half, hi), (cut, windows, lo, hi + half)):
+        if x < y:
+            yield x, content[x * wide : (y - 1 + length) * wide], begin - x, end - x
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for i, m in row_ranges(text_sizes(b.column(1)), 1 << 19):
-                s = b.slice(i, m).take(pa.array(np.arange(m)))
-                one = pa.array([0, m], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *(pa.ListArray.from_arrays(one, s.column(x)) for x in range(3))], ["block", "c", "content", "copies"])
-                seq += 1
-
-    def windows(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash of each window, its region, its copies)."""
-        hashes, of, copies = [], [], []
-        for r, (content, k) in enumerate(zip(b.column(2)[i].as_py(), b.column(3)[i].as_py(), strict=True)):
-            x = np.frombuffer(content, kind)
-            h = _mixed(substring_hashes(x, length, 0) + np.uint64(0x632BE59BD9B4E019) * substring_hashes(x, length, 1))
-            hashes.append(h)
-            of.append(np.full(len(h), r))
-            copies.append(np.full(len(h), min(k, 2)))
-        return np.concatenate(hashes), np.concatenate(of), np.concatenate(copies)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                h, _, copies = windows(b, i)
-                keys, inverse = np.unique(h, return_inverse=True)
-                twice = np.bincount(inverse, copies, minlength=len(keys)) > 1
-                yield sent_keys(b.column(0)[i].as_py(), keys, twice, n)
+def _halves(hot: DataFrame, anchor_size: int, length: int, wide: int) -> DataFrame:
+    """(parent, base, anchor, c, copies, lo, content): the parts of regions whose anchors have ``anchor_size`` symbols; base is a part's first window."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                h, of, _ = windows(b, i)
-                keys = np.unique(h)
-                many = gathered_flags(b.column(b.schema.names.index("parts"))[i].as_py())
-                hit = many[np.searchsorted(keys, h)]
-                cut = np.searchsorted(of, np.arange(len(b.column(1)[i]) + 1))
-                runs = [_runs(hit[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(1)[i].values, pa.array(runs, _RUN_TYPE)], ["c", "runs"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-    packed = written(groups.select("c", "content", "copies").mapInArrow(blocks, "block long, c array<binary>, content array<binary>, copies array<long>"), "hot-regions")
-    flags = packed.mapInArrow(send, SENT).repartition(n, "range").sortWithinPartitions("range").mapInArrow(keys_seen_twice, FLAGS)
-    parts = written(flags, "hot-flags", "none").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n", "flags"))).alias("parts"))
-    return packed.join(parts, "block").mapInArrow(mark, f"c binary, runs {_RUNS}")
+        for b in batches:
+            out: list[tuple] = []
+            for c, copies, lo, content in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                for base, part, begin, end in halved(content, lo, lo + anchor_size, length, wide):
+                    left = int(begin + base < lo)
+                    anchor = xxhash.xxh3_64_intdigest(part[begin * wide : end * wide], left)
+                    out.append((c, base, anchor - (anchor >> 63 << 64), xxhash.xxh3_128_digest(part, anchor_size << 32 | 2 * begin + left), copies, begin, part))
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["parent", "base", "anchor", "c", "copies", "lo", "content"])
+
+    return hot.select("c", "copies", "lo", "content").mapInArrow(run, "parent binary, base int, anchor long, c binary, copies long, lo int, content binary")
+
+
+def _whole(c: DataFrame, windows: Column) -> DataFrame:
+    """(c, runs) of contents all whose windows repeat."""
+    return c.select("c", F.array(F.struct(F.lit(0).cast("long").alias("lo"), windows.cast("long").alias("hi"))).alias("runs"))
+
+
+def _marked(content: DataFrame, length: int, gram: int, stride: int, shards: int, kind: type, most_regions: int) -> DataFrame:
+    """(c, runs): repeated windows of the contents of groups of two or more; a content that was split has a row for each of its parts."""
+    wide, size = np.dtype(kind).itemsize, gram
+    groups = content.where(F.col("many") <= most_regions).select("anchor", "c", "content", "copies")
+    hot, origins, sure = content.where(F.col("many") > most_regions), None, None
+    while not hot.isEmpty():
+        parts = written(_halves(hot, size, length, wide), "halves")
+        size += -(-(length - size) // 2)
+        step = parts.select(F.col("parent").alias("above"), F.col("base").alias("more"), F.col("c").alias("below"))
+        if origins is None:
+            origins = step.select(F.col("above").alias("origin"), F.col("more").alias("base"), F.col("below").alias("c"))
+        else:
+            deeper = origins.join(step, F.col("c") == F.col("above")).select("origin", (F.col("base") + F.col("more")).alias("base"), F.col("below").alias("c"))
+            origins = written(origins.unionByName(deeper), "origins")
+        once = written(parts.groupBy("anchor", "c").agg(F.sum("copies").alias("copies"), F.first("lo").alias("lo"), F.first("content").alias("content")), "parts")
+        found = once.join(once.groupBy("anchor").agg(F.count("*").alias("many")), "anchor")
+        groups = groups.unionByName(found.where(f"many BETWEEN 2 AND {most_regions}").select(*groups.columns))
+        alone = _whole(found.where("many = 1 AND copies > 1"), F.length("content") / wide - (length - 1))
+        sure = alone if sure is None else sure.unionByName(alone)
+        hot = found.where(F.col("many") > max(1, most_regions))
+    marks = _merged(groups, length, stride, shards, kind)
+    if origins is None:
+        return marks
+    marks = written(marks.unionByName(sure).where(F.size("runs") > 0), "part-marks")
+    of_parts = origins.join(marks, "c").select(F.col("origin").alias("c"), F.transform("runs", lambda r: F.struct((r["lo"] + F.col("base")).alias("lo"), (r["hi"] + F.col("base")).alias("hi"))).alias("runs"))
+    return marks.unionByName(of_parts)
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, words: bool = False, stride: int | None = None, gram: int | None = None, most_regions: int = MOST_REGIONS, shards: int = SHARDS) -> DataFrame:
@@ -403,15 +414,14 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, words: bool = False,
     # each side of the joins below is a table, so that a hot key's rows can be split over tasks
     twice = written(anchors.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor"), "twice")
     held = written(_digests(texts, anchors.join(twice, "anchor"), length, words), "regions")
-    once = written(held.groupBy("anchor", "c").agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "first", "windows")).alias("one")), "contents")
+    once = written(held.groupBy("anchor", "c").agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "first", "windows", "place")).alias("one")), "contents")
     groups = written(once.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1"), "groups")
     # the only content of its anchor is there twice itself
-    sure = once.join(groups, "anchor", "left_anti").select("c", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("one.windows").cast("long").alias("hi"))).alias("runs"))
+    sure = _whole(once.join(groups, "anchor", "left_anti"), F.col("one.windows"))
     found = _contents(texts, once.join(groups, "anchor").select("one.*", "anchor", "many", "copies", "c"), length, words)
     content = written(found, "bodies")
-    merged = _merged(content.where(F.col("many") <= most_regions), length, stride, shards, kind)
-    counted = _counted(content.where(F.col("many") > most_regions), length, kind)
-    marks = written(sure.unionByName(merged).unionByName(counted).where(F.size("runs") > 0), "marks")
+    marked = _marked(content, length, gram, stride, shards, kind, most_regions)
+    marks = written(sure.unionByName(marked).where(F.size("runs") > 0), "marks")
     spans = held.select("k", "first", "c").join(marks, "c").select("k", F.transform("runs", lambda r: F.struct((r["lo"] + F.col("first")).alias("lo"), (r["hi"] + F.col("first")).alias("hi"))).alias("runs"))
     return spans.groupBy("k").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 

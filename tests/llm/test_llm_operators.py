@@ -67,6 +67,23 @@ def test_repeated_bytes_match_brute_force(docs, most_regions):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w
 
 
+def test_split_anchors_give_the_same_marks(spark):
+    line, passage, words = prose(20), prose(90), 51
+    texts = [prose(int(RNG.integers(60, 90))) + " " + line + " " + prose(int(RNG.integers(60, 90))) for _ in range(40)]
+    texts += [prose(30) + " " + line + " " + passage + " " + prose(20), prose(9) + " " + line + " " + passage, passage[-430:] + prose(40), line * 12, line * 9]
+    texts += ["ab" * 500 + prose(i) for i in range(3, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got, plain = (by_id(suffix_dedup.dedup_substrings(docs, most_regions=n)) for n in (3, 10_000))
+    assert got == plain
+    for i, w in enumerate(brute_spans([t.encode() for t in texts], 400)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == w
+    split = [t.split() for t in texts]
+    seen = collections.Counter(tuple(t[j : j + words]) for t in split for j in range(len(t) - words + 1))
+    for i, t in enumerate(split):
+        hit = {k for j in range(len(t) - words + 1) if seen[tuple(t[j : j + words])] > 1 for k in range(j, j + words)}
+        assert got[i].passage_words == len(hit)
+
+
 def test_repeats_of_an_empty_table(empty):
     assert suffix_dedup.dedup_substrings(empty).count() == 0
 
