@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.sky import contour_scale, ellipse_halfwidths, ra_offset
 
 FRAME_ARCSEC, CELL_DEG, SIGMA = 120.0, 0.05, 5.0
-#: Components with a half-width above this (arcsec) reach further than the neighbouring cells.
-REACH_ARCSEC = 60.0
 
 
 def _cell(dec: Column, cell: float) -> Column:
@@ -20,28 +18,29 @@ def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_A
     """Pairs of a source and a component whose ellipse's box overlaps the source's square frame.
 
     Each component goes to its own cell; each source to the cells around it.  A row of cells has its own number of cells around the
-    circle, so that a cell is at least ``cell`` wide at its latitude.  A component wider than the cells allow goes to all cells within
-    its reach as well, so that no overlap is missed and every pair meets once.
+    circle, so that a cell is at least ``cell`` wide at its latitude and in the rows beside it.  A component too wide for that goes to
+    all cells within its reach instead and meets sources in their own cells only.  So no overlap is missed and every pair meets once,
+    in one join whose rows carry only the columns that are asked for; rows that are repeated in a table count as often as they occur.
     """
     half = frame / 2
-    lanes = lambda band: F.greatest(F.lit(1.0), F.floor(360.0 / cell * F.greatest(F.lit(1e-6), F.least(F.cos(F.radians(band * cell)), F.cos(F.radians((band + 1) * cell))))))
+    cos = lambda band: F.cos(F.radians(band * cell))
+    lanes = lambda band: F.greatest(F.lit(1.0), F.floor(360.0 / cell * F.greatest(F.lit(1e-6), F.least(cos(band - 1), cos(band + 2)))))
+    lane = lambda ra, n: F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n)
+    around = lambda ra, n, reach: F.explode(F.array_distinct(F.transform(F.sequence(-reach, reach), lambda t: F.pmod(lane(ra, n) + t, n).cast("long")))).alias("lane")
     dx, dy = ellipse_halfwidths(F.col("maj"), F.col("min"), F.col("pa"))
     comps = components.select(F.col("parent"), F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec"), "peak", "maj", "min", "pa", dx.alias("dx"), dy.alias("dy"))
     room = cell * 3600 - half
     steps = F.greatest(F.lit(0), F.ceil((F.greatest("dx", "dy") - room) / (cell * 3600))).cast("int")
-    bands = F.explode(F.sequence(-steps, steps)).alias("s")
-    comps = comps.select("*", bands, steps.alias("_steps")).withColumn("band", _cell(F.col("c_dec"), cell) + F.col("s"))
-    comps = comps.withColumn("n", lanes(F.col("band"))).withColumn("lane", F.floor(F.pmod("c_ra", F.lit(360.0)) / 360.0 * F.col("n")))
-    comps = comps.select("*", F.explode(F.sequence(-F.col("_steps"), F.col("_steps"))).alias("t")).withColumn("lane", F.pmod(F.col("lane") + F.col("t"), F.col("n")))
-    near = sources.select("*", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("_i")).withColumn("band", _cell(F.col("dec"), cell) + F.col("_i"))
-    near = near.withColumn("_n", lanes(F.col("band"))).select("*", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("_j"))
-    near = near.withColumn("lane", F.pmod(F.floor(F.pmod("ra", F.lit(360.0)) / 360.0 * F.col("_n")) + F.col("_j"), F.col("_n"))).dropDuplicates(["source_id", "band", "lane"])
-    pairs = near.join(comps, ["band", "lane"])
+    comps = comps.withColumn("_reach", F.when(steps > 0, steps + 1).otherwise(F.lit(0)))
+    comps = comps.select("*", F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))).alias("s")).withColumn("band", _cell(F.col("c_dec"), cell) + F.col("s"))
+    comps = comps.select("*", around(F.col("c_ra"), lanes(F.col("band")), F.col("_reach"))).drop("s")
+    near = sources.select("*", _cell(F.col("dec"), cell).alias("_band"), F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("_i")).withColumn("band", F.col("_band") + F.col("_i"))
+    near = near.withColumn("_n", lanes(F.col("band"))).select("*", around(F.col("ra"), F.col("_n"), F.lit(1)))
+    near = near.withColumn("_own", (F.col("_i") == 0) & (F.col("lane") == lane(F.col("ra"), F.col("_n")))).drop("_band", "_i", "_n")
+    pairs = near.join(comps, ["band", "lane"]).where((F.col("_reach") == 0) | F.col("_own"))
     x, y = ra_offset(F.col("c_ra"), F.col("ra"), F.col("dec")), (F.col("c_dec") - F.col("dec")) * 3600.0
     hit = pairs.withColumns({"x0": x, "y0": y}).where((F.abs("x0") <= half + F.col("dx")) & (F.abs("y0") <= half + F.col("dy")))
-    # a wide component meets a source in several cells: the one of the smallest band and lane keeps the pair
-    wide = hit.where("_steps > 0").dropDuplicates([c for c in hit.columns if c not in ("band", "lane", "s", "t", "n", "_i", "_j", "_n")])
-    return hit.where("_steps = 0").unionByName(wide).drop("band", "lane", "s", "t", "n", "_steps", "_i", "_j", "_n")
+    return hit.drop("band", "lane", "_reach", "_own")
 
 
 def foreign_flags(sources: DataFrame, components: DataFrame, sigma: float = SIGMA, frame: float = FRAME_ARCSEC) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skycensus.functions import sky
 from skycensus.operators import binning, cosmology, dist, fitting, imaging, select, sizing, skyjoin
 from skycensus.operators.interp import interpolate
 
@@ -43,6 +44,22 @@ def test_wide_component_reaches_over_cells(spark):
     assert skyjoin.foreign_flags(source(spark), comps).first().n_foreign_components == 1
 
 
+def test_neighbours_equal_all_pairs(spark):
+    """Every pair once: around RA 0, near the pole, with wide components and with a repeated row."""
+    rng = np.random.default_rng(5)
+    places = lambda n: [(float(ra), float(dec)) for dec0 in (0.0, 45.0, 89.4, -89.97) for ra, dec in zip((rng.normal(0, 0.1, n) / max(np.cos(np.radians(dec0)), 0.01)) % 360, np.clip(rng.normal(dec0, 0.1, n), -90, 90), strict=True)]
+    src = spark.createDataFrame([(i, f"S{i}", *p, 0.1) for i, p in enumerate(places(40))], "source_id long, source_name string, ra double, dec double, isl_rms double")
+    rows = [(f"C{i}", *p, 1.0, float(a), float(a) / 2, 30.0) for i, (p, a) in enumerate(zip(places(60), np.where(rng.random(240) < 0.2, rng.uniform(200, 3000, 240), 8.0), strict=True))]
+    comps = spark.createDataFrame([*rows, rows[0]], "parent string, ra double, dec double, peak double, maj double, min double, pa double")
+    got = skyjoin.neighbours(src, comps).groupBy("source_id", "parent").count()
+    dx, dy = sky.ellipse_halfwidths(F.col("maj"), F.col("min"), F.col("pa"))
+    both = src.crossJoin(comps.select("parent", F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec"), dx.alias("dx"), dy.alias("dy")))
+    hit = (F.abs(sky.ra_offset(F.col("c_ra"), F.col("ra"), F.col("dec"))) <= 60 + F.col("dx")) & (F.abs((F.col("c_dec") - F.col("dec")) * 3600.0) <= 60 + F.col("dy"))
+    want = both.where(hit).groupBy("source_id", "parent").count()
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    assert pairs(got) == pairs(want) != []
+
+
 @pytest.mark.parametrize(("offset", "cropped"), [(58, True), (40, False), (80, True)])
 def test_cropped(spark, offset, cropped):
     assert skyjoin.cropped_flags(source(spark), components(spark, [("S", 0, 0, 1.0), ("S", offset, 0, 1.0)])).first().cropped is cropped
