@@ -37,7 +37,8 @@ def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_A
     near = sources.select("*", _cell(F.col("dec"), cell).alias("_band"), F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("_i")).withColumn("band", F.col("_band") + F.col("_i"))
     near = near.withColumn("_n", lanes(F.col("band"))).select("*", around(F.col("ra"), F.col("_n"), F.lit(1)))
     near = near.withColumn("_own", (F.col("_i") == 0) & (F.col("lane") == lane(F.col("ra"), F.col("_n")))).drop("_band", "_i", "_n")
-    pairs = near.join(comps, ["band", "lane"]).where((F.col("_reach") == 0) | F.col("_own"))
+    # nine rows a source: more than the size estimate of a broadcast knows
+    pairs = near.hint("merge").join(comps, ["band", "lane"]).where((F.col("_reach") == 0) | F.col("_own"))
     x, y = ra_offset(F.col("c_ra"), F.col("ra"), F.col("dec")), (F.col("c_dec") - F.col("dec")) * 3600.0
     hit = pairs.withColumns({"x0": x, "y0": y}).where((F.abs("x0") <= half + F.col("dx")) & (F.abs("y0") <= half + F.col("dy")))
     return hit.drop("band", "lane", "_reach", "_own")
