@@ -87,5 +87,11 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_passages(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_topk": op4_topk, "op5_media": op5_media, "op6_passages": op6_passages, "op7_lm_score": op7_lm_score, "op8_token_ids": op8_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity}
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests
+
+    return digests(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_topk": op4_topk, "op5_media": op5_media, "op6_passages": op6_passages, "op7_lm_score": op7_lm_score, "op8_token_ids": op8_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "op13_bpe": op13_bpe}
 ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op9_mixing": OP9_SQL}
