@@ -87,11 +87,41 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_passages(_read(spark, sf_dir, "documents"))
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_trie import trie
+
+    return trie(_read(spark, sf_dir, "conversations"))
+
+
+#: Lists of turns as keys; crc32 bit by bit, as the dialect has none; a node's subtree by comparing prefixes.
+OP11_SQL = """
+WITH t AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS u FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, u, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+          lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295) % 4 AS h FROM t),
+b AS (SELECT a.c, list_concat(coalesce(p.u[1:a.h], []), a.u[a.h + 1:]) AS v FROM h a LEFT JOIN t p ON p.c = a.c - a.c % 20),
+m AS (SELECT c, len(v) AS n, unnest(range(0, len(v) + 1)) AS d, v FROM b),
+k AS (SELECT c, n, d, v[1:d] AS p FROM m),
+nodes AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+                 CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(p[d]).x, '[^\x20\x09-\x0D]+')) END AS words FROM k GROUP BY p, d),
+kids AS (SELECT a.p, count(b.d) AS n_children FROM nodes a LEFT JOIN nodes b ON b.d = a.d + 1 AND b.p[1:a.d] = a.p GROUP BY a.p),
+f AS (SELECT nodes.*, n_children FROM nodes JOIN kids USING (p)),
+s AS (SELECT a.p, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens FROM f a JOIN f b ON b.d >= a.d AND b.p[1:a.d] = a.p GROUP BY a.p)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM f JOIN s USING (p) LEFT JOIN nodes q ON q.d = f.d - 1 AND q.p = f.p[1:f.d - 1]
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whiten import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
     return digests(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_topk": op4_topk, "op5_media": op5_media, "op6_passages": op6_passages, "op7_lm_score": op7_lm_score, "op8_token_ids": op8_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "op13_bpe": op13_bpe}
-ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op9_mixing": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_topk": op4_topk, "op5_media": op5_media, "op6_passages": op6_passages, "op7_lm_score": op7_lm_score, "op8_token_ids": op8_token_ids, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "op11_turn_trie": op11_turn_trie, "op12_whitening": op12_whitening, "op13_bpe": op13_bpe}
+ORACLES: dict[str, str] = {"op4_topk": OP4_SQL, "op9_mixing": OP9_SQL, "op11_turn_trie": OP11_SQL}
