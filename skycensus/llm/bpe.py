@@ -5,7 +5,7 @@ vocabulary file.  Decoding puts the vocabulary's byte strings one after another.
 
 A null text is an empty one and has no ids.  The string of a special token is that token, wherever it stands in a text, as the library
 has it by default.  Repeated rows, repeated ids and null ids are rows of their own.  A long text is merged pre-token by pre-token, and an
-Arrow batch is worked through in slices of about 4 MB, so what a worker holds is a slice, or one text that is longer, some forty times
+Arrow batch is worked through in slices of about 1 MB, so what a worker holds is a slice, or one text that is longer, some forty times
 over (with its ids and places).  An empty table gives no rows; other columns, whatever their names, are carried along.
 """
 
@@ -26,8 +26,8 @@ from .tokenize import UnitCoder, row_ranges, text_sizes, tokenizer_path, whole_t
 
 #: Pre-tokens whose ids a worker keeps beside its units, and the longest one it keeps.
 _KEPT, _KEPT_SYMBOLS = 100_000, 64
-#: Ids that are turned into bytes at once.
-_BLOCK = 1 << 18
+#: Bytes of texts that are worked through at once, and ids that are turned into bytes at once.
+_SLICE, _BLOCK = 1 << 20, 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -196,7 +196,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = bpe(tokenizer_path(tokenizer))
         for b in batches:
-            for i, n in row_ranges(text_sizes(b.column(at))):
+            for i, n in row_ranges(text_sizes(b.column(at)), _SLICE):
                 s = b.slice(i, n)
                 ids, counts = code.encode(s.column(at))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -213,7 +213,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(tokenizer_path(tokenizer))
         for b in batches:
-            for i, n in row_ranges(4 * pc.list_value_length(b.column(at)).to_numpy(zero_copy_only=False).astype(np.int64)):
+            for i, n in row_ranges(4 * pc.list_value_length(b.column(at)).to_numpy(zero_copy_only=False).astype(np.int64), _SLICE):
                 s = b.slice(i, n)
                 lists = s.column(at)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
