@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sky import number
 from ..sources.storage import stored
+from .quantiles import quantile_table, quantiles
 
 
 def clean(df: DataFrame, x: str, below: float | None = None) -> DataFrame:
@@ -19,13 +20,15 @@ def clean(df: DataFrame, x: str, below: float | None = None) -> DataFrame:
     good = df.where(F.coalesce(number(F.col(x)) > 0, F.lit(False)))
     if below is None:
         return good
-    cut = good.agg(F.percentile(x, below).alias("_cut"))
-    return good.crossJoin(F.broadcast(cut)).where(F.col(x) < F.col("_cut")).drop("_cut")
+    found = quantiles(good, x, [below])
+    return good.where(F.col(x) < F.lit(found[()][1][0])) if found else good
 
 
 def statistics(df: DataFrame, x: str) -> DataFrame:
-    """One row: count, mean, median, population deviation, 90th, 95th and 99th percentile."""
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_pop(x).alias("std"), *(F.percentile(x, p / 100).alias(f"p{p}") for p in (90, 95, 99)))
+    """One row: count, mean, median, population deviation, 90th, 95th and 99th percentile of the numbers in a column."""
+    own = number(F.col(x))
+    shares = quantile_table(df, x, {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    return df.agg(F.count(own).alias("n"), F.avg(own).alias("mean"), F.stddev_pop(own).alias("std")).crossJoin(F.broadcast(shares))
 
 
 def standardised(df: DataFrame, reference: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import curves, sky
 from ..operators import cosmology
 from ..operators.dist import clean, power_inverse, power_transform
 from ..operators.interp import interp_sql, interpolate
+from ..operators.quantiles import quantile_table
 from ..operators.rlf import PUBLISHED_FLUX, PUBLISHED_SHARE, completeness, with_luminosity
 from ..operators.select import base_gate, classified, funnel_report
 from ..sources import adapters as A
@@ -331,7 +332,7 @@ def f16(spark: SparkSession, d: str) -> DataFrame:
 @query("f17_central_share", "SELECT l_orderkey, l_partkey, l_suppkey, las FROM catalog WHERE las BETWEEN (SELECT quantile_cont(las, 25e-3) FROM catalog) AND (SELECT quantile_cont(las, 975e-3) FROM catalog)")
 def f17(spark: SparkSession, d: str) -> DataFrame:
     c = A.catalog(spark, d)
-    cut = c.agg(F.percentile("las", 0.025).alias("lo"), F.percentile("las", 0.975).alias("hi"))
+    cut = quantile_table(c, "las", {"lo": 0.025, "hi": 0.975})
     return c.crossJoin(F.broadcast(cut)).where("las BETWEEN lo AND hi").select("l_orderkey", "l_partkey", "l_suppkey", "las")
 
 

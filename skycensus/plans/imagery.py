@@ -10,7 +10,8 @@ from ..functions import transforms
 from ..functions.transforms import Asinh
 from ..operators import imaging
 from ..operators.dist import uniform, uniform_sql
-from ..operators.evaluate import density_coverage, knn_radius, nearest, pair_distances
+from ..operators.evaluate import density_coverage, kth_distance, memorisation_report, nearest
+from ..operators.quantiles import mad
 from ..sources import adapters as A
 from ..sources import storage
 from .registry import query
@@ -218,11 +219,30 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return nearest(im.where("grp = 0"), im.where("grp <> 0"), "idx", "image").select("q", F.round("distance", 5).alias("distance"))
 
 
+#: Images as vectors of 4 x 4 block means over the peak; the nearest of grp >= 2 to those of grp 0 (generated) and 1 (held out).
+MEMORY_SQL = """
+bm AS (SELECT idx, grp, list_transform(range(16), lambda k: list_sum(list_transform(range(4), lambda j: image[((k // 4) * 2 + j // 2) * 8 + (k % 4) * 2 + j % 2 + 1]::DOUBLE / list_max(image)::DOUBLE)) / 4) AS v FROM images),
+nn AS (SELECT a.grp, a.idx, min(list_distance(a.v, b.v)) AS d FROM bm a JOIN bm b ON a.grp < 2 AND b.grp >= 2 GROUP BY a.grp, a.idx),
+ns AS (SELECT median(d) FILTER (grp = 0) AS gm, quantile_cont(d, 5e-2) FILTER (grp = 0) AS g5, median(d) FILTER (grp = 1) AS vm FROM nn),
+nw AS (SELECT sum(abs(fa - fb) * gap) AS w1 FROM (SELECT sum(sum(CASE WHEN grp = 0 THEN 1 ELSE 0 END)) OVER w / (SELECT count(*) FROM nn WHERE grp = 0) AS fa, sum(sum(CASE WHEN grp = 1 THEN 1 ELSE 0 END)) OVER w / (SELECT count(*) FROM nn WHERE grp = 1) AS fb, lead(d) OVER w - d AS gap FROM nn GROUP BY d WINDOW w AS (ORDER BY d))),
+memory AS (SELECT 'gen_nn_median' AS metric, gm AS value FROM ns UNION ALL SELECT 'gen_nn_p05', g5 FROM ns UNION ALL SELECT 'val_nn_median', vm FROM ns UNION ALL SELECT 'median_ratio_gen_over_val', gm / (vm + 1e-30) FROM ns UNION ALL SELECT 'w1_gen_vs_val', w1 FROM nw)"""
+
+
+def memorisation(spark: SparkSession, d: str) -> DataFrame:
+    im = A.images(spark, d).select("idx", "grp", I.block_means(I.peak_normalised(F.col("image")), 8, 4).alias("v"))
+    return memorisation_report(im.where("grp = 0"), im.where("grp >= 2"), im.where("grp = 1"), "idx", "v")
+
+
+@query("j10_memorisation", f"WITH {MEMORY_SQL} SELECT metric, round(value, 5) AS value FROM memory")
+def j10_memorisation(spark: SparkSession, d: str) -> DataFrame:
+    return memorisation(spark, d).select("metric", F.round("value", 5).alias("value"))
+
+
 _PAIR = "list_sum(list_transform(list_zip(a.image, b.image), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE)*(z[1]::DOUBLE - z[2]::DOUBLE)))"
 _KNN = f"g AS (SELECT idx, image FROM images WHERE grp = 1), o AS (SELECT idx, image FROM images WHERE grp = 2), pr AS (SELECT a.idx AS q, row_number() OVER (PARTITION BY a.idx ORDER BY {_PAIR}, b.idx) AS r, sqrt({_PAIR}) AS d FROM g a JOIN g b ON a.idx <> b.idx)"
 @query("j11_knn_radius", f"WITH {_KNN} SELECT q, round(d, 5) AS radius FROM pr WHERE r = 5")
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    return knn_radius(A.images(spark, d).where("grp = 1"), "idx", "image", 5).select("q", F.round("radius", 5).alias("radius"))
+    return kth_distance(A.images(spark, d).where("grp = 1"), "idx", "image", 5).select("q", F.round("distance", 5).alias("radius"))
 
 
 @query("b20_density_coverage", f"WITH {_KNN}, rad AS (SELECT q, d AS radius FROM pr WHERE r = 5), hit AS (SELECT b.idx, count(*) FILTER (sqrt({_PAIR}) <= radius) AS n FROM o a, g b JOIN rad ON rad.q = b.idx GROUP BY b.idx) SELECT round(sum(n) / (5e0 * (SELECT count(*) FROM o)), 6) AS density, round(avg(CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END), 6) AS coverage FROM hit")
@@ -233,9 +253,7 @@ def b20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w03_kth_smallest", f"WITH {_KNN} SELECT q, round(d, 5) AS d FROM pr WHERE r = 3")
 def w03(spark: SparkSession, d: str) -> DataFrame:
-    g = A.images(spark, d).where("grp = 1")
-    w = Window.partitionBy("q").orderBy("d2", "b")
-    return pair_distances(g, g, "idx", "image").where("q <> b").withColumn("r", F.row_number().over(w)).where("r = 3").select("q", F.round(F.sqrt("d2"), 5).alias("d"))
+    return kth_distance(A.images(spark, d).where("grp = 1"), "idx", "image", 3).select("q", F.round("distance", 5).alias("d"))
 
 
 @query("w05_neighbour_pixels", f"WITH {PX} SELECT idx, y, x, round(lag(v) OVER (PARTITION BY idx, x ORDER BY y), 6) AS above, round(lead(v) OVER (PARTITION BY idx, y ORDER BY x), 6) AS right_ FROM px")
@@ -247,8 +265,7 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
 @query("b12_mad_noise", f"WITH {PX}, m AS (SELECT median(v) AS m FROM px) SELECT round(14826e-4 * median(abs(v - m)), 6) AS noise FROM px, m")
 def b12(spark: SparkSession, d: str) -> DataFrame:
     px = imaging.pixels(A.images(spark, d)).select("v")
-    m = px.agg(F.median("v").alias("m"))
-    return px.crossJoin(F.broadcast(m)).agg(r6(1.4826 * F.median(F.abs(F.col("v") - F.col("m"))), "noise"))
+    return px.groupBy().agg(r6(1.4826 * F.lit(mad(px, "v")), "noise"))
 
 
 @query("b13_linear_fit", f"WITH {PX} SELECT round(5e-1 / stddev_pop(v), 6) AS k FROM px")
@@ -259,8 +276,8 @@ def b13(spark: SparkSession, d: str) -> DataFrame:
 @query("b14_asinh_fit", f"WITH {PX}, m AS (SELECT median(v) AS m FROM px), n AS (SELECT 3 * 14826e-4 * median(abs(v - m)) AS beta FROM px, m) SELECT round(any_value(beta), 6) AS beta, round(5e-1 / stddev_pop(asinh(v / beta)), 6) AS k, round(avg(CASE WHEN abs(v) < beta THEN 1e0 ELSE 0e0 END), 6) AS linear_share FROM px, n")
 def b14(spark: SparkSession, d: str) -> DataFrame:
     px = imaging.pixels(A.images(spark, d)).select("v")
-    noise = px.crossJoin(F.broadcast(px.agg(F.median("v").alias("m")))).agg((3 * 1.4826 * F.median(F.abs(F.col("v") - F.col("m")))).alias("beta"))
-    return px.crossJoin(F.broadcast(noise)).agg(r6(F.first("beta"), "beta"), r6(0.5 / F.stddev_pop(F.asinh(F.col("v") / F.col("beta"))), "k"), r6(F.avg((F.abs("v") < F.col("beta")).cast("double")), "linear_share"))
+    beta = F.lit(3 * 1.4826 * mad(px, "v"))
+    return px.groupBy().agg(r6(beta, "beta"), r6(0.5 / F.stddev_pop(F.asinh(F.col("v") / beta)), "k"), r6(F.avg((F.abs("v") < beta).cast("double")), "linear_share"))
 
 
 @query("b15_round_trip", f"WITH {PX} SELECT count(*) AS n, max(abs(1e-1*sinh(5e-1*asinh(v/1e-1)/5e-1) - v)) < 1e-9 AS exact, round(sum(5e-1*asinh(v/1e-1)), 4) AS total FROM px")

@@ -167,18 +167,34 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _w1_sql(col: str, name: str) -> str:
-    return f"SELECT '{name}' AS metric, round(sum(abs(fa - fb) * gap), 5) AS w1 FROM (SELECT {col} AS v, sum(sum(a)) OVER w / (SELECT sum(a) FROM p) AS fa, sum(sum(b)) OVER w / (SELECT sum(b) FROM p) AS fb, lead({col}) OVER w - {col} AS gap FROM p GROUP BY {col} WINDOW w AS (ORDER BY {col}))"
-
-
-_P = "p AS (SELECT list_max(image)::DOUBLE AS peak, list_sum(list_transform(image, lambda v: v::DOUBLE)) AS total, CASE WHEN grp < 5 THEN 1 ELSE 0 END AS a, CASE WHEN grp >= 5 THEN 1 ELSE 0 END AS b FROM images)"
+    return f"SELECT '{name}' AS metric, sum(abs(fa - fb) * gap) AS value FROM (SELECT {col} AS v, sum(sum(a)) OVER w / (SELECT sum(a) FROM p) AS fa, sum(sum(b)) OVER w / (SELECT sum(b) FROM p) AS fb, lead({col}) OVER w - {col} AS gap FROM p GROUP BY {col} WINDOW w AS (ORDER BY {col}))"
+
+
+#: Peak and total of the real (grp < 5) and the other images: numbers, medians, distances, and on standardised values kernel distance, density and coverage.
+_REPORT = f"""
+p AS (SELECT idx, list_max(image)::DOUBLE AS peak, list_sum(list_transform(image, lambda v: v::DOUBLE)) AS total, CASE WHEN grp < 5 THEN 1 ELSE 0 END AS a, CASE WHEN grp >= 5 THEN 1 ELSE 0 END AS b FROM images),
+ps AS (SELECT avg(peak) AS mp, stddev_pop(peak) AS sp, avg(total) AS mt, stddev_pop(total) AS st FROM p WHERE a = 1),
+f AS (SELECT idx, a, [(peak - mp) / sp, (total - mt) / st] AS v FROM p, ps),
+kp AS (SELECT x.a AS xa, y.a AS ya, sum(pow(list_inner_product(x.v, y.v) / 2 + 1, 3)) FILTER (x.idx <> y.idx) AS off, avg(pow(list_inner_product(x.v, y.v) / 2 + 1, 3)) AS m FROM f x, f y GROUP BY ALL),
+kn AS (SELECT a, count(*) AS n FROM f GROUP BY a),
+kd AS (SELECT (SELECT sum(off / (n * (n - 1e0))) FROM kp JOIN kn ON kn.a = xa WHERE xa = ya) - 2 * (SELECT m FROM kp WHERE xa = 1 AND ya = 0) AS k),
+rad AS (SELECT q, d FROM (SELECT x.idx AS q, list_distance(x.v, y.v) AS d, row_number() OVER (PARTITION BY x.idx ORDER BY list_distance(x.v, y.v)) AS r FROM f x JOIN f y ON x.a = 1 AND y.a = 1 AND x.idx <> y.idx) WHERE r = 5),
+hits AS (SELECT rad.q, count(*) FILTER (list_distance(x.v, y.v) <= rad.d) AS n FROM rad JOIN f x ON x.idx = rad.q, f y WHERE y.a = 0 GROUP BY rad.q),
+report AS (SELECT 'n_generated' AS metric, sum(b)::DOUBLE AS value FROM p UNION ALL SELECT 'n_real', sum(a)::DOUBLE FROM p
+  UNION ALL SELECT 'gen_median_peak', median(peak) FROM p WHERE b = 1 UNION ALL SELECT 'real_median_peak', median(peak) FROM p WHERE a = 1 UNION ALL SELECT 'gen_median_total', median(total) FROM p WHERE b = 1 UNION ALL SELECT 'real_median_total', median(total) FROM p WHERE a = 1
+  UNION ALL {_w1_sql("peak", "w1_peak")} UNION ALL {_w1_sql("total", "w1_total")} UNION ALL SELECT 'kernel_distance', k FROM kd
+  UNION ALL SELECT 'density', sum(n) / (5e0 * (SELECT sum(b) FROM p)) FROM hits UNION ALL SELECT 'coverage', avg(CASE WHEN n > 0 THEN 1e0 ELSE 0e0 END) FROM hits)"""
+
+
+def _distribution(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("image")
+    p = A.images(spark, d).select("idx", (F.col("grp") < 5).alias("real"), I.peak(c).cast("double").alias("peak"), I.total(c).alias("total"))
+    return evaluate.distribution_report(p, "idx", ["peak", "total"], "real", True, False)
 
 
-@query("b21_distribution_report", f"WITH {_P} {_w1_sql('peak', 'peak')} UNION ALL {_w1_sql('total', 'total')}")
+@query("b21_distribution_report", f"WITH {_REPORT} SELECT metric, round(value, 4) AS value FROM report")
 def b21(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("image")
-    p = A.images(spark, d).select((F.col("grp") < 5).alias("side"), I.peak(c).cast("double").alias("peak"), I.total(c).alias("total"))
-    one = lambda m: dist.wasserstein(p, m, "side", True, False).select(F.lit(m).alias("metric"), r6(F.col("w1"), "w1", 5))
-    return one("peak").unionByName(one("total"))
+    return _distribution(spark, d).select("metric", F.round("value", 4).alias("value"))
 
 
 @query("x07_report_json")
@@ -221,14 +237,15 @@ def m16(spark: SparkSession, d: str) -> DataFrame:
     return bins.groupBy("one").applyInPandas(fitting.joint_fit, "n int, popt array<double>, perr array<double>")
 
 
-@query("m18_full_report")
+_CALIBRATED = f"{surveys._CAL}, cs AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, pow(1e1, median(y - x)) AS bias, stddev_pop(y - x) AS scatter FROM c), cu AS (UNPIVOT cs ON slope, intercept, r2, bias, scatter INTO NAME metric VALUE value)"
+
+
+@query("m18_full_report", f"WITH {_REPORT}, {imagery.MEMORY_SQL}, {_CALIBRATED} SELECT metric, round(value, 4) AS value FROM (SELECT metric, value FROM report UNION ALL SELECT metric, value FROM cu UNION ALL SELECT metric, value FROM memory)")
 def m18(spark: SparkSession, d: str) -> DataFrame:
-    im = A.images(spark, d)
-    one = b21(spark, d).select(F.concat(F.lit("w1_"), "metric").alias("metric"), F.col("w1").alias("value"))
+    """Distributions, calibration, and the nearest training images beside those of held-out ones."""
     two = evaluate.calibration(surveys._calibrated(spark, d), "value", "measured").select("slope", "intercept", "r2", "bias", "scatter")
-    three = evaluate.nearest(im.where("grp = 0"), im.where("grp <> 0"), "idx", "image").agg(F.median("distance").alias("nearest_median"), F.percentile("distance", 0.05).alias("nearest_p5"))
-    flat = lambda r: r.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in r.columns))).alias("m")).select("m.*")
-    return one.unionByName(flat(two)).unionByName(flat(three))
+    all_ = _distribution(spark, d).unionByName(evaluate.listed(two)).unionByName(imagery.memorisation(spark, d))
+    return all_.select("metric", F.round("value", 4).alias("value"))
 
 
 @query("m19_report_per_snapshot", "SELECT grp, count(*) AS n, round(median(list_max(image)::DOUBLE), 5) AS median_peak, round(avg(list_sum(list_transform(image, lambda v: v::DOUBLE))), 5) AS mean_total FROM images GROUP BY grp")

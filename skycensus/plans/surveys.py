@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.curves import CurveFit
 from ..operators import binning as B
 from ..operators import cosmology, dist, evaluate, fitting, rlf, sizing, skyjoin
+from ..operators.distribution import Distribution, distribution_of
 from ..operators.interp import interp_sql, interpolate
+from ..operators.quantiles import quantile_table
 from ..sources import adapters as A
 from .registry import query
 
@@ -213,11 +217,38 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
     return s.select("n", *(r6(F.col(c), c) for c in ("mean", "median", "std", "p90", "p95", "p99")))
 
 
-@query("b11_presets", "SELECT 'rms' AS name, count(*) AS n FROM catalog WHERE isl_rms > 0 AND isl_rms < (SELECT quantile_cont(isl_rms, 95e-2) FROM catalog WHERE isl_rms > 0) UNION ALL SELECT 'las', count(*) FROM catalog WHERE las > 0 AND las < (SELECT quantile_cont(las, 98e-2) FROM catalog WHERE las > 0) UNION ALL SELECT 'peak_flux', count(*) FROM catalog WHERE peak_flux > 0 AND peak_flux < (SELECT quantile_cont(peak_flux, 98e-2) FROM catalog WHERE peak_flux > 0)")
+def _histogram_sql(name: str, raw: str, share: float, log: bool) -> str:
+    """Cleaned values of ``raw`` in all bins between the least and the greatest."""
+    n, x = (99, "log10(v)") if log else (100, "v")
+    return f"""(WITH r AS ({raw}), q AS (SELECT v FROM r WHERE v > 0 AND isfinite(v)), k AS (SELECT {x} AS x FROM q WHERE v < (SELECT quantile_cont(v, {share!r}::DOUBLE) FROM q)), e AS (SELECT min(x) AS lo, (max(x) - min(x)) / {n} AS w FROM k),
+h AS (SELECT CAST(greatest(0, least(floor((x - lo) / w), {n - 1})) AS INTEGER) AS bin, count(*) AS n FROM k, e GROUP BY 1) SELECT '{name}' AS name, CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range({n}) t(i) LEFT JOIN h ON h.bin = i)"""
+
+
+_PRESETS = [("rms", "SELECT isl_rms AS v FROM catalog WHERE resolved", 0.95, False), ("las", "SELECT las AS v FROM catalog WHERE resolved", 0.98, False), ("peak_flux", "SELECT peak_flux AS v FROM catalog WHERE resolved", 0.98, True), ("redshift", "SELECT z_best AS v FROM catalog WHERE resolved", 0.98, False), ("peak_pixel", "SELECT list_max(image)::DOUBLE * 1000 AS v FROM images", 0.8, False)]
+
+
+@query("b11_presets", " UNION ALL ".join("SELECT * FROM " + _histogram_sql(*p) for p in _PRESETS))
 def b11(spark: SparkSession, d: str) -> DataFrame:
-    c = A.catalog(spark, d)
-    one = lambda name, col, p: dist.clean(c, col, p).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
-    return one("rms", "isl_rms", 0.95).unionByName(one("las", "las", 0.98)).unionByName(one("peak_flux", "peak_flux", 0.98))
+    tables = {"catalogue": A.catalog(spark, d), "images": A.images(spark, d)}
+    each = [distribution_of(name, tables).histogram().select(F.lit(name).alias("name"), "bin", "n") for name, *_ in _PRESETS]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+class SignalToNoise(Distribution):
+    """What a user writes: where the values come from; the rest is inherited."""
+
+    share, log = 0.9, True
+
+    def raw(self, tables):
+        return tables["catalogue"].select(F.col("peak_flux") / F.col("isl_rms"))
+
+
+_SNR = _histogram_sql("snr", "SELECT peak_flux / isl_rms AS v FROM catalog", 0.9, True)
+
+
+@query("v05_user_distribution", f"SELECT bin, n FROM {_SNR}")
+def v05(spark: SparkSession, d: str) -> DataFrame:
+    return SignalToNoise({"catalogue": A.catalog(spark, d)}).histogram().select("bin", "n")
 
 
 LAMS = [-1.0, -0.5, 0.0, 0.25, 0.5, 1.0]
@@ -446,7 +477,7 @@ def m17(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m22_sweep_grid", "WITH q AS (SELECT quantile_cont(value, 5e-2) AS lo, quantile_cont(value, 95e-2) AS hi FROM events WHERE value > 0) SELECT CAST(i AS INTEGER) AS step, round(lo*pow(hi/lo, i/9e0), 5) AS prompt FROM q, range(10) r(i)")
 def m22(spark: SparkSession, d: str) -> DataFrame:
-    q = A.read(spark, d, "events").where("value > 0").agg(F.percentile("value", 0.05).alias("lo"), F.percentile("value", 0.95).alias("hi"))
+    q = quantile_table(A.read(spark, d, "events").where("value > 0"), "value", {"lo": 0.05, "hi": 0.95})
     return q.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("step")).select("step", r6(F.col("lo") * F.pow(F.col("hi") / F.col("lo"), F.col("step") / 9.0), "prompt", 5))
 
 
