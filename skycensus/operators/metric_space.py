@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
@@ -102,21 +102,31 @@ def build(base: DataFrame, key: str, vec: str, block_rows: int = BLOCK_ROWS) ->
     kind = own.schema["key"].dataType.simpleString()
     dealt = stored(own.mapInArrow(assign, f"b {kind}, v array<double>, cell int, r double"), "cells")
     rows_a_block = max(block_rows, -(-total // (MOST_BLOCKS - len(pivots))))
+    cells = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy("cell").collect()
+    if max(r.n for r in cells) <= 2 * rows_a_block:
+        return _numbered(dealt, cells, pivots, ["cell"])
     # rings of equal numbers of rows: as many in each cell as it has blocks
-    sizes = {r.cell: r["count"] for r in dealt.groupBy("cell").count().collect()}
-    rings = max(1, min(64, -(-max(sizes.values()) // rows_a_block)))
-    cuts = quantiles(dealt, "r", [i / rings for i in range(1, rings)], ["cell"]) if rings > 1 else {}
-    edges = {c: sorted({cuts[(c,)][1][i * rings // m - 1] for i in range(1, m)}) for c, n in sizes.items() if (m := min(rings, -(-n // rows_a_block))) > 1}
+    rings = min(64, -(-max(r.n for r in cells) // rows_a_block))
+    cuts = quantiles(dealt, "r", [i / rings for i in range(1, rings)], ["cell"])
+    edges = [(r.cell, sorted({cuts[(r.cell,)][1][i * rings // m - 1] for i in range(1, m)}) if (m := min(rings, -(-r.n // rows_a_block))) > 1 else []) for r in cells]
     spark = base.sparkSession
-    table = spark.createDataFrame([(c, edges.get(c, [])) for c in sizes], "cell int, edges array<double>")
+    table = spark.createDataFrame(edges, "cell int, edges array<double>")
     ringed = dealt.join(F.broadcast(table), "cell").withColumn("ring", F.size(F.filter("edges", lambda e: F.col("r") >= e)))
     # a ring of equal distances is cut by a hash of the key
     parts = spark.createDataFrame([(r.cell, r.ring, -(-r["count"] // rows_a_block) if r["count"] > 2 * rows_a_block else 1) for r in ringed.groupBy("cell", "ring").count().collect()], "cell int, ring int, parts long")
     cut = ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    borders = cut.groupBy("cell", "ring", "part").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy("cell", "ring", "part").collect()
-    numbers = spark.createDataFrame([(r.cell, r.ring, r.part, i) for i, r in enumerate(borders)], "cell int, ring int, part long, block int")
-    rows = stored(cut.join(F.broadcast(numbers), ["cell", "ring", "part"]).select("block", "b", "v"), "metric")
-    return Index(rows, Cells(pivots, *[np.array([r[c] for r in borders]) for c in ("cell", "low", "high", "n")]))
+    by = ["cell", "ring", "part"]
+    borders = cut.groupBy(*by).agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy(*by).collect()
+    index = _numbered(cut, borders, pivots, by)
+    index.rows = stored(index.rows, "metric")
+    return index
+
+
+def _numbered(rows: DataFrame, borders: list, pivots: np.ndarray, by: list[str]) -> Index:
+    """The index of rows whose blocks, listed in ``borders``, are told apart by the columns ``by``."""
+    kinds = ", ".join(f"{c} {'long' if c == 'part' else 'int'}" for c in by)
+    numbers = rows.sparkSession.createDataFrame([(*[r[c] for c in by], i) for i, r in enumerate(borders)], f"{kinds}, block int")
+    return Index(rows.join(F.broadcast(numbers), by).select("block", "b", "v"), Cells(pivots, *[np.array([r[c] for r in borders]) for c in ("cell", "low", "high", "n")]))
 
 
 def _bounds(cells: Cells, v: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -152,7 +162,7 @@ def _squares(v: np.ndarray, w: np.ndarray) -> Iterator[np.ndarray]:
         yield ((w - x) ** 2).sum(axis=1)
 
 
-def nearest_k(index: Index, queries: DataFrame, key: str, vec: str, k: int = 1, others: bool = True, first: int = 2) -> DataFrame:
+def nearest_k(index: Index, queries: DataFrame, key: str, vec: str, k: int = 1, others: bool = True, first: int = 4) -> DataFrame:
     """(q, r, b, d2): the ``k`` nearest rows of each query by squared distance, ties by key; ``others``: rows of the query's own key are left out."""
     asked = whole(queries, key, vec).withColumnRenamed("key", "q")
     q_kind, b_kind = asked.schema["q"].dataType.simpleString(), index.rows.schema["b"].dataType.simpleString()
@@ -163,7 +173,7 @@ def nearest_k(index: Index, queries: DataFrame, key: str, vec: str, k: int = 1,
     top = Window.partitionBy("q").orderBy("d2", "b")
 
     def open_blocks(batches: Iterator[pa.RecordBatch], done: int, width: int) -> Iterator[pa.RecordBatch]:
-        names = ["block", "q", "v", "lead"]
+        names = ["block", "q", "v", "lead", "n"]
         for b in batches:
             if not len(b):
                 continue
@@ -181,7 +191,7 @@ def nearest_k(index: Index, queries: DataFrame, key: str, vec: str, k: int = 1,
                 blocks.append(visit)
                 lead.append(np.arange(len(visit)) == 0)
             at = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks).astype(np.int32)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(lead))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blocks).astype(np.int32)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(lead)), pa.array(cells.n[np.concatenate(blocks)])], names)
 
     def closest(queries: pa.Table, rows: pa.Table) -> pa.Table:
         kept_q, kept_b, kept_d = [], [], []
@@ -202,19 +212,18 @@ def nearest_k(index: Index, queries: DataFrame, key: str, vec: str, k: int = 1,
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         return pa.table({"q": queries["q"].take(pa.array(join(kept_q, np.int64))), "b": rows["b"].take(pa.array(join(kept_b, np.int64))), "d2": pa.array(join(kept_d, float))})
 
-    sizes = asked.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(index.cells.n)], "block int, n long")
     while done < n_blocks:
         step = lambda batches, done=done, width=width: open_blocks(batches, done, width)
-        visits = stored(state.mapInArrow(step, f"block int, q {q_kind}, v array<double>, lead boolean"), "visits")
-        met = visits.groupBy("block").count().join(F.broadcast(sizes), "block").agg(F.sum(F.col("count") * F.col("n")).alias("n")).first().n
-        if not met:
+        seen = Observation()
+        visits = stored(state.mapInArrow(step, f"block int, q {q_kind}, v array<double>, lead boolean, n long").observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "visits")
+        if not seen.get["n"]:
             break
-        index.compared += met
+        index.compared += seen.get["n"]
         found = _met(index, visits, closest, f"q {q_kind}, b {b_kind}, d2 double")
         best = stored(best.drop("r").unionByName(found).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k), "best")
         reach = best.where(F.col("r") == k).select("q", F.sqrt("d2").alias("reach"))
         state = visits.where("lead").select("q", "v").join(reach, "q", "left").select("q", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-        done, width = done + width, 4 * width
+        done, width = done + width, 8 * width
     return best.select("q", "r", "b", "d2")
 
 
@@ -237,15 +246,16 @@ def ball_counts(index: Index, balls: DataFrame, key: str, vec: str, radius: str)
                 blocks.append(some)
             at = np.concatenate([np.arange(len(b)), *rows])
             block = pa.array(np.concatenate([np.full(len(b), -1, np.int32), *blocks]))
+            n = pa.array(np.concatenate([np.zeros(len(b), np.int64), *[cells.n[x] for x in blocks]]))
             sure = pa.array(np.concatenate([sure, np.zeros(len(at) - len(b), np.int64)]))
-            yield pa.RecordBatch.from_arrays([block, *[b.column(j).take(pa.array(at)) for j in range(3)], sure], ["block", "q", "v", "radius", "sure"])
+            yield pa.RecordBatch.from_arrays([block, *[b.column(j).take(pa.array(at)) for j in range(3)], sure, n], ["block", "q", "v", "radius", "sure", "n"])
 
     def count(queries: pa.Table, rows: pa.Table) -> pa.Table:
         n = [int((np.sqrt(d2) <= r).sum()) for d2, r in zip(_squares(_matrix(queries["v"].combine_chunks()), _matrix(rows["v"].combine_chunks())), queries["radius"].to_numpy(), strict=True)] if len(queries) and len(rows) else [0] * len(queries)
         return pa.table({"q": queries["q"], "n": pa.array(n, pa.int64())})
 
-    visits = stored(asked.mapInArrow(visit, f"block int, q {kind}, v array<double>, radius double, sure long"), "visits")
-    sizes = asked.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(index.cells.n)], "block int, n long")
-    index.compared += visits.groupBy("block").count().join(F.broadcast(sizes), "block").agg(F.sum(F.col("count") * F.col("n")).alias("n")).first().n or 0
+    seen = Observation()
+    visits = stored(asked.mapInArrow(visit, f"block int, q {kind}, v array<double>, radius double, sure long, n long").observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "visits")
+    index.compared += seen.get["n"]
     near = _met(index, visits.where("block >= 0"), count, f"q {kind}, n long", "radius")
     return visits.where("block < 0").select("q", F.col("sure").alias("n")).unionByName(near).groupBy("q").agg(F.sum("n").alias("n"))
