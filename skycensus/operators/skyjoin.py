@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sky import contour_scale, ellipse_halfwidths, ra_offset
+from ..sources.storage import stored
 
 FRAME_ARCSEC, CELL_DEG, SIGMA = 120.0, 0.05, 5.0
+#: Components or sources of a cell beyond which it is split, and levels of the quadtree in a cell.
+MOST_IN_CELL, DEPTH = 4000, 4
 
 
 def _cell(dec: Column, cell: float) -> Column:
     return F.floor(dec / cell)
 
 
-def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_ARCSEC, cell: float = CELL_DEG) -> DataFrame:
+def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_ARCSEC, cell: float = CELL_DEG, most: int = MOST_IN_CELL) -> DataFrame:
     """Pairs of a source and a component whose ellipse's box overlaps the source's square frame.
 
     Each component goes to its own cell; each source to the cells around it.  A row of cells has its own number of cells around the
     circle, so that a cell is at least ``cell`` wide at its latitude and in the rows beside it.  A component too wide for that goes to
     all cells within its reach instead and meets sources in their own cells only.  So no overlap is missed and every pair meets once,
-    in one join whose rows carry only the columns that are asked for; rows that are repeated in a table count as often as they occur.
+    in one join; rows that are repeated in a table count as often as they occur.  Cells of more than ``most`` components or sources are split into the
+    nodes of a quadtree, so no task of the join has more than that of them or of the sources that meet them.
     """
     half = frame / 2
     cos = lambda band: F.cos(F.radians(band * cell))
@@ -37,16 +43,82 @@ def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_A
     near = sources.select("*", _cell(F.col("dec"), cell).alias("_band"), F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("_i")).withColumn("band", F.col("_band") + F.col("_i"))
     near = near.withColumn("_n", lanes(F.col("band"))).select("*", around(F.col("ra"), F.col("_n"), F.lit(1)))
     near = near.withColumn("_own", (F.col("_i") == 0) & (F.col("lane") == lane(F.col("ra"), F.col("_n")))).drop("_band", "_i", "_n")
-    # nine rows a source: more than the size estimate of a broadcast knows
-    pairs = near.hint("merge").join(comps, ["band", "lane"]).where((F.col("_reach") == 0) | F.col("_own"))
     x, y = ra_offset(F.col("c_ra"), F.col("ra"), F.col("dec")), (F.col("c_dec") - F.col("dec")) * 3600.0
-    hit = pairs.withColumns({"x0": x, "y0": y}).where((F.abs("x0") <= half + F.col("dx")) & (F.abs("y0") <= half + F.col("dy")))
-    return hit.drop("band", "lane", "_reach", "_own")
+    touches = lambda pairs: pairs.withColumns({"x0": x, "y0": y}).where((F.abs("x0") <= half + F.col("dx")) & (F.abs("y0") <= half + F.col("dy")))
+    meet = lambda n, c, by: n.hint("merge").join(c, by).where((F.col("_reach") == 0) | F.col("_own"))
+    # cells that hold more components or sources than a task should: few, or none
+    counted = comps.select("band", "lane", F.lit(1).alias("c"), F.lit(0).alias("s")).unionByName(near.select("band", "lane", F.lit(0).alias("c"), F.lit(1).alias("s")))
+    full = stored(counted.groupBy("band", "lane").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).where((F.greatest("c", "s") > most) & (F.least("c", "s") > 0)).select("band", "lane"), "full-cells")
+    # nine rows a source: more than the size estimate of a broadcast knows
+    if full.isEmpty():
+        return touches(meet(near, comps, ["band", "lane"])).drop("band", "lane", "_reach", "_own")
+    thin = touches(meet(near.join(full, ["band", "lane"], "left_anti"), comps.join(full, ["band", "lane"], "left_anti"), ["band", "lane"]))
+    crowd, seen = _quarters(near.join(full, ["band", "lane"]), comps.join(full, ["band", "lane"]), lanes, half, cell, most)
+    dense = touches(meet(seen, crowd, ["band", "lane", "level", "qx", "qy", "part", "salt"])).drop("level", "qx", "qy", "part", "salt")
+    return thin.unionByName(dense).drop("band", "lane", "_reach", "_own")
+
+
+def _quarters(near: DataFrame, comps: DataFrame, lanes: Callable[[Column], Column], half: float, cell: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(components, sources) of full cells, keyed by the nodes of a loose quadtree in each cell.
+
+    A component belongs to the first node on its way down that holds ``most`` components or fewer, but to none smaller than itself; one
+    that comes from another cell belongs to the node -1.  A source visits, on each level, the nodes within its frame and one node's
+    width.  A node of more components or visitors still is cut into parts and salts, so no key has more than ``most`` of either.
+    """
+    n, side = lanes(F.col("band")), F.lit(cell * 3600.0)
+    # degrees of right ascension of a lane, and a node's least width in arcsec at the cell's upper or lower border
+    shrink = F.greatest(F.lit(1e-6), F.least(F.cos(F.radians(F.col("band") * cell)), F.cos(F.radians((F.col("band") + 1) * cell))))
+    width = F.least(360.0 / n * 3600.0 * shrink, side)
+    steps = 1 << DEPTH
+    fx = F.pmod(F.col("c_ra"), F.lit(360.0)) / 360.0 * n - F.col("lane")
+    fy = F.col("c_dec") / cell - F.col("band")
+    place = lambda f: F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor(f * steps))).cast("int")
+    # a node of level l is width / 2^l wide: no narrower than the component's half-widths
+    fits = F.greatest(F.lit(0), F.least(F.lit(DEPTH), F.floor(F.log2(width / F.greatest(F.col("dx"), F.col("dy"), F.lit(1e-3)))))).cast("int")
+    coded = comps.withColumns({"_fx": place(fx), "_fy": place(fy), "_fits": fits})
+    at = lambda c, level: F.floor(c / F.pow(F.lit(2.0), DEPTH - level)).cast("int")
+    by = ["band", "lane", "level", "qx", "qy"]
+    # counts of all nodes from those of the smallest
+    small = coded.where("_reach = 0").groupBy("band", "lane", "_fx", "_fy").agg(F.count("*").alias("_k"))
+    up = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level")).withColumns({"qx": at(F.col("_fx"), F.col("level")), "qy": at(F.col("_fy"), F.col("level"))})
+    heavy = up.groupBy(*by).agg(F.sum("_k").alias("_k")).where(F.col("_k") > most)
+    # a component lies in one node of each level: it goes below the heavy ones
+    depth = up.join(heavy.select(*by), by).groupBy("band", "lane", "_fx", "_fy").agg((F.max("level") + 1).alias("_deep"))
+    dealt = coded.join(depth, ["band", "lane", "_fx", "_fy"], "left")
+    level = F.when(F.col("_reach") > 0, F.lit(-1)).otherwise(F.least(F.col("_fits"), F.lit(DEPTH), F.coalesce("_deep", F.lit(0)))).cast("int")
+    inside = lambda c: F.when(F.col("level") < 0, F.lit(0)).otherwise(at(F.col(c), F.col("level")))
+    dealt = stored(dealt.withColumn("level", level).withColumns({"qx": inside("_fx"), "qy": inside("_fy")}).drop("_fx", "_fy", "_fits", "_deep"), "nodes")
+
+    own_y = F.col("dec") / cell - F.col("band")
+    # the frame may lie across the circle's zero: the lane's nearest turn counts
+    own_x = F.pmod(F.col("ra"), F.lit(360.0)) / 360.0 * n - F.col("lane")
+    own_x = own_x - F.round(own_x / n) * n
+    across = lambda l: (half + side / (1 << l)) / side * (1 + 1e-9)
+    along = lambda l: (half + side / (1 << l)) / 3600.0 / F.greatest(F.lit(1e-6), F.cos(F.radians("dec"))) / 360.0 * n * (1 + 1e-9)
+
+    def touched(l: int) -> Column:
+        span = lambda c, r: F.sequence(F.greatest(F.lit(0), F.floor((c - r) * (1 << l))).cast("int"), F.least(F.lit((1 << l) - 1), F.floor((c + r) * (1 << l))).cast("int"))
+        there = (own_x + along(l) >= 0) & (own_x - along(l) < 1) & (own_y + across(l) >= 0) & (own_y - across(l) < 1)
+        nodes = F.flatten(F.transform(span(own_x, along(l)), lambda i: F.transform(span(own_y, across(l)), lambda j: F.struct(F.lit(l).alias("level"), i.alias("qx"), j.alias("qy")))))
+        return F.when(there, nodes).otherwise(F.array().cast("array<struct<level:int,qx:int,qy:int>>"))
+
+    other = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("qx"), F.lit(0).alias("qy")))
+    visits = near.select("*", F.explode(F.concat(*[touched(l) for l in range(DEPTH + 1)], F.when(F.col("_own"), other).otherwise(F.array().cast("array<struct<level:int,qx:int,qy:int>>")))).alias("_node")).select("*", "_node.*").drop("_node")
+    held = dealt.groupBy(*by).agg(F.count("*").alias("_held"))
+    called = visits.join(held.select(*by), by, "left_semi").groupBy(*by).agg(F.count("*").alias("_called"))
+    share = lambda c: F.ceil(F.col(c) / most)
+    nodes = stored(held.join(called, by).select(*by, share("_held").alias("parts"), share("_called").alias("salts")), "node-sizes")
+    any_of = lambda c: F.floor(F.rand(7) * F.col(c)).cast("long")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    crowd = stored(dealt.join(nodes, by).withColumn("part", any_of("parts")), "parts").select("*", all_of("salts").alias("salt")).drop("parts", "salts")
+    seen = stored(visits.join(nodes, by).withColumn("salt", any_of("salts")), "salts").select("*", all_of("parts").alias("part")).drop("parts", "salts")
+    return crowd, seen
 
 
 def foreign_flags(sources: DataFrame, components: DataFrame, sigma: float = SIGMA, frame: float = FRAME_ARCSEC) -> DataFrame:
     """One row for each source: foreign components in its frame, those above ``sigma``, the brightest one, and the flag."""
-    pairs = neighbours(sources, components, frame).where(F.col("parent") != F.col("source_name"))
+    # narrow rows go through the join's cells; what else a source has joins last
+    pairs = neighbours(sources.select("source_id", "source_name", "ra", "dec", "isl_rms"), components, frame).where(F.col("parent") != F.col("source_name"))
     ratio = F.when(F.col("isl_rms") > 0, F.col("peak") / F.col("isl_rms")).otherwise(F.lit(0.0))
     best = F.max(F.struct("peak", ratio.alias("snr"), "parent"))
     got = pairs.groupBy("source_id").agg(F.count("*").alias("n_foreign_components"), F.count_if(ratio >= sigma).alias("n_foreign_detected"), best.alias("b"))
