@@ -47,8 +47,9 @@ def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_A
     touches = lambda pairs: pairs.withColumns({"x0": x, "y0": y}).where((F.abs("x0") <= half + F.col("dx")) & (F.abs("y0") <= half + F.col("dy")))
     meet = lambda n, c, by: n.hint("merge").join(c, by).where((F.col("_reach") == 0) | F.col("_own"))
     # cells that hold more components or sources than a task should: few, or none
-    counted = comps.select("band", "lane", F.lit(1).alias("c"), F.lit(0).alias("s")).unionByName(near.select("band", "lane", F.lit(0).alias("c"), F.lit(1).alias("s")))
-    full = stored(counted.groupBy("band", "lane").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).where((F.greatest("c", "s") > most) & (F.least("c", "s") > 0)).select("band", "lane"), "full-cells")
+    at = lambda df: df.select(_cell(F.col("dec"), cell).alias("band"), "ra").select("band", lane(F.col("ra"), lanes(F.col("band"))).alias("lane"))
+    heavy = lambda df: at(df).groupBy("band", "lane").agg(F.count("*").alias("n")).where(F.col("n") > most).select("band", "lane")
+    full = stored(heavy(components).unionByName(heavy(sources)).distinct(), "full-cells")
     # nine rows a source: more than the size estimate of a broadcast knows
     if full.isEmpty():
         return touches(meet(near, comps, ["band", "lane"])).drop("band", "lane", "_reach", "_own")
