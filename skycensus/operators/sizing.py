@@ -6,20 +6,32 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+
 POINTS, BUFFER_ARCSEC, SHARE = 200, 0.1, 0.95
+#: Partial hulls of a source that are merged at once, and components of a source beyond which they are dealt to several tasks.
+FAN, SPREAD = 64, 10_000
+
 
+def brightest_share(components: DataFrame, key: str = "parent", flux: str = "peak", tie: list[str] | None = None, share: float = SHARE, dark: str = "error") -> DataFrame:
+    """Components in falling flux until their running sum reaches ``share`` of the source's; the one that reaches it stays.
 
-def brightest_share(components: DataFrame, key: str = "parent", flux: str = "peak", tie: list[str] | None = None, share: float = SHARE) -> DataFrame:
-    """Components in falling flux until their running sum reaches ``share`` of the source's; the one that reaches it stays."""
+    A source whose fluxes have no positive sum is an error when it is read, or dropped if ``dark`` says so.
+    """
+    if dark not in ("error", "drop"):
+        raise ValueError("dark sources are an error or are dropped")
     order = [F.desc(flux), *(F.col(c) for c in tie or [])]
     running = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(key)
     out = components.withColumns({"_before": F.coalesce(F.sum(flux).over(running), F.lit(0.0)), "_all": F.sum(flux).over(every)})
-    return out.where((F.col("_all") > 0) & (F.col("_before") / F.col("_all") < share)).drop("_before", "_all")
+    lit = F.coalesce(F.col("_all") > 0, F.lit(False))
+    if dark == "error":
+        lit = F.when(lit, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("the components have no flux: "), F.col(key).cast("string"))).cast("boolean"))
+    return out.where(lit & (F.try_divide("_before", "_all") < share)).drop("_before", "_all")
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -41,9 +53,10 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(ring) if len(ring) > 2 else p
 
 
-def furthest(points: np.ndarray) -> float:
-    """Largest squared distance of two points."""
-    # a point of the hull is the furthest one in some direction: what lies well inside the ring of 16 such points is left out
+def outer(points: np.ndarray) -> np.ndarray:
+    """The points but for those that lie well inside the ring of the 16 furthest ones in as many directions: none of these is on the hull."""
+    if len(points) <= 64:
+        return points
     turn = np.arange(16) * (math.pi / 8)
     reach = points @ np.array([np.cos(turn), np.sin(turn)])
     corner = points[reach.argmax(axis=0)]
@@ -51,7 +64,12 @@ def furthest(points: np.ndarray) -> float:
     side = after - corner
     inside = side[:, 0, None] * (points[:, 1] - corner[:, 1, None]) - side[:, 1, None] * (points[:, 0] - corner[:, 0, None])
     wide = np.hypot(side[:, 0], side[:, 1])[:, None]
-    h = hull(points[~((inside > 1e-9 * wide) | (wide == 0)).all(axis=0)]) if len(points) > 64 else hull(points)
+    return points[~((inside > 1e-9 * wide) | (wide == 0)).all(axis=0)]
+
+
+def furthest(points: np.ndarray) -> float:
+    """Largest squared distance of two points."""
+    h = hull(outer(points))
     d = h[:, None, :] - h[None, :, :]
     return float((d * d).sum(-1).max()) if len(h) > 1 else 0.0
 
@@ -66,23 +84,85 @@ def outline(x: np.ndarray, y: np.ndarray, major: np.ndarray, minor: np.ndarray,
     return np.column_stack([px.ravel(), py.ravel()])
 
 
-def component_sizes(components: DataFrame, key: str = "parent", n_points: int = POINTS) -> DataFrame:
-    """(key, n, size arcsec): the widest extent of a source's component ellipses on the tangent plane at their mean position."""
+def centres(components: DataFrame, key: str) -> DataFrame:
+    """(key, n, ra0, dec0): number and mean position of each source's components; right ascensions on both sides of zero are taken as near."""
+    turned = F.pmod(F.col("ra") + 180, F.lit(360.0)) - 180
+    got = components.groupBy(key).agg(F.count("*").alias("n"), F.max("ra").alias("hi"), F.min("ra").alias("lo"), F.avg("ra").alias("plain"), F.avg(turned).alias("turned"), F.avg("dec").alias("dec0"))
+    return got.select(key, "n", F.when(F.col("hi") - F.col("lo") > 180, F.col("turned")).otherwise(F.col("plain")).alias("ra0"), "dec0")
+
 
-    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def partial_hulls(components: DataFrame, key: str, n_points: int = POINTS) -> DataFrame:
+    """(key, n, major, x, y): hulls (arcsec from the source's centre) of the outlines of some of each source's components, one or more a source.
+
+    A task sees a batch of components at a time and holds a hull for each source of the batch, so a source of any number of components
+    takes no more room than its hull.
+    """
+    # a source's components go to one place, those of a very large one to several; hulls cost far more than their bytes say, so the number of partitions is set
+    n = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = components.join(centres(components, key).withColumnRenamed("n", "_all"), key)
+    placed = joined.repartition(n, key, F.floor(F.rand(5) * F.ceil(F.col("_all") / SPREAD))).sortWithinPartitions(key).select(key, "ra", "dec", "maj", "min", "pa", "ra0", "dec0", "_all")
+    kind = components.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for k, comps in zip(b[key], b["comps"], strict=True):
-                m = np.array([[c["ra"], c["dec"], c["maj"], c["min"], c["pa"]] for c in comps], float)
-                if len(m) == 1:
-                    rows.append((k, 1, float(m[0, 2])))
+            if not len(b):
+                continue
+            codes = b.column(0).dictionary_encode()
+            ra, dec, major, minor, angle, ra0, dec0, n_all = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 9))
+            x = ((ra - ra0 + 180) % 360 - 180) * np.cos(np.radians(dec0)) * 3600
+            y = (dec - dec0) * 3600
+            of = codes.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(of, kind="stable")
+            runs = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+            hulls = []
+            for rows in runs:
+                if n_all[rows[0]] == 1:  # a single component's own axis is its size
+                    hulls.append(np.zeros((0, 2)))
                     continue
-                ra0, dec0 = m[0, 0] + np.mean((m[:, 0] - m[0, 0] + 180) % 360 - 180), m[:, 1].mean()
-                x = ((m[:, 0] - ra0 + 180) % 360 - 180) * math.cos(math.radians(dec0)) * 3600
-                rows.append((k, len(m), math.sqrt(furthest(outline(x, (m[:, 1] - dec0) * 3600, m[:, 2], m[:, 3], m[:, 4], n_points)))))
-            yield pd.DataFrame(rows, columns=[key, "n", "size"])
+                ring = np.zeros((0, 2))
+                for i in range(0, len(rows), 256):
+                    some = rows[i : i + 256]
+                    ring = hull(outer(np.concatenate([ring, outline(x[some], y[some], major[some], minor[some], angle[some], n_points)])))
+                hulls.append(ring)
+            lead = np.array([r[0] for r in runs])
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in hulls])]).astype(np.int32))
+            points = np.concatenate(hulls)
+            columns = [b.column(0).take(pa.array(lead)), pa.array([len(r) for r in runs], pa.int64()), pa.array(major[lead]), pa.ListArray.from_arrays(ends, pa.array(points[:, 0])), pa.ListArray.from_arrays(ends, pa.array(points[:, 1]))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "n", "major", "x", "y"])
+
+    return placed.mapInArrow(run, f"{key} {kind}, n long, major double, x array<double>, y array<double>")
+
+
+def merged_hulls(hulls: DataFrame, key: str, fan: int = FAN) -> DataFrame:
+    """One hull for each source from its partial ones: rounds that merge ``fan`` of them at most, so that no task has all of a source's."""
+    kind = hulls.schema[key].dataType.simpleString()
+    by = f"{key} {kind}, n long, major double, x array<double>, y array<double>"
+
+    def merge(group: pa.Table) -> pa.Table:
+        points = np.column_stack([group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in "xy"])
+        h = hull(outer(points)) if len(points) else points
+        return pa.table({key: group[key].slice(0, 1), "n": [sum(group["n"].to_pylist())], "major": group["major"].slice(0, 1), "x": pa.array([h[:, 0]], pa.list_(pa.float64())), "y": pa.array([h[:, 1]], pa.list_(pa.float64()))})
+
+    now = stored(hulls, "hulls")
+    while (most := now.groupBy(key).count().agg(F.max("count")).first()[0] or 0) > 1:
+        several = stored(now.groupBy(key).count().where("count > 1").select(key), "several")
+        dealt = now.join(several, key).withColumn("_deal", F.floor(F.rand(11) * -(-most // fan)))
+        now = stored(now.join(several, key, "left_anti").unionByName(dealt.groupBy(key, "_deal").applyInArrow(merge, by)), "hulls")
+    return now
 
-    # hulls cost far more than their bytes say: the number of partitions is set, so that it is not coalesced by size
-    n = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = components.repartition(n, key).groupBy(key).agg(F.collect_list(F.struct("ra", "dec", "maj", "min", "pa")).alias("comps"))
-    return lists.mapInPandas(one, f"{key} string, n int, size double")
+
+def component_sizes(components: DataFrame, key: str = "parent", n_points: int = POINTS) -> DataFrame:
+    """(key, n, size arcsec): the widest extent of a source's component ellipses on the tangent plane at their mean position.
+
+    The size of a source of one component is its full axis.  Hulls are an aggregate: made batch by batch, merged by source.
+    """
+    kind = components.schema[key].dataType.simpleString()
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, major = b.column(1).to_pylist(), b.column(2).to_pylist()
+            x, y = b.column(3), b.column(4)
+            sizes = [m if k == 1 else math.sqrt(furthest(np.column_stack([x[i].values.to_numpy(), y[i].values.to_numpy()]))) for i, (k, m) in enumerate(zip(n, major, strict=True))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(sizes, pa.float64())], [key, "n", "size"])
+
+    return merged_hulls(partial_hulls(components, key, n_points), key).mapInArrow(widest, f"{key} {kind}, n int, size double")
