@@ -145,14 +145,17 @@ def _bounds(cells: Cells, v: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.n
             yield first + j, np.maximum(np.maximum(away - high, low - away), plane[cell]) - slack, away + high + slack
 
 
-def _met(index: Index, visits: DataFrame, kernel, schema: str, *extra: str) -> DataFrame:
-    """``kernel(queries, rows)`` of each block and its visiting queries, some at a time; visits: (block, q, v, extra..)."""
-    counts = visits.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
-    asked = visits.join(F.broadcast(counts), "block").select("block", F.pmod(F.xxhash64("q"), F.col("salts")).alias("salt"), "q", "v", *extra)
-    there = index.rows.join(F.broadcast(counts), "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "b", "v")
+def met(visits: DataFrame, rows: DataFrame, kernel, schema: str, queries: int = 0) -> DataFrame:
+    """``kernel(queries, rows)`` of each block's rows and the queries that visit it, at most ``queries`` or so at a time.
 
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        return kernel(queries.combine_chunks(), rows.combine_chunks())
+    ``visits`` has the columns block and q (a query visits a block once), ``rows`` the column block; the kernel gets all others.
+    """
+    counts = visits.groupBy("block").agg(F.ceil(F.count("*") / (queries or QUERIES)).alias("_salts"))
+    asked = visits.join(F.broadcast(counts), "block").withColumn("salt", F.pmod(F.xxhash64("q"), F.col("_salts"))).drop("_salts")
+    there = rows.join(F.broadcast(counts), "block").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+
+    def run(some: pa.Table, of: pa.Table) -> pa.Table:
+        return kernel(some.combine_chunks(), of.combine_chunks())
 
     return asked.groupBy("block", "salt").cogroup(there.groupBy("block", "salt")).applyInArrow(run, schema)
 
@@ -219,7 +222,7 @@ def nearest_k(index: Index, queries: DataFrame, key: str, vec: str, k: int = 1,
         if not seen.get["n"]:
             break
         index.compared += seen.get["n"]
-        found = _met(index, visits, closest, f"q {q_kind}, b {b_kind}, d2 double")
+        found = met(visits.select("block", "q", "v"), index.rows, closest, f"q {q_kind}, b {b_kind}, d2 double")
         best = stored(best.drop("r").unionByName(found).withColumn("r", F.row_number().over(top)).where(F.col("r") <= k), "best")
         reach = best.where(F.col("r") == k).select("q", F.sqrt("d2").alias("reach"))
         state = visits.where("lead").select("q", "v").join(reach, "q", "left").select("q", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
@@ -257,5 +260,5 @@ def ball_counts(index: Index, balls: DataFrame, key: str, vec: str, radius: str)
     seen = Observation()
     visits = stored(asked.mapInArrow(visit, f"block int, q {kind}, v array<double>, radius double, sure long, n long").observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "visits")
     index.compared += seen.get["n"]
-    near = _met(index, visits.where("block >= 0"), count, f"q {kind}, n long", "radius")
+    near = met(visits.where("block >= 0").select("block", "q", "v", "radius"), index.rows, count, f"q {kind}, n long")
     return visits.where("block < 0").select("q", F.col("sure").alias("n")).unionByName(near).groupBy("q").agg(F.sum("n").alias("n"))

@@ -11,6 +11,7 @@ from ..functions.transforms import Asinh
 from ..operators import imaging
 from ..operators.dist import uniform, uniform_sql
 from ..operators.evaluate import density_coverage, kth_distance, memorisation_report, nearest
+from ..operators.pixel_match import match
 from ..operators.quantiles import mad
 from ..sources import adapters as A
 from ..sources import storage
@@ -251,6 +252,23 @@ def b20(spark: SparkSession, d: str) -> DataFrame:
     return density_coverage(im.where("grp = 1"), im.where("grp = 2"), "idx", "image", 5).select(r6(F.col("density"), "density"), r6(F.col("coverage"), "coverage"))
 
 
+#: The other set: copies with noise below the tolerance, scaled images, and images with one pixel moved.
+_NOISED = "CASE idx % 3 WHEN 0 THEN list_transform(image, lambda v: v::DOUBLE + 1e-8) WHEN 1 THEN list_transform(image, lambda v: v::DOUBLE * 101e-2) ELSE list_transform(range(64), lambda k: image[k + 1]::DOUBLE + CASE WHEN k = 5 THEN 5e-2 ELSE 0e0 END) END"
+
+
+@query("j12_pixel_match", f"""WITH qs AS (SELECT idx, list_transform(image, lambda v: v::DOUBLE) AS v FROM images), bs AS (SELECT idx, {_NOISED} AS v FROM images),
+qt AS (SELECT idx, v, list_sum(v) AS t FROM qs), bt AS (SELECT idx, v, list_sum(v) AS t, row_number() OVER (ORDER BY list_sum(v), idx) AS r FROM bs),
+ce AS (SELECT q.idx, arg_min(b.r, struct_pack(d := abs(b.t - q.t), low := b.t < q.t, r := CASE WHEN b.t < q.t THEN -b.r ELSE b.r END)) AS c FROM qt q, bt b GROUP BY q.idx),
+ca AS (SELECT q.idx AS q, b.idx AS b, b.r, list_aggregate(list_transform(list_zip(b.v, q.v), lambda z: abs(z[1] - z[2]) <= 1e-6 + 1e-5 * abs(z[2])), 'bool_and') AS same, list_sum(list_transform(list_zip(b.v, q.v), lambda z: abs(z[1] - z[2]))) AS diff FROM ce JOIN qt q ON q.idx = ce.idx JOIN bt b ON b.r BETWEEN ce.c - 10 AND ce.c + 10),
+be AS (SELECT q, bool_or(same) AS matched, arg_min(b, r) FILTER (same) AS m, arg_min(b, struct_pack(d := diff, r := r)) AS n, min(diff) AS diff FROM ca GROUP BY q)
+SELECT q, coalesce(m, n) AS b, matched, CASE WHEN matched THEN 0e0 ELSE round(diff, 5) END AS difference FROM be""")
+def j12_pixels(spark: SparkSession, d: str) -> DataFrame:
+    im = A.images(spark, d)
+    v = F.transform("image", lambda x: x.cast("double"))
+    noised = F.when(F.col("idx") % 3 == 0, F.transform(v, lambda x: x + 1e-8)).when(F.col("idx") % 3 == 1, F.transform(v, lambda x: x * 1.01)).otherwise(F.transform(v, lambda x, k: x + F.when(k == 5, 0.05).otherwise(0.0)))
+    return match(im.select("idx", v.alias("image")), im.select("idx", noised.alias("image")), "idx", "image").select("q", "b", "matched", F.round("difference", 5).alias("difference"))
+
+
 @query("w03_kth_smallest", f"WITH {_KNN} SELECT q, round(d, 5) AS d FROM pr WHERE r = 3")
 def w03(spark: SparkSession, d: str) -> DataFrame:
     return kth_distance(A.images(spark, d).where("grp = 1"), "idx", "image", 3).select("q", F.round("distance", 5).alias("d"))
