@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,25 +43,12 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s01_fits_blocks", "SELECT l_orderkey AS key, l_extendedprice AS flux, l_returnflag = 'R' AS resolved, l_returnflag AS name FROM lineitem WHERE l_orderkey % 4 = 0 UNION ALL SELECT l_orderkey, l_extendedprice, l_returnflag = 'R', l_returnflag FROM lineitem WHERE l_orderkey % 4 <> 0")
 def s01_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Catalogue files in the shared folder, each read in blocks of rows by tasks of its own."""
+    """A catalogue written by all tasks at once, made visible by one manifest, and read in blocks of rows by tasks of its own."""
     fits_blocks.register(spark)
-    root = storage.shared_path(spark, "catalogues")
-
-    def write(key: tuple, rows: pa.Table) -> pa.Table:
-        from pyarrow import fs
-
-        k, flux, flag = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("l_orderkey", "l_extendedprice", "l_returnflag"))
-        path = f"{root}/part-{key[0].as_py()}.fits"
-        system, inner = fs.FileSystem.from_uri(path)
-        system.create_dir(inner.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(inner) as f:
-            f.write(fits.table_bytes({"key": ("K", k), "flux": ("D", flux), "resolved": ("L", flag == "R"), "name": ("4A", flag.astype("S4"))}))
-        return pa.table({"path": [path]})
-
-    rows = A.read(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_returnflag", (F.col("l_orderkey") % 4).alias("file"))
-    paths = [r.path for r in rows.groupBy("file").applyInArrow(write, "path string").collect()]  # four names
-    parts = [spark.read.format("fits_table").schema(_FITS_ROW).option("path", p).option("block_rows", 50_000).load() for p in paths]
-    return functools.reduce(DataFrame.unionByName, parts)
+    path = storage.shared_path(spark, "catalogue")
+    rows = A.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_extendedprice").alias("flux"), (F.col("l_returnflag") == "R").alias("resolved"), F.col("l_returnflag").alias("name"))
+    rows.write.format("fits_table").mode("append").option("block_rows", 50_000).save(path)
+    return spark.read.format("fits_table").schema(_FITS_ROW).option("block_rows", 20_000).load(path)
 
 
 @query("s09_fits_header", "SELECT idx, CAST(grp AS BIGINT) AS grp, CAST(64 AS BIGINT) AS n, round(list_max(image)::DOUBLE, 5) AS peak FROM images")
@@ -84,6 +70,16 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
     return storage.stored(clean, "clean").select("idx", "grp", F.size("image").alias("n"), F.round(I.total(F.col("image")), 4).alias("s"))
 
 
+@query("s17_committed_set", "SELECT idx, grp, CAST(len(image) AS INTEGER) AS n, round(list_sum(list_transform(image, lambda v: v::DOUBLE)), 4) AS s FROM images WHERE list_max(image) > 1e-1")
+def s17_committed(spark: SparkSession, d: str) -> DataFrame:
+    """Images, catalogue values and indices of the clean set as one FITS table, whose parts count when its manifest lists them."""
+    fits_blocks.register(spark)
+    path = storage.shared_path(spark, "clean-set")
+    clean = A.images(spark, d).where(F.array_max("image") > 0.1)
+    clean.select("idx", "grp", "image").write.format("fits_table").mode("append").save(path)
+    return spark.read.format("fits_table").load(path).select("idx", "grp", F.size("image").alias("n"), F.round(I.total(F.col("image")), 4).alias("s"))
+
+
 @query("s19_fit_record_round_trip", "SELECT 'sigmoid01' AS function, 'log10' AS x_space, CAST(count(*) AS VARCHAR) AS provenance FROM events")
 def s19(spark: SparkSession, d: str) -> DataFrame:
     n = A.read(spark, d, "events").agg(F.count("*").cast("string").alias("provenance"))

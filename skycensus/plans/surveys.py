@@ -494,3 +494,22 @@ def t02(spark: SparkSession, d: str) -> DataFrame:
     q = completeness_so_far(trials, EDGES).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("t02_replayed_completeness", f"SELECT bin, count(*) AS n, count(*) FILTER (detectable) AS n_detected FROM (SELECT {bin_sql('mock_flux', EDGES)} AS bin, detectable FROM trials) WHERE bin IS NOT NULL GROUP BY bin")
+def t02_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Trials arrive in two deliveries, the second of which repeats the first; the query stops in between and goes on from its checkpoint."""
+    import uuid
+
+    from ..sources import storage
+    from ..streaming.progress import completeness_so_far
+
+    incoming, log = (storage.shared_path(spark, t) for t in ("trials", "trials-log"))
+    trials = A.trials(spark, d)
+    name = f"replayed_{uuid.uuid4().hex}"
+    for part in (trials.where("event_id % 3 = 0"), trials):
+        part.write.mode("append").parquet(incoming)
+        rows = spark.readStream.schema(trials.schema).parquet(incoming)
+        q = completeness_so_far(rows, EDGES, trial="event_id").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", log).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.table(name)

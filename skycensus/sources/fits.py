@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType
 
 BLOCK, CARD = 2880, 80
 #: Column formats: NumPy's big-endian type and Spark's type.
@@ -19,12 +19,15 @@ FORMATS: dict[str, tuple[str, DataType]] = {"E": (">f4", FloatType()), "D": (">f
 
 
 def column_type(form: str) -> tuple[str, DataType]:
-    """Types of a column format such as ``D`` or ``20A``; an unknown one is an error."""
+    """Types of a column format such as ``D``, ``20A`` or ``64E`` (an array of so many numbers); an unknown one is an error."""
     m = re.fullmatch(r"(\d*)([A-Z])", form.strip())
     if m and m[2] == "A":
         return f"S{int(m[1] or 1)}", StringType()
     if m and m[2] in FORMATS and m[1] in ("", "1"):
         return FORMATS[m[2]]
+    if m and m[2] in FORMATS and m[2] != "L" and int(m[1]) > 1:
+        kind, spark_type = FORMATS[m[2]]
+        return f"({int(m[1])},){kind}", ArrayType(spark_type, False)
     raise ValueError(f"column format {form!r}")
 
 
@@ -94,6 +97,8 @@ def _table(data: bytes) -> tuple[dict[str, str], np.ndarray]:
 
 def decoded(v: np.ndarray, form: str) -> pa.Array:
     """A column of a table's rows as Spark takes it."""
+    if v.ndim == 2:
+        return pa.FixedSizeListArray.from_arrays(pa.array(v.ravel().astype(v.dtype.newbyteorder("="))), v.shape[1]).cast(pa.list_(pa.from_numpy_dtype(v.dtype.newbyteorder("="))))
     return pa.array(np.char.rstrip(np.char.decode(v, "ascii")).tolist() if form.endswith("A") else v == b"T" if form == "L" else v.astype(v.dtype.newbyteorder("=")))
 
 
