@@ -119,3 +119,8 @@ class CurveFit:
             at = CURVES[self.function].column(F.log10(flux_mjy), math.log10(middle), *rest)
             return F.when(flux_mjy > 0, at).when(flux_mjy == 0, F.lit(0.0))
         return F.when(flux_mjy >= 0, CURVES[self.function].column(flux_mjy, x0 + shift_mjy, *rest))
+
+    def values(self, flux_mjy: np.ndarray) -> np.ndarray:
+        """The same for positive fluxes in NumPy."""
+        x = np.log10(flux_mjy) if self.x_space == "log10" else flux_mjy
+        return CURVES[self.function].numpy(x, *self.popt)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -128,6 +129,72 @@ def power_inverse(y: Column, lam: float, mean: float = 0.0, std: float = 1.0) ->
     return F.exp(v) if lam == 0 else F.pow(F.greatest(v * lam + 1, F.lit(0.0)), 1 / lam)
 
 
+def _power_parts(u: Column, lam: float) -> tuple[Column, Column, Column]:
+    """(e^(lam u) - 1) / lam and its first and second derivative by the exponent; by series where lam u is small."""
+    w = u * lam
+    small = F.abs(w) < 1e-2
+    e = F.exp(w)
+    value = u * F.when(small, 1 + w / 2 + w * w / 6 + w * w * w / 24 + w * w * w * w / 120).otherwise(F.try_divide(e - 1, w))
+    first = u * u * F.when(small, 0.5 + w / 3 + w * w / 8 + w * w * w / 30 + w * w * w * w / 144).otherwise(F.try_divide(w * e - e + 1, w * w))
+    second = u * u * u * F.when(small, 1 / 3 + w / 4 + w * w / 10 + w * w * w / 36 + w * w * w * w / 168).otherwise(F.try_divide(w * w * e - 2 * w * e + 2 * e - 2, w * w * w))
+    return value, first, second
+
+
+def yeo_johnson(x: Column, lam: float) -> Column:
+    """The power transform of any number: that of x + 1 where x is not negative, else less that of 1 - x with the exponent 2 - lam."""
+    return F.when(x >= 0, _power_parts(F.log1p(F.greatest(x, F.lit(0.0))), lam)[0]).when(x < 0, -_power_parts(F.log1p(F.greatest(-x, F.lit(0.0))), 2 - lam)[0])
+
+
+@dataclass(frozen=True)
+class PowerFit:
+    """A power transform of greatest likelihood: ``box-cox`` or ``yeo-johnson``, its exponent, and what standardises its values."""
+
+    kind: str
+    lam: float
+    mean: float
+    std: float
+
+    def column(self, x: Column) -> Column:
+        value = _power_parts(F.ln(x), self.lam)[0] if self.kind == "box-cox" else yeo_johnson(x, self.lam)
+        return (value - self.mean) / self.std
+
+
+def fit_power(df: DataFrame, x: str, tolerance: float = 1e-8, steps: int = 60, reach: float = 8.0) -> PowerFit | None:
+    """The fit of a column's numbers: Box-Cox if all are positive, Yeo-Johnson if any is not; None for fewer than two different numbers.
+
+    Newton's steps on the profile likelihood, one aggregation each, kept inside a bracket that the slope's sign narrows.
+    """
+    own = df.select(number(F.col(x).cast("double")).alias("x")).where("x IS NOT NULL")
+    ends = own.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if ends.lo is None or ends.lo == ends.hi:
+        return None
+    positive = ends.lo > 0
+    u, below = F.ln("x"), F.col("x") < 0
+    if not positive:
+        u = F.log1p(F.abs("x"))
+    weight = u if positive else F.when(below, -u).otherwise(u)
+    lo, hi, lam = -reach, reach, 1.0
+    mean = std = 0.0
+    for _ in range(steps):
+        t, t1, t2 = _power_parts(u, lam)
+        if not positive:
+            s, s1, s2 = _power_parts(u, 2 - lam)
+            t, t1, t2 = F.when(below, -s).otherwise(t), F.when(below, s1).otherwise(t1), F.when(below, -s2).otherwise(t2)
+        rows = own.select(weight.alias("w"), t.alias("t"), t1.alias("a"), t2.alias("b"))
+        r = rows.agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.avg("t").alias("t"), F.stddev_pop("t").alias("std"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.covar_pop("t", "a").alias("ta"), F.covar_pop("t", "b").alias("tb"), F.var_pop("a").alias("aa")).first()
+        mean, std = r.t, r["std"]
+        var, var1, var2 = std**2, 2 * r.ta, 2 * (r.aa + r.tb)
+        slope = r.w - r.n / 2 * var1 / var
+        curve = -r.n / 2 * (var2 / var - (var1 / var) ** 2)
+        lo, hi = (lam, hi) if slope > 0 else (lo, lam)
+        step = lam - slope / curve if curve < 0 else math.nan
+        nxt = step if lo < step < hi else (lo + hi) / 2
+        if abs(nxt - lam) <= tolerance:
+            break
+        lam = nxt
+    return PowerFit("box-cox" if positive else "yeo-johnson", lam, mean, std)
+
+
 def uniform(*keys: Column) -> Column:
     """A reproducible number in [0, 1) from integer keys, by arithmetic that other engines share."""
     mixed = F.lit(12345).cast("long")

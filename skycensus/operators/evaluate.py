@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
@@ -99,3 +99,16 @@ def calibration_curve(df: DataFrame, asked: str, measured: str, edges: Sequence[
     got = placed.groupBy("bin").agg(F.count("*").alias("n"), F.stddev_pop("off").alias("scatter"))
     middle = quantile_table(placed, "off", {"middle": 0.5}, ["bin"]).select("bin", F.pow(F.lit(10.0), F.col("middle")).alias("ratio"))
     return bins(df, edges).join(got, "bin", "left").join(middle, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def report_per_group(df: DataFrame, by: str, problem: Column, means: Mapping[str, Column], medians: Mapping[str, Column]) -> DataFrame:
+    """(by, n, error, metrics..): a row for each group; a group with a row whose ``problem`` is not null has NaN metrics and its least problem.
+
+    The others keep their values.  Metrics of rows with a problem are not worked out.  Groups are few (snapshots).
+    """
+    rows = df.select(by, problem.alias("_p"), *[F.when(problem.isNull(), c).alias(k) for k, c in {**means, **medians}.items()])
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("_p").alias("error"), *[F.avg(k).alias(k) for k in means])
+    for k in medians:
+        out = out.join(F.broadcast(quantile_table(rows, k, {f"_{k}": 0.5}, [by]).withColumnRenamed(by, "_by")), F.col(by).eqNullSafe(F.col("_by")), "left").withColumn(k, F.col(f"_{k}")).drop("_by", f"_{k}")
+    nan = F.lit(float("nan"))
+    return out.select(by, "n", "error", *[F.when(F.col("error").isNotNull(), nan).otherwise(F.coalesce(k, nan)).alias(k) for k in (*means, *medians)])

@@ -247,8 +247,22 @@ def m18(spark: SparkSession, d: str) -> DataFrame:
 @query("m19_report_per_snapshot", "SELECT grp, count(*) AS n, round(median(list_max(image)::DOUBLE), 5) AS median_peak, round(avg(list_sum(list_transform(image, lambda v: v::DOUBLE))), 5) AS mean_total FROM images GROUP BY grp")
 def m19(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("image")
-    p = A.images(spark, d).select("grp", I.peak(c).cast("double").alias("peak"), I.total(c).alias("total"))
-    return p.groupBy("grp").agg(F.count("*").alias("n"), r6(F.median("peak"), "median_peak", 5), r6(F.avg("total"), "mean_total", 5))
+    got = evaluate.report_per_group(A.images(spark, d), "grp", F.lit(None).cast("string"), {"mean_total": I.total(c)}, {"median_peak": I.peak(c).cast("double")})
+    return got.select("grp", "n", r6(F.col("median_peak"), "median_peak", 5), r6(F.col("mean_total"), "mean_total", 5))
+
+
+@query("m19_failing_snapshots", """SELECT grp, count(*) AS n, CASE WHEN grp % 4 = 3 AND bool_or(idx % 5 = 0) THEN 'unreadable image' WHEN grp % 4 = 1 AND bool_or(idx % 7 = 0) THEN 'wrong number of pixels' END AS error,
+  CASE WHEN (grp % 4 = 3 AND bool_or(idx % 5 = 0)) OR (grp % 4 = 1 AND bool_or(idx % 7 = 0)) THEN NULL ELSE round(median(list_max(image)::DOUBLE), 4) END AS median_peak FROM images GROUP BY grp""")
+def m19_failing(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots stored as text, some of it cut off or with a pixel too few: these keep their rows."""
+    text = F.to_json("image")
+    text = F.when((F.col("grp") % 4 == 3) & (F.col("idx") % 5 == 0), F.substring(text, 1, 40)).when((F.col("grp") % 4 == 1) & (F.col("idx") % 7 == 0), F.to_json(F.slice("image", 1, 63))).otherwise(text)
+    rows = storage.stored(A.images(spark, d).select("idx", "grp", text.alias("text")), "snapshots")
+    pixels = F.from_json("text", "array<double>")
+    read = rows.withColumn("image", F.when(F.col("text").endswith("]"), pixels))
+    problem = F.when(F.col("image").isNull(), F.lit("unreadable image")).when(F.size("image") != 64, F.lit("wrong number of pixels"))
+    got = evaluate.report_per_group(read, "grp", problem, {}, {"median_peak": F.array_max("image")})
+    return got.select("grp", "n", "error", F.when(~F.isnan("median_peak"), F.round("median_peak", 4)).alias("median_peak"))
 
 
 @query("m21_build_data_set", f"WITH {catalogue.CLASSES} SELECT l_orderkey, l_partkey, l_suppkey, total_flux FROM k WHERE resolved AND NOT isnan(z_best) AND las < 100 AND (CASE WHEN isl_rms <> 0 THEN peak_flux/isl_rms ELSE -1 END) >= 5 AND peak_flux > 5 AND NOT sfg AND NOT rqq")

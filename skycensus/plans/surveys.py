@@ -259,6 +259,18 @@ def b16(spark: SparkSession, d: str) -> DataFrame:
     return dist.box_cox(A.read(spark, d, "events"), "value", LAMS).select("lam", r6(F.col("loglik"), "loglik", 3))
 
 
+@query("b16_fitted_power")
+def b16_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """(name, kind, lam, n, mean, std): values, and values less their middle, of which some are negative; the fitted columns are standardised."""
+    e = A.read(spark, d, "events").select("value", (F.col("value") - 20).alias("shifted"))
+    out = []
+    for name in ("value", "shifted"):
+        fit = dist.fit_power(e, name)
+        t = fit.column(F.col(name))
+        out.append(e.agg(F.lit(name).alias("name"), F.lit(fit.kind).alias("kind"), F.lit(round(fit.lam, 4)).alias("lam"), F.count(t).alias("n"), r6(F.avg(t), "mean"), r6(F.stddev_pop(t), "std")))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 @query("b17_standardised", "WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events WHERE event_type = 'click') SELECT event_id, round((value - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS value FROM events, s")
 def b17(spark: SparkSession, d: str) -> DataFrame:
     e = A.read(spark, d, "events")
@@ -443,6 +455,13 @@ def m09(spark: SparkSession, d: str) -> DataFrame:
     return got.select("iz", "il", r6(F.col("i_resolved") / 1e6, "i_resolved", 4), r6(F.col("i_other") / 1e6, "i_other", 4))
 
 
+@query("m09_refined_integrals")
+def m09_refined(spark: SparkSession, d: str) -> DataFrame:
+    """The integrals of the cells that hold sources, each with its error."""
+    got = rlf.refined_integrals(_counted(spark, d).where("n > 0"), GRID, FIT)
+    return got.select("iz", "il", r6(F.col("i_resolved") / 1e6, "i_resolved", 4), r6(F.col("i_other") / 1e6, "i_other", 4), r6(F.col("error"), "error", 7), "n_points")
+
+
 _CNT = f"{GRIDC}, {ALL_CELLS}, n AS (SELECT iz, il, count(*) AS n, count(*) FILTER (resolved) AS r FROM g GROUP BY iz, il), ct AS (SELECT al.iz, al.il, coalesce(r, 0) AS nr, coalesce(n, 0) - coalesce(r, 0) AS no_ FROM al LEFT JOIN n ON n.iz = al.iz AND n.il = al.il)"
 _F = repr(rlf.SKY_AREA / rlf.WHOLE_SKY) + "::DOUBLE"
 
