@@ -82,7 +82,8 @@ def refined_integrals(grid_cells: DataFrame, grid: Grid, fit: CurveFit, toleranc
     redshift 0, where all but a thin shell of the volume is far away, steps in volume would miss what can be seen.  In each round every open part is cut into ``cut`` x ``cut``; where their sum
     is within the part's tolerance of its own integral it is taken, elsewhere they are open in the next round.  The tolerance is a share of the
     cell's integral that falls with the root of the part's area, so the parts along a step of the completeness, of which there are twice as many at
-    half the width, add up to it.  ``error`` is the sum of these differences, and of the last ones where ``rounds`` are used up, over the cell's integral.
+    half the width, add up to it.  ``error`` is the sum of these differences, and of the last ones where ``rounds`` are used up, as a share of the
+    cell's integral (the larger share of both kinds).
     """
     whole = grid_cells.select("iz", "il", F.col("z_lo").alias("v0"), F.col("z_hi").alias("v1"), F.col("l_lo").alias("l0"), F.col("l_hi").alias("l1"), F.lit(1.0).alias("share")).distinct()
 
@@ -111,8 +112,8 @@ def refined_integrals(grid_cells: DataFrame, grid: Grid, fit: CurveFit, toleranc
 
     part = ["iz", "il", "v0", "v1", "l0", "l1", "share"]
     open_ = stored(evaluated(whole, *part), "cells")
-    # the scale of a cell's error: its integral, or a millionth of its size where nothing is seen
-    scale = open_.select("iz", "il", F.greatest("res", "oth", F.col("size") * 1e-6).alias("scale"))
+    # the scales of a cell's error: its integrals, or a millionth of its size where nothing is seen
+    scale = open_.select("iz", "il", *[F.greatest(c, F.col("size") * 1e-6).alias(f"s_{c}") for c in ("res", "oth")])
     done = None
     for i in range(rounds):
         border = lambda c, k: F.col(f"{c}0") + k / cut * (F.col(f"{c}1") - F.col(f"{c}0"))
@@ -123,17 +124,19 @@ def refined_integrals(grid_cells: DataFrame, grid: Grid, fit: CurveFit, toleranc
         names = [f"p_{c}" for c in ("v0", "v1", "l0", "l1", "res", "oth")]
         children = stored(evaluated(small, *part, *names), "parts")
         sums = children.groupBy("iz", "il", *names).agg(F.sum("res").alias("res"), F.sum("oth").alias("oth"), F.sum("share").alias("share"))
-        off = F.greatest(F.abs(F.col("res") - F.col("p_res")), F.abs(F.col("oth") - F.col("p_oth")))
-        judged = sums.withColumn("off", off).join(F.broadcast(scale), ["iz", "il"]).withColumn("good", (F.col("off") <= tolerance / 2 * F.col("scale") * F.sqrt("share")) & F.lit(i > 0))
-        taken = judged.where("good" if i < rounds - 1 else "true").select("iz", "il", "res", "oth", "off", F.lit((cut * side) ** 2).alias("n"))
-        spent = judged.where("NOT good").select("iz", "il", F.lit(0.0).alias("res"), F.lit(0.0).alias("oth"), F.lit(0.0).alias("off"), F.lit((cut * side) ** 2).alias("n")) if i < rounds - 1 else taken.limit(0)
-        summed = taken.unionByName(spent).groupBy("iz", "il").agg(F.sum("res").alias("res"), F.sum("oth").alias("oth"), F.sum("off").alias("off"), F.sum("n").alias("n"))
-        done = stored(summed if done is None else done.unionByName(summed).groupBy("iz", "il").agg(*[F.sum(c).alias(c) for c in ("res", "oth", "off", "n")]), "done")
+        off = {f"off_{c}": F.abs(F.col(c) - F.col(f"p_{c}")) for c in ("res", "oth")}
+        near = F.greatest(F.col("off_res") / F.col("s_res"), F.col("off_oth") / F.col("s_oth")) <= tolerance / 2 * F.sqrt("share")
+        judged = sums.join(F.broadcast(scale), ["iz", "il"]).withColumns(off).withColumn("good", near & F.lit(i > 0))
+        taken = judged.where("good" if i < rounds - 1 else "true").select("iz", "il", "res", "oth", "off_res", "off_oth", F.lit((cut * side) ** 2).alias("n"))
+        spent = judged.where("NOT good").select("iz", "il", *[F.lit(0.0).alias(c) for c in ("res", "oth", "off_res", "off_oth")], F.lit((cut * side) ** 2).alias("n")) if i < rounds - 1 else taken.limit(0)
+        total = [F.sum(c).alias(c) for c in ("res", "oth", "off_res", "off_oth", "n")]
+        summed = taken.unionByName(spent).groupBy("iz", "il").agg(*total)
+        done = stored(summed if done is None else done.unionByName(summed).groupBy("iz", "il").agg(*total), "done")
         left = judged.where("NOT good").select("iz", "il", *names[:4])
         open_ = children.join(left, ["iz", "il", *names[:4]], "left_semi").select(*part, "res", "oth")
         if i == rounds - 1 or left.isEmpty():
             break
-    return done.join(F.broadcast(scale), ["iz", "il"]).select("iz", "il", F.col("res").alias("i_resolved"), F.col("oth").alias("i_other"), (F.col("off") / F.greatest("scale", "res", "oth")).alias("error"), F.col("n").alias("n_points"))
+    return done.select("iz", "il", F.col("res").alias("i_resolved"), F.col("oth").alias("i_other"), F.greatest(*[F.coalesce(F.try_divide(f"off_{c}", c), F.lit(0.0)) for c in ("res", "oth")]).alias("error"), F.col("n").alias("n_points"))
 
 
 def page_carrera(counted: DataFrame, integral: DataFrame, sky_factor: float = SKY_AREA / WHOLE_SKY) -> DataFrame:
