@@ -89,10 +89,35 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     return storage.read_fits(spark, path).select("function", "x_space", "provenance")
 
 
-@query("s21_binned_text_round_trip", surveys.bins_sql(surveys.EDGES)[1:-1].replace("SELECT CAST(bin AS INTEGER) AS bin, lo, hi", "SELECT CAST(bin AS INTEGER) AS bin, round(lo, 6) AS lo, round(hi, 6) AS hi"))
+@query("s21_binned_text_round_trip", f"WITH g AS (SELECT {surveys.bin_sql('mock_flux', surveys.EDGES)} AS bin, count(*) AS n, count(*) FILTER (detectable) AS nd FROM trials GROUP BY 1) SELECT b.bin, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(n, 0) AS n, coalesce(nd, 0) AS n_detected, round(coalesce(nd / n, 0e0), 6) AS completeness FROM {surveys.bins_sql(surveys.EDGES)} b LEFT JOIN g ON g.bin = b.bin")
 def s21(spark: SparkSession, d: str) -> DataFrame:
     got = B.completeness_per_bin(A.trials(spark, d), surveys.EDGES)
-    return storage.stored(got, "binned", "csv", sep="\t", header="true").select("bin", r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"))
+    back = storage.stored(got, "binned", "csv", sep="\t", header="true")
+    return back.select("bin", r6(F.col("lo"), "lo"), r6(F.col("hi"), "hi"), "n", "n_detected", r6(F.col("completeness"), "completeness"))
+
+
+@query("s10_truncated_files", "SELECT idx, CAST(CASE WHEN idx % 9 = 0 THEN 64 ELSE 0 END AS INTEGER) AS n_nan, CASE WHEN idx % 9 = 0 THEN 0e0 ELSE round(list_sum(list_transform(image, lambda v: v::DOUBLE)), 3) END AS total FROM images")
+def s10_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """Cutout files in the shared folder, some cut off in the middle: these become images of NaN."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            data = [fits.image_bytes(np.asarray(m, np.float32).reshape(8, 8)) for m in b["image"]]
+            yield pd.DataFrame({"idx": b["idx"], "content": [x[:2900] if i % 9 == 0 else x for i, x in zip(b["idx"], data, strict=True)]})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            images = []
+            for data in b["content"]:
+                try:
+                    image = fits.read_image(data)[1]
+                except ValueError:
+                    image = np.full((8, 8), np.nan, np.float32)
+                images.append(image.ravel().astype(float))
+            yield pd.DataFrame({"idx": b["idx"], "n_nan": [int(np.isnan(m).sum()) for m in images], "total": [round(float(np.nansum(m)), 3) for m in images]})
+
+    files = A.images(spark, d).select("idx", "image").mapInPandas(write, "idx long, content binary")
+    return storage.stored(files, "cutouts").mapInPandas(read, "idx long, n_nan int, total double")
 
 
 @query("s30_flagged_sample", f"WITH {surveys.FOREIGN} SELECT source_id, n, nd FROM (SELECT source_id, n, nd, row_number() OVER (ORDER BY {dist.uniform_sql('source_id', '9')}, source_id) AS r FROM fg WHERE nd > 0) WHERE r <= 100")

@@ -13,7 +13,7 @@ from skycensus import plans
 
 SF = "/root/testdata/sf0.001"
 #: A spread over all modules; the driver compares every query.
-SOME = ["m04_completeness_curve", "f04_classes", "f08_funnel", "j02_foreign_components", "j03_cropped", "b07_histogram", "b18_wasserstein", "b19_kernel_distance", "b23_calibration_curve", "i10_islands", "i13_full_neighbours", "j10_nearest_neighbour", "b20_density_coverage", "s01_fits_blocks", "s20_stored_transform", "v04_transforms_by_name", "b15_round_trip", "j12_rank_band_match", "m09_volume_integrals", "i09_ellipse_cover", "s29_peak_metadata", "p01_sigmoid", "p02_sigmoid01", "p03_richards", "j14_trials_expansion", "b13_linear_fit", "m12_page_carrera", "x02_log_values", "t02_streamed_completeness"]
+SOME = ["m04_completeness_curve", "f04_classes", "f08_funnel", "j02_foreign_components", "j03_cropped", "b07_histogram", "b18_wasserstein", "b19_kernel_distance", "b23_calibration_curve", "i10_islands", "i13_full_neighbours", "j10_nearest_neighbour", "b20_density_coverage", "s01_fits_blocks", "s20_stored_transform", "v04_transforms_by_name", "b15_round_trip", "j12_rank_band_match", "m09_volume_integrals", "i09_ellipse_cover", "s29_peak_metadata", "p01_sigmoid", "p02_sigmoid01", "p03_richards", "j14_trials_expansion", "b13_linear_fit", "m12_page_carrera", "x02_log_values", "t02_streamed_completeness", "t02_replayed_completeness", "j10_memorisation", "j12_pixel_match", "b11_presets", "v05_user_distribution", "b21_distribution_report", "m19_failing_snapshots", "s17_committed_set", "s21_binned_text_round_trip", "s10_truncated_files", "b10_statistics", "b12_mad_noise"]
 
 
 @pytest.fixture(scope="module")
