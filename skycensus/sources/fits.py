@@ -18,14 +18,14 @@ BLOCK, CARD = 2880, 80
 FORMATS: dict[str, tuple[str, DataType]] = {"E": (">f4", FloatType()), "D": (">f8", DoubleType()), "I": (">i2", ShortType()), "J": (">i4", IntegerType()), "K": (">i8", LongType()), "L": ("S1", BooleanType())}
 
 
-def column_type(form: str) -> tuple[str, DataType]:
-    """Types of a column format such as ``D``, ``20A`` or ``64E`` (an array of so many numbers); an unknown one is an error."""
+def column_type(form: str, arrays: bool = False) -> tuple[str, DataType]:
+    """Types of a column format such as ``D`` or ``20A``, with ``arrays`` also ``64E``, so many numbers in a row; an unknown one is an error."""
     m = re.fullmatch(r"(\d*)([A-Z])", form.strip())
     if m and m[2] == "A":
         return f"S{int(m[1] or 1)}", StringType()
     if m and m[2] in FORMATS and m[1] in ("", "1"):
         return FORMATS[m[2]]
-    if m and m[2] in FORMATS and m[2] != "L" and int(m[1]) > 1:
+    if arrays and m and m[2] in FORMATS and m[2] != "L" and int(m[1]) > 1:
         kind, spark_type = FORMATS[m[2]]
         return f"({int(m[1])},){kind}", ArrayType(spark_type, False)
     raise ValueError(f"column format {form!r}")
@@ -58,7 +58,7 @@ def read_header(data: bytes, at: int = 0) -> tuple[dict[str, str], int]:
 
 def table_bytes(columns: dict[str, tuple[str, np.ndarray]]) -> bytes:
     """A file with one table; ``columns`` gives each column's format and values."""
-    kind = np.dtype([(n, column_type(f)[0]) for n, (f, _) in columns.items()])
+    kind = np.dtype([(n, column_type(f, arrays=True)[0]) for n, (f, _) in columns.items()])
     rows = np.zeros(len(next(iter(columns.values()))[1]), kind)
     for n, (f, v) in columns.items():
         rows[n] = np.where(v, b"T", b"F") if f == "L" else v
@@ -91,7 +91,7 @@ def _table(data: bytes) -> tuple[dict[str, str], np.ndarray]:
     size = abs(int(head["BITPIX"])) // 8 * int(np.prod([int(head[f"NAXIS{i}"]) for i in range(1, int(head["NAXIS"]) + 1)])) if int(head["NAXIS"]) else 0
     head, at = read_header(data, at + -(-size // BLOCK) * BLOCK)
     forms = {head[f"TTYPE{i}"]: head[f"TFORM{i}"] for i in range(1, int(head["TFIELDS"]) + 1)}
-    rows = np.frombuffer(data, np.dtype([(n, column_type(f)[0]) for n, f in forms.items()]), int(head["NAXIS2"]), at)
+    rows = np.frombuffer(data, np.dtype([(n, column_type(f, arrays=True)[0]) for n, f in forms.items()]), int(head["NAXIS2"]), at)
     return forms, rows
 
 

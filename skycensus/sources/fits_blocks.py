@@ -57,7 +57,7 @@ def table_layout(path: str) -> tuple[dict[str, str], np.dtype, int, int]:
         size = abs(int(head["BITPIX"])) // 8 * int(np.prod([int(head[f"NAXIS{i}"]) for i in range(1, int(head["NAXIS"]) + 1)])) if int(head["NAXIS"]) else 0
         head, at = header(at + -(-size // fits.BLOCK) * fits.BLOCK)
     forms = {head[f"TTYPE{i}"]: head[f"TFORM{i}"] for i in range(1, int(head["TFIELDS"]) + 1)}
-    return forms, np.dtype([(n, fits.column_type(x)[0]) for n, x in forms.items()]), int(head["NAXIS2"]), at
+    return forms, np.dtype([(n, fits.column_type(x, arrays=True)[0]) for n, x in forms.items()]), int(head["NAXIS2"]), at
 
 
 def _system(path: str):
@@ -208,7 +208,7 @@ class FitsTable(DataSource):
             return StructType.fromJson(found[-1]["schema"])
         out = StructType()
         for n, form in table_layout(files[0])[0].items():
-            out.add(n, fits.column_type(form)[1])
+            out.add(n, fits.column_type(form, arrays=True)[1])
         return out
 
     def reader(self, schema: StructType) -> DataSourceReader:
