@@ -41,11 +41,12 @@ def standardised(df: DataFrame, reference: DataFrame, cols: Sequence[str]) -> Da
     return out.drop(*(f"_{k}_{c}" for k in "ms" for c in cols))
 
 
-def ranked(df: DataFrame, order: Sequence[str], out: str, parts: int = 32) -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[str], out: str, parts: int | None = None) -> DataFrame:
     """``df`` with each row's place (from 1) by the columns ``order``: ranges are ranked apart and start at what lies before them.
 
-    The ranges are numbered by their borders' order and stored once, so that a task that runs again cannot deal them anew.
+    There are as many ranges as shuffle partitions, unless ``parts`` says otherwise.  They are numbered by their borders' order and stored once, so that a task that runs again cannot deal them anew.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
@@ -53,12 +54,13 @@ def ranked(df: DataFrame, order: Sequence[str], out: str, parts: int = 32) -> Da
     return ranged.withColumn(out, place).join(F.broadcast(before), "_part").withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
-def wasserstein(df: DataFrame, x: str, side: str, one: object, two: object, parts: int = 32) -> DataFrame:
+def wasserstein(df: DataFrame, x: str, side: str, one: object, two: object, parts: int | None = None) -> DataFrame:
     """One row ``w1``: the area between the cumulative curves of two groups of a column.
 
     Values are counted first; ranges of values are summed apart, and each range gets what lies before it, so no window has the whole column.
     """
     sums = df.where(F.col(side).isin(one, two)).groupBy(F.col(x).alias("v")).agg(F.count_if(F.col(side) == one).alias("a"), F.count_if(F.col(side) == two).alias("b"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = sums.repartitionByRange(parts, "v").withColumn("_part", F.spark_partition_id())
     # the range numbers must not change between uses: they come from the values' borders
     borders = ranged.groupBy("_part").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("a").alias("sa"), F.sum("b").alias("sb"))
