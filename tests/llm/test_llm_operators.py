@@ -514,6 +514,56 @@ def test_near_passages_are_found(spark):
     assert all(got[2 * k].class_id == 2 * k and got[2 * k].class_texts == 1 + found[k] for k in range(120))
 
 
+def test_texts_whose_minima_lead_to_other_first_texts_are_compared(spark):
+    """Each common minimum of two texts, with the 21 shingles around it, lies in an earlier text that shares no passage with them."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{i}" for i in rng.integers(0, 1 << 40, n)]
+
+    def windows(words):
+        c = lm_score.Chunk.of_texts(pa.array([" ".join(words)]), np.zeros(1, bool))
+        return passages.compact_windows(*passages.shingles(c))
+
+    passage = fresh(60)
+    a, b = fresh(70) + passage + fresh(40), fresh(30) + passage + fresh(90)
+    one, two = windows(a), windows(b)
+    common = sorted(set(one["key"].tolist()) & set(two["key"].tolist()))
+    assert len(set(one["fn"][np.isin(one["key"], np.array(common, np.uint64))].tolist())) >= passages.ENOUGH
+    first = []
+    for key in common:
+        at = int(one["c"][one["key"] == np.uint64(key)][0])
+        near = a[max(70, at - 10) : min(130, at + 15)]
+        while key not in windows(other := fresh(40) + near + fresh(40))["key"].tolist():
+            pass
+        first.append(other)
+    texts = [" ".join(w) for w in [*first, a, b, fresh(80)]]
+    got = by_id(passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)))
+    n = len(first)
+    assert got[n].class_id == got[n + 1].class_id == n and got[n].class_texts == 2 and got[n].n_links == got[n + 1].n_links == 1
+    assert got[n].words_shared == got[n + 1].words_shared == 60
+    assert all(got[i].class_id == i and got[i].n_links == 0 for i in (*range(n), n + 2))
+
+
+@pytest.mark.parametrize("cells", (1, 1 << 22))
+def test_alike_windows_match_all_pairs(cells):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
+    parts, group, root, block = [], [], [], []
+    for i in range(60):
+        x = rng.integers(0, 1 << 60, int(rng.integers(46, 150))).astype(np.uint64)
+        k = int(rng.integers(0, len(x) + 1))
+        x[:k] = base[:k]
+        x[rng.integers(0, len(x), int(rng.integers(0, 9)))] = base[0]
+        parts.append(x)
+        group.append(i % 3)
+        root.append(int(rng.integers(0, 9)))
+        block.append(i // 3 % 2 if i % 3 == 2 else 0)
+    w = {"group": np.array(group, np.uint64), "root": np.array(root), "block": np.array(block, np.uint32), "n": np.array([len(x) for x in parts], np.int32)}
+    need = [np.ceil(0.8 * (46 - max(len(y) - len(np.unique(y)) for y in (x[s : s + 46] for s in range(len(x))))) - 1e-9) for x in parts]
+    want = {(i, j) for j in range(60) for i in range(j) if group[i] == group[j] and root[i] != root[j] and (group[i] < 2 or block[i] != block[j]) and len(np.intersect1d(parts[i], parts[j])) >= max(need[i], need[j])}
+    got = [(i, j) for x, y in passages.alike_windows(w, np.concatenate(parts), cells) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
 def test_a_text_that_repeats_one_word_is_compared_in_bounded_memory():
     x = np.full(20_000, 7, np.uint64)
     assert [p[:4] for p in passages.passages_of(x, x, diagonals=(0, 0))] == [(0, 19_999, 0, 19_999)]
