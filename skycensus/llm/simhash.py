@@ -204,8 +204,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 2, blocks: int
 # --- near-duplicate documents by shingle similarity -----------------------------------------------------------------------
 
 
-#: Bits of a text's parity sketch; partners that a member of a bucket gets in the second round, and their growth from round to round.
-SKETCH, PARTNERS, GROWTH = 256, 8, 8
+#: Least bits of a text's parity sketch; words of sketches compared at once; partners that a member of a bucket gets in the second round, and their growth from round to round.
+SKETCH, SKETCH_WORDS, PARTNERS, GROWTH = 256, 1 << 20, 8, 8
 #: Buckets up to this size are searched whole for members without any partner, which then leave; larger ones keep all members.
 SMALL = 64
 _MEMBER = "bucket long, node long, fp long, n int, sketch binary"
@@ -220,9 +220,54 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams)))
 
 
+def parity_sketch(h: np.ndarray) -> bytes:
+    bits = max(SKETCH, 1 << max(0, len(h) - 1).bit_length())
+    return np.packbits(np.bincount(h & np.uint32(bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class Sketches:
+    """Parity sketches one after another; a longer one folds to a shorter one's length by the parity of its halves."""
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.words, self.start, self.size = words, start, size
+
+    @classmethod
+    def of(cls, bodies: list[bytes]) -> Sketches:
+        size = np.fromiter(map(len, bodies), np.int64, len(bodies)) // 8
+        return cls(np.frombuffer(b"".join(bodies), np.uint64), np.cumsum(size) - size, size)
+
+    def __getitem__(self, rows: np.ndarray) -> Sketches:
+        return Sketches(self.words, self.start[rows], self.size[rows])
+
+    def bodies(self, rows: np.ndarray) -> list[bytes]:
+        return [self.words[a : a + n].tobytes() for a, n in zip(self.start[rows].tolist(), self.size[rows].tolist(), strict=True)]
+
+    def folded(self, rows: np.ndarray, wide: int) -> np.ndarray:
+        """The sketches of ``rows`` in ``wide`` words."""
+        at = np.arange(wide)
+        out = self.words[self.start[rows][:, None] + at]
+        for k in range(1, int(self.size[rows].max()) // wide):
+            longer = self.size[rows] > k * wide
+            out[longer] ^= self.words[self.start[rows[longer]][:, None] + k * wide + at]
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches of each pair differ, at the length of the shorter one."""
+        out = np.zeros(len(i), np.int64)
+        wide = np.minimum(self.size[i], self.size[j])
+        for w in np.unique(wide).tolist():
+            at = np.flatnonzero(wide == w)
+            step = max(1, SKETCH_WORDS // w)
+            for s in range(0, len(at), step):
+                x = at[s : s + step]
+                out[x] = np.bitwise_count(self.folded(i[x], w) ^ self.folded(j[x], w)).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def word_set_fingerprints(texts: DataFrame, size: int) -> DataFrame:
     """(node, fp, n, sketch) of (node, text): the SimHash of each text's different words, so that an edited word moves few bits; the
-    number of its shingle hashes; and for each value of their low byte, whether an odd number of them has it."""
+    number of its shingle hashes; and for each value of their low bits, whether an odd number of them has it (as many bits as hashes, in
+    powers of two: in fewer, long texts would all look alike)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -244,29 +289,33 @@ def word_set_fingerprints(texts: DataFrame, size: int) -> DataFrame:
                 for x in s.column(1):
                     h = shingle_hashes(x.as_py(), size)
                     counts.append(len(h))
-                    sketches.append(np.packbits(np.bincount(h & np.uint32(SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1).tobytes())
+                    sketches.append(parity_sketch(h))
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(fps.view(np.int64)), pa.array(counts, pa.int32()), pa.array(sketches, pa.binary())], ["node", "fp", "n", "sketch"])
 
     return texts.mapInArrow(run, "node long, fp long, n int, sketch binary")
 
 
-def may_link(n: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+def may_link(n: np.ndarray, sketch: Sketches, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the pairs (i, j) can reach ``similarity``; false only for pairs that cannot.
 
     Two sets differ in at least as many elements as their parity sketches in bits, which bounds what they can have in common.
     """
-    both = (n[i] + n[j] - np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)) // 2
-    return (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])) & (both >= similarity * (n[i] + n[j] - both))
+    ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
+    some = np.flatnonzero(ok)
+    i, j = i[some], j[some]
+    both = (n[i] + n[j] - sketch.apart(i, j)) // 2
+    ok[some] = both >= similarity * (n[i] + n[j] - both)
+    return ok
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray] | None:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list, np.ndarray, np.ndarray] | None:
     """The task's rows by (bucket, fp): all columns, where the buckets of two rows or more begin, and where they end."""
-    cols: list[list[np.ndarray]] = []
+    cols: list[list] = []
     for b in batches:
-        cols.append([np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, SKETCH // 64) if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns])
+        cols.append([c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in b.columns])
     if not sum(len(c[0]) for c in cols):
         return None
-    got = [np.concatenate(x) for x in zip(*cols, strict=True)]
+    got = [Sketches.of([body for some in x for body in some]) if isinstance(x[0], list) else np.concatenate(x) for x in zip(*cols, strict=True)]
     got[2], got[3] = got[2].view(np.uint64), got[3].astype(np.int64)
     order = np.lexsort((got[1], got[2], got[0]))
     got = [x[order] for x in got]
@@ -326,10 +375,10 @@ def bucket_members(prints: DataFrame, budget: int, masks: list[int], similarity:
             near = may_link(size, sketch, x, y, similarity)
             stays[x[near]] = stays[y[near]] = True
         rows = pa.array(np.flatnonzero(stays))
-        cols = [pa.array(bucket), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary()), mates]
-        whole = pa.RecordBatch.from_arrays(cols, ["bucket", "node", "fp", "n", "sketch", "mates"])
+        cols = [pa.array(bucket), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size.astype(np.int32))]
         for s in range(0, len(rows), 10_000):
-            yield whole.take(rows[s : s + 10_000])
+            some = rows[s : s + 10_000]
+            yield pa.RecordBatch.from_arrays([*(c.take(some) for c in cols), pa.array(sketch.bodies(some.to_numpy()), pa.binary()), mates.take(some)], ["bucket", "node", "fp", "n", "sketch", "mates"])
 
     return spread.mapInArrow(run, f"{_MEMBER}, mates array<long>")
 

@@ -491,6 +491,25 @@ def test_near_copies_in_thousands_match_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_long_unlike_texts_are_told_apart_by_their_sketches():
+    """Sketches never rule out a pair that is alike enough, and rule out long texts without shingles in common."""
+    rng = np.random.default_rng(12)
+    sets = []
+    for size in (0, 1, 5, 250, 260, 900, 1030, 4000, 20_000):
+        x = np.unique(rng.integers(0, 1 << 32, size, dtype=np.uint32))
+        edited = x.copy()
+        at = rng.random(len(x)) < 0.08
+        edited[at] = rng.integers(0, 1 << 32, int(at.sum()), dtype=np.uint32)
+        sets += [x, np.unique(edited), x[: max(1, int(len(x) * 0.81))], np.unique(rng.integers(0, 1 << 32, size, dtype=np.uint32))]
+    n = np.array([len(x) for x in sets])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    got = simhash.may_link(n, simhash.Sketches.of([simhash.parity_sketch(x) for x in sets]), i, j, 0.8)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    alike = both >= 0.8 * (n[i] + n[j] - both)
+    assert got[alike].all() and alike.sum() > 2 * len(sets)
+    assert not got[(both < 0.01 * n[i]) & (n[i] >= 900) & (n[j] >= 900)].any()
+
+
 # --- 6, against brute force -------------------------------------------------------------------------------------------
 
 
