@@ -24,25 +24,32 @@ _SPACE = np.isin(_BYTE, [9, 10, 11, 12, 13, 32])
 _LETTER = ((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122)
 _ALNUM = _LETTER | ((_BYTE >= 48) & (_BYTE <= 57))
 _CUT = np.isin(_BYTE, list(_TAIL.encode()))
-_LEVEL = 12
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_VALUES = [np.random.default_rng(40 + i).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for i in (0, 1)]
-_UP = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full((1 << _LEVEL) - 1, b, np.uint64), dtype=np.uint64)]) for b in _BASES]
+#: Two odd factors for each of the two hashes of a unit.
+_FACTORS = ((0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD), (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
-def unit_hashes(data: np.ndarray, first: np.ndarray, after: np.ndarray, which: int) -> np.ndarray:
-    """A 64-bit hash of each stretch [first, after) of the bytes; stretches are in order, apart and not empty."""
+def unit_hashes(data: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each stretch [first, after) of the bytes, from words of eight; stretches are not empty."""
     sizes = after - first
-    at = np.repeat(first, sizes)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    letters = _VALUES[which][data[at + place]] * _UP[which][place & ((1 << _LEVEL) - 1)]
-    if len(sizes) and int(sizes.max()) > 1 << _LEVEL:
-        base = np.uint64(pow(_BASES[which], 1 << _LEVEL, 1 << 64))
-        far = place >> _LEVEL
-        letters *= np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(int(far.max()), base, np.uint64), dtype=np.uint64)])[far]
-    h = np.add.reduceat(letters, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
+    if not len(sizes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    words = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place
+    n = (sizes + 7) >> 3
+    start = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(start, n)
+    word = words[np.repeat(first, n) + 8 * place]
+    last = start + n - 1
+    word[last] &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 * n - sizes) * 8).astype(np.uint64)
+    place = place.astype(np.uint64)
+    place[last] |= sizes.astype(np.uint64) << np.uint64(32)  # zero bytes at the end count
+    out = []
+    for one, two in _FACTORS:
+        x = (word ^ (place * np.uint64(two))) * np.uint64(one)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(two)
+        h = np.add.reduceat((x ^ (x >> np.uint64(29))) * np.uint64(one), start)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(two)
+        out.append(h ^ (h >> np.uint64(29)))
+    return out[0], out[1]
 
 
 _coders: dict[tuple[str, str], "UnitCoder"] = {}
@@ -203,7 +210,7 @@ class UnitCoder:
         first, after = self._units(data, offsets)
         if not len(first):
             return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
-        h, check = (unit_hashes(data, first, after, i) for i in (0, 1))
+        h, check = unit_hashes(data, first, after)
         keys, lead, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)

@@ -107,6 +107,18 @@ def test_merged_bwts_sort_all_suffixes():
 # --- 2, 8 -------------------------------------------------------------------------------------------------------------
 
 
+def test_unit_hashes_tell_all_stretches_apart():
+    """Equal bytes have equal hashes wherever they lie, others do not: zero bytes at the end, words swapped, lengths about eight."""
+    bodies = [bytes([c]) * n for c in (0, 1, 32, 255) for n in range(1, 40)] + [b"abcdefgh" + b"ijklmnop", b"ijklmnop" + b"abcdefgh", b"a\0", b"a", b"\0a", b"x" * 5000, b"x" * 5001]
+    bodies = list(dict.fromkeys(bodies))
+    again = [*bodies, *reversed(bodies)]
+    data = np.frombuffer(b"".join(again), np.uint8)
+    after = np.cumsum([len(x) for x in again])
+    for h in tokenize.unit_hashes(data, after - [len(x) for x in again], after):
+        assert (h[: len(bodies)] == h[len(bodies) :][::-1]).all() and len(np.unique(h)) == len(bodies)
+    assert [len(h) for h in tokenize.unit_hashes(data[:0], after[:0], after[:0])] == [0, 0]
+
+
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
 def test_units_give_the_library_s_ids(name, kind):
     from tokenizers import Tokenizer
