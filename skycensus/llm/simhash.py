@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .store import written
+from .store import bucketed, written
 from .tokenize import row_ranges, text_sizes
 from .toxicity import _words
 
@@ -497,7 +497,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     ``similarity``.  No pair of two groups is left out, however many partners a text has (see ``near_labels``).  Null and blank texts are equal texts.  Of rows with equal ids in a group one stays; a null id is the last choice.
     """
     of = {c: f"o{i}" for i, c in enumerate(docs.columns)}  # no column of the input can clash with those used here
-    rows = written(docs.select(*(F.col(c).alias(o) for c, o in of.items()), F.monotonically_increasing_id().alias("row")), "numbered")
+    # texts are dealt once, by row: none of the joins below sends them again
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = bucketed(docs.select(*(F.col(c).alias(o) for c, o in of.items()), F.monotonically_increasing_id().alias("row")).repartition(n, "row"), "numbered", "row")
     name, body = of[id_col], F.coalesce(F.col(of[text_col]), F.lit(""))
     keyed = rows.select("row", F.col(name).alias("id"), F.unhex(F.md5(body)).alias("k"))
     groups = written(keyed.groupBy("k").agg(F.min("row").alias("node"), F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("kept"), F.min("id").alias("least"), F.count("*").alias("n")), "texts")

@@ -653,3 +653,16 @@ def test_mixed_documents_keep_columns_of_any_name_and_lie_in_shards(clashing):
 def test_what_a_mix_takes_comes_down_the_tree(docs):
     plan = mixing.mix(docs).select("doc_id", "taken")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") >= 4 and plan.count("Generate") >= 4 and "div 2" in plan
+
+
+def test_near_duplicate_texts_are_dealt_once(spark):
+    texts = [" ".join(f"w{(7 * i + j) % 900}" for j in range(60)) for i in range(40)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.drop_near_duplicates(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and sorted(r.text for r in kept.collect()) == sorted(set(texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
