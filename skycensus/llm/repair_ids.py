@@ -37,14 +37,30 @@ SHARD_IDS, LEAST_COUNT, SHARE = 1 << 20, 7, 64
 _BITS = 18
 
 
-def _frequent(seq: np.ndarray, end: np.ndarray, least: int, share: int, room: int) -> tuple[np.ndarray, np.ndarray, int]:
+def _bins(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x * np.uint32(2654435761) + y * np.uint32(2246822519)) >> np.uint32(32 - _BITS)).astype(np.intp)
+
+
+def _pair_bins(seq: np.ndarray, end: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """The bins of the pairs that begin at ``at``; pairs across a document's end have one of their own."""
+    bins = _bins(seq[:-1][at], seq[1:][at])
+    bins[end[:-1][at]] = 1 << _BITS
+    return bins
+
+
+def _around(at: np.ndarray, after: int, n: int) -> np.ndarray:
+    """The places of 0 to n - 1 from one before each of ``at`` to ``after`` beyond it, in order."""
+    near = np.zeros(n + 3, bool)
+    for step in range(after + 2):
+        near[at + step] = True
+    return np.flatnonzero(near[1 : n + 1])
+
+
+def _frequent(seq: np.ndarray, bins: np.ndarray, counts: np.ndarray, least: int, share: int, room: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(positions of the round's pairs, rank of each position's pair by frequency, number of pairs); overlaps count.
 
     The pairs occur ``least`` times or more, and a ``share``-th as often as the fullest bin's.
     """
-    bins = (seq[:-1] * np.uint32(2654435761) + seq[1:] * np.uint32(2246822519)) >> np.uint32(32 - _BITS)
-    bins[end[:-1]] = 1 << _BITS
-    counts = np.bincount(bins, minlength=(1 << _BITS) + 1)
     counts[-1] = 0
     least = max(least, int(counts.max()) // share)
     at = np.flatnonzero((counts >= least)[bins])  # no pair is more frequent than its bin
@@ -56,7 +72,7 @@ def _frequent(seq: np.ndarray, end: np.ndarray, least: int, share: int, room: in
     x, y = (pairs[start[some]] >> np.uint64(32)).astype(np.uint32), pairs[start[some]].astype(np.uint32)
     rule = np.full((1 << _BITS) + 1, -1, np.int32)
     # of pairs that share a bin the most frequent one comes first, the others in later rounds
-    rule[((x * np.uint32(2654435761) + y * np.uint32(2246822519)) >> np.uint32(32 - _BITS))[::-1]] = np.arange(len(x))[::-1]
+    rule[_bins(x, y)[::-1]] = np.arange(len(x))[::-1]
     r = rule[bins[at]]
     at, r = at[r >= 0], r[r >= 0]
     same = (seq[at] == x[r]) & (seq[at + 1] == y[r])
@@ -70,8 +86,10 @@ def grammar(ids: np.ndarray, last: np.ndarray, first_nonterminal: int, least: in
     nonterminal = first_nonterminal
     # symbols of 16 bits stay so: a rule beyond them would double all others
     room = (1 << 16) - first_nonterminal if first_nonterminal < 1 << 16 else 1 << 31
+    bins = _pair_bins(seq, end)
+    counts = np.bincount(bins, minlength=(1 << _BITS) + 1)
     while len(seq) > 1 and room > 0:
-        at, r, n_pairs = _frequent(seq, end, least, share, room)
+        at, r, n_pairs = _frequent(seq, bins, counts, least, share, room)
         # a position beside a more frequent pair's waits
         beside = np.flatnonzero(np.diff(at) == 1)
         wait = np.zeros(len(at), bool)
@@ -100,7 +118,19 @@ def grammar(ids: np.ndarray, last: np.ndarray, first_nonterminal: int, least: in
         end[at] = end[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        few = 4 * len(at) < len(seq)
+        if few:  # only the pairs beside the new symbols are counted again
+            counts -= np.bincount(bins[_around(at, 1, len(bins))], minlength=len(counts))
+            bins = bins[stay[:-1]]
         seq, end = seq[stay], end[stay]
+        if few:
+            bins = bins[: len(seq) - 1]
+            near = _around(at - np.arange(len(at)), 0, len(bins))
+            bins[near] = _pair_bins(seq, end, near)
+            counts += np.bincount(bins[near], minlength=len(counts))
+        else:
+            bins = _pair_bins(seq, end)
+            counts = np.bincount(bins, minlength=len(counts))
         nonterminal += len(where)
         room -= len(where)
     return seq, end, np.concatenate(left), np.concatenate(right)

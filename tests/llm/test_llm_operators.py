@@ -666,3 +666,25 @@ def test_near_duplicate_texts_are_dealt_once(spark):
         assert "Bucketed: true" in plan and sorted(r.text for r in kept.collect()) == sorted(set(texts))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_grammar_counts_only_changed_pairs_again(monkeypatch):
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 60_000), 900).astype(np.uint16)
+    offsets = np.arange(0, len(ids) + 1, 500)
+    whole, kept, binned, rounds = repair_ids._pair_bins, repair_ids._frequent, [], []
+
+    def bins_of(*args):
+        binned.append(len(out := whole(*args)))
+        return out
+
+    def frequent(seq, bins, counts, *args):
+        assert len(bins) == len(seq) - 1 and (counts[:-1] == np.bincount(bins, minlength=len(counts))[:-1]).all()
+        rounds.append(len(seq))
+        return kept(seq, bins, counts, *args)
+
+    monkeypatch.setattr(repair_ids, "_pair_bins", bins_of)
+    monkeypatch.setattr(repair_ids, "_frequent", frequent)
+    found, at = repair_ids.Shard(repair_ids.pack_shard(ids, offsets, 1000)).all_ids()
+    assert (found == ids).all() and (at == offsets).all()
+    assert len(rounds) > 5 and sum(binned) < 0.6 * sum(rounds)
