@@ -197,7 +197,7 @@ def i14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i15_block_means", "SELECT idx, list_transform(range(4), lambda k: round(list_sum(list_transform(range(16), lambda j: image[((k // 2) * 4 + j // 4) * 8 + (k % 2) * 4 + j % 4 + 1]::DOUBLE)) / 16, 5)) AS means FROM images")
 def i15(spark: SparkSession, d: str) -> DataFrame:
-    return A.images(spark, d).select("idx", F.transform(I.block_means(F.col("image"), 8, 2), lambda v: F.round(v, 5)).alias("means"))
+    return A.images(spark, d).select("idx", F.transform(I.block_means(F.col("image"), 8, 2), lambda v: I.rounded(v, 5)).alias("means"))
 
 
 @query("i18_half_light", f"WITH {PX}, w AS (SELECT idx, v, y * 8 + x AS p, coalesce(sum(v) OVER (PARTITION BY idx ORDER BY v DESC, y * 8 + x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(v) OVER (PARTITION BY idx) AS total FROM px WHERE v > 0) SELECT idx, count(*) AS n FROM w WHERE before <= total / 2 GROUP BY idx")
