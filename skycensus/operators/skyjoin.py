@@ -11,38 +11,66 @@ from ..functions.sky import contour_scale, ellipse_halfwidths, ra_offset
 from ..sources.storage import stored
 
 FRAME_ARCSEC, CELL_DEG, SIGMA = 120.0, 0.05, 5.0
+#: Half-width (arcsec) of a component's box up to which sources look for it; wider ones look for the sources.
+ROOM_ARCSEC = 15.0
 #: Components or sources of a cell beyond which it is split, and levels of the quadtree in a cell.
 MOST_IN_CELL, DEPTH = 4000, 4
+#: What rounding may add to a reach, as a share of it and in degrees.
+SLACK = 1e-9
 
 
 def _cell(dec: Column, cell: float) -> Column:
     return F.floor(dec / cell)
 
 
+def _turn(ra: Column) -> Column:
+    """Degrees from 0 to below 360; the remainder of a small negative angle rounds to 360 and goes to 0."""
+    return F.pmod(F.pmod(ra, F.lit(360.0)), F.lit(360.0))
+
+
+def _least_cos(band: Column, cell: float) -> Column:
+    """Least size of the cosine in a row of cells; 0 where it crosses a pole."""
+    a, b = F.cos(F.radians(band * cell)), F.cos(F.radians((band + 1) * cell))
+    return F.when(a * b > 0, F.least(F.abs(a), F.abs(b))).otherwise(F.lit(0.0))
+
+
+def _lanes(band: Column, cell: float) -> Column:
+    """Number of cells in a row around the circle."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(360.0 / cell * _least_cos(band, cell)))
+
+
+def _placed(df: DataFrame, ra: str, dec: str, up: Column, wide: Callable[[Column], Column], cell: float) -> DataFrame:
+    """A row (band, lane) for each cell within ``up`` degrees of declination and ``wide(band)`` of right ascension; each cell once."""
+    rows = df.withColumn("band", F.explode(F.sequence(_cell(F.col(dec) - up, cell), _cell(F.col(dec) + up, cell))))
+    n, at = F.col("_n"), _turn(F.col(ra))
+    rows = rows.withColumn("_n", _lanes(F.col("band"), cell)).withColumn("_r", wide(F.col("band")))
+    rows = rows.withColumns({"_lo": F.floor((at - F.col("_r")) / 360.0 * n), "_hi": F.floor((at + F.col("_r")) / 360.0 * n)})
+    return rows.withColumn("lane", F.explode(F.sequence("_lo", F.least(F.col("_hi"), F.col("_lo") + n - 1)))).withColumn("lane", F.pmod("lane", n)).drop("_n", "_r", "_lo", "_hi")
+
+
 def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_ARCSEC, cell: float = CELL_DEG, most: int = MOST_IN_CELL) -> DataFrame:
     """Pairs of a source and a component whose ellipse's box overlaps the source's square frame.
 
-    Each component goes to its own cell; each source to the cells around it.  A row of cells has its own number of cells around the
-    circle, so that a cell is at least ``cell`` wide at its latitude and in the rows beside it.  A component too wide for that goes to
+    Each component goes to its own cell; each source to the cells that its frame and ``ROOM_ARCSEC`` around it reach.  A row of cells has
+    its own number of cells around the circle, so that a cell is at least ``cell`` wide anywhere in it; declinations beyond a pole
+    go on, with the size of their cosine.  A component wider than ``ROOM_ARCSEC`` goes to
     all cells within its reach instead and meets sources in their own cells only.  So no overlap is missed and every pair meets once,
     in one join; rows that are repeated in a table count as often as they occur.  Cells of more than ``most`` components or sources are split into the
     nodes of a quadtree, so no task of the join has more than that of them or of the sources that meet them.
     """
     half = frame / 2
-    cos = lambda band: F.cos(F.radians(band * cell))
-    lanes = lambda band: F.greatest(F.lit(1.0), F.floor(360.0 / cell * F.greatest(F.lit(1e-6), F.least(cos(band - 1), cos(band + 2)))))
-    lane = lambda ra, n: F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n)
-    around = lambda ra, n, reach: F.explode(F.array_distinct(F.transform(F.sequence(-reach, reach), lambda t: F.pmod(lane(ra, n) + t, n).cast("long")))).alias("lane")
+    more = lambda degrees: degrees * (1 + SLACK) + SLACK
+    floor_cos = lambda c: F.greatest(F.lit(1e-12), c)
     dx, dy = ellipse_halfwidths(F.col("maj"), F.col("min"), F.col("pa"))
     comps = components.select(F.col("parent"), F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec"), "peak", "maj", "min", "pa", dx.alias("dx"), dy.alias("dy"))
-    room = cell * 3600 - half
-    steps = F.greatest(F.lit(0), F.ceil((F.greatest("dx", "dy") - room) / (cell * 3600))).cast("int")
-    comps = comps.withColumn("_reach", F.when(steps > 0, steps + 1).otherwise(F.lit(0)))
-    comps = comps.select("*", F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))).alias("s")).withColumn("band", _cell(F.col("c_dec"), cell) + F.col("s"))
-    comps = comps.select("*", around(F.col("c_ra"), lanes(F.col("band")), F.col("_reach"))).drop("s")
-    near = sources.select("*", _cell(F.col("dec"), cell).alias("_band"), F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("_i")).withColumn("band", F.col("_band") + F.col("_i"))
-    near = near.withColumn("_n", lanes(F.col("band"))).select("*", around(F.col("ra"), F.col("_n"), F.lit(1)))
-    near = near.withColumn("_own", (F.col("_i") == 0) & (F.col("lane") == lane(F.col("ra"), F.col("_n")))).drop("_band", "_i", "_n")
+    comps = comps.withColumn("_reach", F.when(F.greatest("dx", "dy") > ROOM_ARCSEC, F.lit(1)).otherwise(F.lit(0)))
+    if_wide = lambda c: F.when(F.col("_reach") > 0, more(c)).otherwise(F.lit(0.0))
+    comps = _placed(comps, "c_ra", "c_dec", if_wide((half + F.col("dy")) / 3600.0), lambda band: if_wide((half + F.col("dx")) / 3600.0 / floor_cos(_least_cos(band, cell))), cell)
+    reach = F.lit((half + ROOM_ARCSEC) / 3600.0)
+    near = _placed(sources, "ra", "dec", more(reach), lambda band: more(reach / floor_cos(F.abs(F.cos(F.radians("dec"))))), cell)
+    lanes = lambda band: _lanes(band, cell)
+    lane = lambda ra, n: F.pmod(F.floor(_turn(ra) / 360.0 * n), n)
+    near = near.withColumn("_own", (F.col("band") == _cell(F.col("dec"), cell)) & (F.col("lane") == lane(F.col("ra"), lanes(F.col("band")))))
     x, y = ra_offset(F.col("c_ra"), F.col("ra"), F.col("dec")), (F.col("c_dec") - F.col("dec")) * 3600.0
     touches = lambda pairs: pairs.withColumns({"x0": x, "y0": y}).where((F.abs("x0") <= half + F.col("dx")) & (F.abs("y0") <= half + F.col("dy")))
     meet = lambda n, c, by: n.hint("merge").join(c, by).where((F.col("_reach") == 0) | F.col("_own"))
@@ -50,11 +78,12 @@ def neighbours(sources: DataFrame, components: DataFrame, frame: float = FRAME_A
     at = lambda df: df.select(_cell(F.col("dec"), cell).alias("band"), "ra").select("band", lane(F.col("ra"), lanes(F.col("band"))).alias("lane"))
     heavy = lambda df: at(df).groupBy("band", "lane").agg(F.count("*").alias("n")).where(F.col("n") > most).select("band", "lane")
     full = stored(heavy(components).unionByName(heavy(sources)).distinct(), "full-cells")
-    # nine rows a source: more than the size estimate of a broadcast knows
+    # several rows a source: more than the size estimate of a broadcast knows
     if full.isEmpty():
         return touches(meet(near, comps, ["band", "lane"])).drop("band", "lane", "_reach", "_own")
     thin = touches(meet(near.join(full, ["band", "lane"], "left_anti"), comps.join(full, ["band", "lane"], "left_anti"), ["band", "lane"]))
-    crowd, seen = _quarters(near.join(full, ["band", "lane"]), comps.join(full, ["band", "lane"]), lanes, half, cell, most)
+    # the full cells' rows are few and read several times
+    crowd, seen = _quarters(stored(near.join(full, ["band", "lane"]), "crowd-sources"), stored(comps.join(full, ["band", "lane"]), "crowd"), lanes, half, cell, most)
     dense = touches(meet(seen, crowd, ["band", "lane", "level", "qx", "qy", "part", "salt"])).drop("level", "qx", "qy", "part", "salt")
     return thin.unionByName(dense).drop("band", "lane", "_reach", "_own")
 
@@ -68,10 +97,10 @@ def _quarters(near: DataFrame, comps: DataFrame, lanes: Callable[[Column], Colum
     """
     n, side = lanes(F.col("band")), F.lit(cell * 3600.0)
     # degrees of right ascension of a lane, and a node's least width in arcsec at the cell's upper or lower border
-    shrink = F.greatest(F.lit(1e-6), F.least(F.cos(F.radians(F.col("band") * cell)), F.cos(F.radians((F.col("band") + 1) * cell))))
+    shrink = F.greatest(F.lit(1e-6), _least_cos(F.col("band"), cell))
     width = F.least(360.0 / n * 3600.0 * shrink, side)
     steps = 1 << DEPTH
-    fx = F.pmod(F.col("c_ra"), F.lit(360.0)) / 360.0 * n - F.col("lane")
+    fx = _turn(F.col("c_ra")) / 360.0 * n - F.col("lane")
     fy = F.col("c_dec") / cell - F.col("band")
     place = lambda f: F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor(f * steps))).cast("int")
     # a node of level l is width / 2^l wide: no narrower than the component's half-widths
@@ -91,17 +120,19 @@ def _quarters(near: DataFrame, comps: DataFrame, lanes: Callable[[Column], Colum
     dealt = stored(dealt.withColumn("level", level).withColumns({"qx": inside("_fx"), "qy": inside("_fy")}).drop("_fx", "_fy", "_fits", "_deep"), "nodes")
 
     own_y = F.col("dec") / cell - F.col("band")
-    # the frame may lie across the circle's zero: the lane's nearest turn counts
-    own_x = F.pmod(F.col("ra"), F.lit(360.0)) / 360.0 * n - F.col("lane")
-    own_x = own_x - F.round(own_x / n) * n
+    own_x = _turn(F.col("ra")) / 360.0 * n - F.col("lane")
     across = lambda l: (half + side / (1 << l)) / side * (1 + 1e-9)
-    along = lambda l: (half + side / (1 << l)) / 3600.0 / F.greatest(F.lit(1e-6), F.cos(F.radians("dec"))) / 360.0 * n * (1 + 1e-9)
+    along = lambda l: (half + side / (1 << l)) / 3600.0 / F.greatest(F.lit(1e-12), F.abs(F.cos(F.radians("dec")))) / 360.0 * n * (1 + 1e-9)
 
     def touched(l: int) -> Column:
-        span = lambda c, r: F.sequence(F.greatest(F.lit(0), F.floor((c - r) * (1 << l))).cast("int"), F.least(F.lit((1 << l) - 1), F.floor((c + r) * (1 << l))).cast("int"))
-        there = (own_x + along(l) >= 0) & (own_x - along(l) < 1) & (own_y + across(l) >= 0) & (own_y - across(l) < 1)
-        nodes = F.flatten(F.transform(span(own_x, along(l)), lambda i: F.transform(span(own_y, across(l)), lambda j: F.struct(F.lit(l).alias("level"), i.alias("qx"), j.alias("qy")))))
-        return F.when(there, nodes).otherwise(F.array().cast("array<struct<level:int,qx:int,qy:int>>"))
+        most_x = F.lit(float(1 << l))
+        span = lambda c, r: F.sequence(F.greatest(F.lit(0.0), F.floor(F.greatest(F.lit(0.0), (c - r) * most_x))).cast("int"), F.least(F.lit((1 << l) - 1), F.floor(F.least(most_x, (c + r) * most_x))).cast("int"))
+        empty = F.array().cast("array<int>")
+        # the frame may lie across the circle's zero, and in a row of few lanes reach a lane from both sides
+        turns = [F.when((x + along(l) >= 0) & (x - along(l) < 1), span(x, along(l))).otherwise(empty) for x in (own_x - n, own_x, own_x + n)]
+        columns = F.array_distinct(F.concat(*turns))
+        nodes = F.flatten(F.transform(columns, lambda i: F.transform(span(own_y, across(l)), lambda j: F.struct(F.lit(l).alias("level"), i.alias("qx"), j.alias("qy")))))
+        return F.when((own_y + across(l) >= 0) & (own_y - across(l) < 1), nodes).otherwise(F.array().cast("array<struct<level:int,qx:int,qy:int>>"))
 
     other = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("qx"), F.lit(0).alias("qy")))
     visits = near.select("*", F.explode(F.concat(*[touched(l) for l in range(DEPTH + 1)], F.when(F.col("_own"), other).otherwise(F.array().cast("array<struct<level:int,qx:int,qy:int>>")))).alias("_node")).select("*", "_node.*").drop("_node")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 import __spark_entry__
+from skycensus.operators import skyjoin
+from tests.test_dense_sky import brute, sky
 
 
 def test_block_means_keep_the_sign_of_zero_and_skip_missing_pixels(spark, tmp_path):
@@ -22,3 +26,27 @@ def test_block_means_keep_the_sign_of_zero_and_skip_missing_pixels(spark, tmp_pa
     # repr tells -0.0 from 0.0
     assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()}
     assert repr(got[0][0]) == "-0.0"
+
+
+@pytest.mark.parametrize(("dec0", "ra0", "spread"), [(90.0, 0.0, 20.0), (180.0, 359.99, 0.1), (270.03, 0.0, 25.0), (-89.98, 123.0, 180.0), (400.0, 20.0, 0.1)])
+def test_sky_beyond_the_poles(spark, dec0, ra0, spread):
+    r = np.random.default_rng(int(dec0) + 1000)
+    place = lambda n: np.column_stack([(ra0 + r.uniform(-spread, spread, n)) % 360, dec0 + r.uniform(-0.12, 0.12, n)])
+    s, where = place(250), place(400)
+    size = r.choice([0.5, 6.0, 30.0, 90.0, 700.0], len(where), p=[0.3, 0.4, 0.2, 0.08, 0.02])
+    c = np.column_stack([where, size, size * r.uniform(0.3, 1, len(where)), r.uniform(0, 180, len(where))])
+    sources, comps = sky(spark, s, c)
+    want = brute(s, c)
+    assert want
+    for most in (20, 10**9):
+        got = sorted((x.source_id, int(x.parent)) for x in skyjoin.neighbours(sources, comps, most=most).select("source_id", "parent").collect())
+        assert got == want
+
+
+def test_sky_far_from_a_pole_has_no_crowded_cells(spark, monkeypatch):
+    # 1,000 sources a row at 160 degrees, where the cosine is negative: spread over cells, so none is cut
+    s = np.column_stack([np.arange(1000) * 0.04, np.full(1000, 160.01)])
+    c = np.column_stack([s, np.full((1000, 2), 6.0), np.zeros(1000)])
+    sources, comps = sky(spark, s, c)
+    monkeypatch.setattr(skyjoin, "_quarters", lambda *a: pytest.fail("a cell was cut"))
+    assert skyjoin.neighbours(sources, comps, most=100).count() == len(brute(s, c))
