@@ -181,10 +181,15 @@ def lookup(df: DataFrame, key: str, table: DataFrame, name: str, value: str, out
     return df.withColumn("_key", F.trim(key)).join(once, F.col("_key") == F.col("_name"), "left").withColumn(out, F.coalesce(F.when(F.col("_key") != "", F.col("_value")), F.lit(""))).drop("_key", "_name", "_value")
 
 
-def quality_table(sources: DataFrame, components: DataFrame, sigma: float = SIGMA) -> DataFrame:
-    """Foreign and cropped flags and the mis-split flag (the brightest foreign parent has the source's own optical name)."""
-    foreign = foreign_flags(sources, components, sigma)
-    cropped = cropped_flags(sources, components).select("source_id", "n_own_components", "cropped", "own_extent")
+def missplit_flags(sources: DataFrame, components: DataFrame, sigma: float = SIGMA) -> DataFrame:
+    """Foreign flags, both optical names and the mis-split flag (the brightest foreign parent has the source's own optical name)."""
     ids = sources.select("source_name", "id_name")
-    both = lookup(lookup(foreign.join(cropped, "source_id").drop("id_name"), "source_name", ids, "source_name", "id_name", "target_id"), "brightest_foreign_parent", ids, "source_name", "id_name", "foreign_id")
+    foreign = foreign_flags(sources, components, sigma).drop("id_name")
+    both = lookup(lookup(foreign, "source_name", ids, "source_name", "id_name", "target_id"), "brightest_foreign_parent", ids, "source_name", "id_name", "foreign_id")
     return both.withColumn("optical_missplit", (F.col("target_id") != "") & (F.col("target_id") == F.col("foreign_id")))
+
+
+def quality_table(sources: DataFrame, components: DataFrame, sigma: float = SIGMA) -> DataFrame:
+    """Foreign and cropped flags and the mis-split flag."""
+    cropped = cropped_flags(sources, components).select("source_id", "n_own_components", "cropped", "own_extent")
+    return missplit_flags(sources, components, sigma).join(cropped, "source_id")

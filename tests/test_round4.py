@@ -50,3 +50,29 @@ def test_sky_far_from_a_pole_has_no_crowded_cells(spark, monkeypatch):
     sources, comps = sky(spark, s, c)
     monkeypatch.setattr(skyjoin, "_quarters", lambda *a: pytest.fail("a cell was cut"))
     assert skyjoin.neighbours(sources, comps, most=100).count() == len(brute(s, c))
+
+
+@pytest.fixture(scope="module")
+def at_the_pole(tmp_path_factory):
+    """The smallest tables with keys that give declinations of 89.96 and 90 degrees, and a connection to them."""
+    d = tmp_path_factory.mktemp("pole")
+    con = duckdb.connect()
+    for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        con.execute(f"COPY (SELECT * REPLACE ({k} + 1249000 AS {k}) FROM '/root/testdata/sf0.001/{t}.parquet') TO '{d}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for t in ("embeddings", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return con, str(d)
+
+
+@pytest.mark.parametrize("name", ["j05_optical_missplit", "j06_quality_table", "s30_flagged_sample"])
+def test_flags_at_the_pole_as_in_sql(spark, at_the_pole, name):
+    con, d = at_the_pole
+    want = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in __spark_entry__.queries()[name](spark, d).select(*columns).collect()) == sorted(want.fetchall())
+
+
+def test_missplit_flags_join_no_own_components(spark, monkeypatch):
+    monkeypatch.setattr(skyjoin, "cropped_flags", lambda *a, **k: pytest.fail("own components are not asked for"))
+    assert "optical_missplit" in __spark_entry__.queries()["j05_optical_missplit"](spark, "/root/testdata/sf0.001").columns
