@@ -15,6 +15,8 @@ from ..sources.storage import stored
 POINTS, BUFFER_ARCSEC, SHARE = 200, 0.1, 0.95
 #: Partial hulls of a source that are merged at once, and components of a source beyond which they are dealt to several tasks.
 FAN, SPREAD = 64, 10_000
+#: Components of a source up to which its size is worked out in its own row, without hulls; pairs, and pairs of outline points, that are looked at together.
+FEW, PAIRS, CROSSES = 64, 100_000, 1_000_000
 
 
 def brightest_share(components: DataFrame, key: str = "parent", flux: str = "peak", tie: list[str] | None = None, share: float = SHARE, dark: str = "error") -> DataFrame:
@@ -151,11 +153,136 @@ def merged_hulls(hulls: DataFrame, key: str, fan: int = FAN) -> DataFrame:
     return now
 
 
-def component_sizes(components: DataFrame, key: str = "parent", n_points: int = POINTS) -> DataFrame:
+def _runs(weights: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours whose weights sum up to ``most`` or so, or that hold one."""
+    ends = np.cumsum(weights)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield slice(first, last)
+        first = last
+
+
+def _within(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of the numbers ``first`` to ``first + n - 1`` of each row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+
+
+def few_sizes(x: np.ndarray, y: np.ndarray, major: np.ndarray, minor: np.ndarray, pa: np.ndarray, n: np.ndarray, points: int = POINTS, buffer: float = BUFFER_ARCSEC) -> np.ndarray:
+    """Size of each source from its ``n`` components, which follow one another: the furthest pair of their outlines' points.
+
+    For two ellipses the support along the line of their centres bounds the distance from above and names two points that bound it from
+    below.  Only pairs of ellipses that may beat the source's best such points are looked at, and only at points that may: along that
+    line a point falls off from the support as the cosine of its angle from it.
+    """
+    a, b, turn = major / 2 + buffer, minor / 2 + buffer, np.radians(pa)
+    sin, cos = np.sin(turn), np.cos(turn)
+    step = 2 * math.pi / points
+    t = 2 * math.pi * np.arange(points) / points
+    ring_u, ring_v = np.cos(t), np.sin(t)
+
+    def point(i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = a[i] * ring_u[k % points], b[i] * ring_v[k % points]
+        return x[i] + u * sin[i] + v * cos[i], y[i] + u * cos[i] - v * sin[i]
+
+    ends = np.cumsum(n)
+    out = np.where(n == 1, major[ends - n], 0.0)
+    for some in _runs(n * (n + 1) // 2, PAIRS):
+        own = np.repeat(np.arange(some.start, some.stop), n[some])
+        lead = np.arange(ends[some.start] - n[some.start], ends[some.stop - 1])
+        row, j = _within(lead, ends[own] - lead)
+        i, of = lead[row], own[row]
+        many = n[of] > 1
+        i, j, of = i[many], j[many], of[many]
+        if not len(i):
+            continue
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        d = np.hypot(dx, dy)
+        # without a line of centres any does: the first one's own axis
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ux, uy = np.where(d > 0, dx / d, sin[i]), np.where(d > 0, dy / d, cos[i])
+
+        def support(e: np.ndarray, vx: np.ndarray, vy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Reach along a direction, its angle on the ellipse, and the reach across."""
+            along, across = vx * sin[e] + vy * cos[e], vx * cos[e] - vy * sin[e]
+            return np.hypot(a[e] * along, b[e] * across), np.arctan2(b[e] * across, a[e] * along), np.hypot(a[e] * across, b[e] * along)
+
+        hi, ti, wi = support(i, -ux, -uy)
+        hj, tj, wj = support(j, ux, uy)
+        px, py = point(i, np.rint(ti / step).astype(np.int64))
+        qx, qy = point(j, np.rint(tj / step).astype(np.int64))
+        low = (px - qx) ** 2 + (py - qy) ** 2
+        best = np.zeros(len(n))
+        np.maximum.at(best, of, low)
+        wide = (wi + wj) ** 2
+        may = np.flatnonzero((d + hi + hj) ** 2 + wide >= best[of] * (1 - 1e-9))
+        # what both ellipses must reach along the line
+        need = np.sqrt(np.maximum(best[of[may]] * (1 - 1e-9) - wide[may], 0.0)) - d[may]
+
+        def window(h: np.ndarray, other: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """First point and number of points that reach far enough."""
+            with np.errstate(invalid="ignore", divide="ignore"):
+                angle = np.arccos(np.clip((need - other) / h, -1.0, 1.0)) + 1e-6
+            whole = (angle >= math.pi - step) | ~(h > 0)
+            first = np.where(whole, 0, np.ceil((at - angle) / step)).astype(np.int64)
+            return first, np.where(whole, points, np.floor((at + angle) / step) - first + 1).astype(np.int64)
+
+        (fi, ni), (fj, nj) = window(hi[may], hj[may], ti[may]), window(hj[may], hi[may], tj[may])
+        there = (ni > 0) & (nj > 0)
+        may, fi, ni, fj, nj = may[there], fi[there], ni[there], fj[there], nj[there]
+        for part in _runs(ni * nj, CROSSES):
+            at, kj = _within(fj[part], nj[part])
+            qx, qy = point(j[may[part]][at], kj)
+            at, ki = _within(fi[part], ni[part])
+            px, py = point(i[may[part]][at], ki)
+            first = (np.cumsum(nj[part]) - nj[part])[at]
+            p, q = _within(first, nj[part][at])
+            d2 = (px[p] - qx[q]) ** 2 + (py[p] - qy[q]) ** 2
+            crosses = ni[part] * nj[part]
+            np.maximum.at(best, of[may[part]], np.maximum.reduceat(d2, np.cumsum(crosses) - crosses))
+        out[some] = np.where(n[some] > 1, np.sqrt(best[some]), out[some])
+    return out
+
+
+def component_sizes(components: DataFrame, key: str = "parent", n_points: int = POINTS, counted: DataFrame | None = None) -> DataFrame:
     """(key, n, size arcsec): the widest extent of a source's component ellipses on the tangent plane at their mean position.
 
-    The size of a source of one component is its full axis.  Hulls are an aggregate: made batch by batch, merged by source.
+    The size of a source of one component is its full axis.  A source of up to ``FEW`` components is a row; hulls of larger ones are an
+    aggregate: made batch by batch, merged by source.  ``counted``: rows that hold at least the components, if they are cheaper to count.
     """
+    many = stored((components if counted is None else counted).groupBy(key).agg(F.count("*").alias("_all")).where(F.col("_all") > FEW).select(key), "many")
+    if many.isEmpty():
+        return _few(components, key, n_points)
+    # a null key is a source too
+    same = components[key].eqNullSafe(many[key])
+    large = stored(components.join(many, same, "left_semi"), "large")
+    return _few(components.join(many, same, "left_anti"), key, n_points).unionByName(_large(large, key, n_points))
+
+
+def _few(components: DataFrame, key: str, n_points: int) -> DataFrame:
+    kind = components.schema[key].dataType.simpleString()
+    names = ["ra", "dec", "maj", "min", "pa"]
+    rows = components.groupBy(key).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in names])).alias("c"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            lists = batch.column(1)
+            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            ra, dec, major, minor, angle = (f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten())
+            first = np.cumsum(n) - n
+            mean = lambda v: np.repeat(np.add.reduceat(v, first) / n, n)
+            across = np.repeat(np.maximum.reduceat(ra, first) - np.minimum.reduceat(ra, first) > 180, n)
+            ra0, dec0 = np.where(across, mean((ra + 180) % 360 - 180), mean(ra)), mean(dec)
+            x = ((ra - ra0 + 180) % 360 - 180) * np.cos(np.radians(dec0)) * 3600
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(few_sizes(x, (dec - dec0) * 3600, major, minor, angle, n, n_points))], [key, "n", "size"])
+
+    return rows.mapInArrow(sizes, f"{key} {kind}, n int, size double")
+
+
+def _large(components: DataFrame, key: str, n_points: int) -> DataFrame:
     kind = components.schema[key].dataType.simpleString()
 
     def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

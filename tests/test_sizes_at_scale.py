@@ -69,3 +69,31 @@ def test_sources_without_flux_are_an_error_or_dropped(spark):
     with pytest.raises(Exception, match="no flux"):
         sizing.brightest_share(df).collect()
     assert {x.parent for x in sizing.brightest_share(df, dark="drop").collect()} == {"a"}
+
+
+def test_sizes_of_small_sources_are_those_of_all_outline_points():
+    r = np.random.default_rng(8)
+    for spread, most in ((150, 8), (20, 8), (3, 8), (0, 8), (60, 30)):
+        n = r.integers(1, most, 120)
+        x, y = r.uniform(-spread, spread, (2, n.sum()))
+        major = r.uniform(0.01, 30, n.sum())
+        minor, pa = major * r.uniform(0, 1, n.sum()), r.uniform(0, 180, n.sum())
+        got, ends = sizing.few_sizes(x, y, major, minor, pa, n), np.cumsum(n)
+        for k, end in enumerate(ends):
+            s = slice(end - n[k], end)
+            want = major[s][0] if n[k] == 1 else np.sqrt(sizing.furthest(sizing.outline(x[s], y[s], major[s], minor[s], pa[s])))
+            assert np.isclose(got[k], want, rtol=1e-9)
+
+
+def test_small_sources_take_no_hulls(spark, monkeypatch):
+    rows = [(f"P{k}" if k else None, 10.0 + k % 3 * 1e-3, 20.0 + i * 1e-3, 8.0, 4.0, 10.0 * i) for k in range(30) for i in range(k % 7 + 1)]
+    rows += [("large", 359.999 + i * 1e-4 - 360 * (i > 9), 5.0, 6.0, 3.0, float(i)) for i in range(sizing.FEW + 1)]
+    df = spark.createDataFrame(rows, "parent string, ra double, dec double, maj double, min double, pa double").repartition(3)
+    real, seen = sizing.partial_hulls, []
+    monkeypatch.setattr(sizing, "partial_hulls", lambda c, *a: real(seen.append(c.select("parent").distinct().collect()) or c, *a))
+    got = {x.parent: (x.n, x["size"]) for x in sizing.component_sizes(df).collect()}
+    assert [[x.parent for x in s] for s in seen] == [["large"]]
+    assert set(got) == {x[0] for x in rows}
+    for k, (n, size) in got.items():
+        own = [x[1:] for x in rows if x[0] == k]
+        assert n == len(own) and np.isclose(size, brute(own), rtol=1e-9)
