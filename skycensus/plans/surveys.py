@@ -373,7 +373,8 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a25_all_sizes")
 def a25(spark: SparkSession, d: str) -> DataFrame:
-    return sizing.component_sizes(sizing.brightest_share(A.components(spark, d), tie=["ra", "dec"]), "parent")
+    c = A.components(spark, d)
+    return sizing.component_sizes(sizing.brightest_share(c, tie=["ra", "dec"]), "parent", counted=c)
 
 
 @query("w01_running_sum", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber ROWS UNBOUNDED PRECEDING), 2) AS running FROM lineitem")
