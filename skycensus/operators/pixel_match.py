@@ -77,7 +77,7 @@ def match(queries: DataFrame, base: DataFrame, key: str, image: str, reach: int
         return pa.table({"q": some["q"], "b": of["b"].take(pa.array(place, pa.int64())), "matched": pa.array(matched, pa.bool_()), "difference": pa.array(difference, pa.float64())})
 
     q_kind = queries.schema[key].dataType.simpleString()
-    return met(asked, rows, compare, f"q {q_kind}, b {kind}, matched boolean, difference double").where("q IS NOT NULL")
+    return met(asked, rows, compare, f"q {q_kind}, b {kind}, matched boolean, difference double", 2048).where("q IS NOT NULL")
 
 
 def _images(v: pa.ChunkedArray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skycensus.operators import metric_space, quantiles
 
@@ -114,3 +115,28 @@ def test_mad(spark):
     x = np.random.default_rng(3).standard_cauchy(3001)
     df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(3)
     assert np.isclose(quantiles.mad(df, "x"), np.median(np.abs(x - np.median(x))), rtol=1e-12)
+
+
+def test_visits_are_handed_on_in_small_batches_of_keys(spark, monkeypatch):
+    r = np.random.default_rng(14)
+    v = r.normal(size=(400, 12))
+    rows = frame(spark, range(400), v).coalesce(1)
+    real, tables = metric_space.stored, []
+
+    def watched(df, tag, *a, **k):
+        out = real(df, tag, *a, **k)
+        tables.append((tag, df.columns))
+        return out
+
+    monkeypatch.setattr(metric_space, "stored", watched)
+    monkeypatch.setattr(metric_space, "VISITS", 7)
+    index = metric_space.build(rows, "key", "vec", block_rows=10)
+    got = {x.q: x.b for x in metric_space.nearest_k(index, rows, "key", "vec").collect()}
+    d = ((v[:, None] - v[None]) ** 2).sum(-1)
+    balls = rows.withColumn("radius", F.lit(4.0))
+    counts = {x.q: x.n for x in metric_space.ball_counts(index, balls, "key", "vec", "radius").collect()}
+    assert counts == {i: int((np.sqrt(d[i]) <= 4.0).sum()) for i in range(400)}
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: int(d[i].argmin()) for i in range(400)}
+    visits = [columns for tag, columns in tables if tag == "visits"]
+    assert visits and not any("v" in columns for columns in visits)
